@@ -109,25 +109,6 @@ def _describe(width: int, ranks):
     return run
 
 
-def _texts_of(filter_):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = sj.in_bloom(filter_.value, b.column(2).to_numpy(zero_copy_only=False))
-            yield b.filter(pa.array(ok)).select([0, 1])
-
-    return run
-
-
-def _verify(width: int, t: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sim = sj.jaccard(b.column(2).to_pylist(), b.column(3).to_pylist(), width)
-            ok = sim >= t - 1e-12
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(sim[ok])], ["ca", "cb", "similarity"])
-
-    return run
-
-
 def near_duplicate_classes(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, ell: int = 6) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (k, cls, n), one row per distinct key with shingles; links (ca, cb, similarity) between different classes, ca < cb.
 
@@ -152,15 +133,7 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, width: int = 5, t
         .distinct()
     )
     pairs = materialise(pairs, "tgm-pairs")
-    wanted = pairs.select(F.explode(F.array("ra", "rb")).alias("k")).distinct().select(F.xxhash64("k").alias("h"))
-    filter_ = spark.sparkContext.broadcast(sj.bloom(wanted, "h"))
-    texts = rows.withColumn("h", F.xxhash64("k")).mapInArrow(_texts_of(filter_), f"k {dict(rows.dtypes)['k']}, t string").dropDuplicates(["k"])
-    links = (
-        pairs.join(texts.select(F.col("k").alias("ra"), F.col("t").alias("ta")), "ra")
-        .join(texts.select(F.col("k").alias("rb"), F.col("t").alias("tb")), "rb")
-        .select("ca", "cb", "ta", "tb")
-        .mapInArrow(_verify(width, threshold), "ca long, cb long, similarity double")
-    )
+    links = sj.verify(pairs, rows, width, threshold).select("ca", "cb", "similarity")
     return docs.select("k", "cls", "n").distinct(), links
 
 

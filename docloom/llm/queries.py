@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import near_duplicates as nd
+from docloom.llm import split_overlap as so
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -19,6 +20,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = so.cross_split_pairs(_read(spark, sf, "triplets"), "triplet_id", "split", ["query", "pos"], width=1, threshold=0.7)
+    return pairs.select(F.least("train", "eval").alias("triplet_id_a"), F.greatest("train", "eval").alias("triplet_id_b"), "field")
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return so.cross_split_report(_read(spark, sf, "triplets"), "triplet_id", "split", "source", ["query", "pos"], width=1, threshold=0.7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 

@@ -323,3 +323,40 @@ def jaccard(left: list[str | None], right: list[str | None], width: int) -> np.n
         out[start:end] = common / np.maximum(union, 1)
         start = end
     return out
+
+
+def _texts_of(filter_) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = in_bloom(filter_.value, b.column(2).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array(ok)).select([0, 1])
+
+    return run
+
+
+def _similar(width: int, t: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sim = jaccard(b.column(2).to_pylist(), b.column(3).to_pylist(), width)
+            ok = sim >= t - 1e-12
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(sim[ok])], ["ca", "cb", "similarity"])
+
+    return run
+
+
+def verify(pairs: DataFrame, rows: DataFrame, width: int, t: float) -> DataFrame:
+    """The pairs (ca, cb, ra, rb) whose representatives' texts reach the threshold, as (ca, cb, similarity).
+
+    rows (k, t) holds the texts.  Only texts that a pair names leave the scan:
+    a Bloom filter of bounded size drops the others before the join.
+    """
+    spark = rows.sparkSession
+    wanted = pairs.select(F.explode(F.array("ra", "rb")).alias("k")).distinct().select(F.xxhash64("k").alias("h"))
+    filter_ = spark.sparkContext.broadcast(bloom(wanted, "h"))
+    texts = rows.withColumn("h", F.xxhash64("k")).mapInArrow(_texts_of(filter_), f"k {dict(rows.dtypes)['k']}, t string").dropDuplicates(["k"])
+    return (
+        pairs.join(texts.select(F.col("k").alias("ra"), F.col("t").alias("ta")), "ra")
+        .join(texts.select(F.col("k").alias("rb"), F.col("t").alias("tb")), "rb")
+        .select("ca", "cb", "ta", "tb")
+        .mapInArrow(_similar(width, t), "ca long, cb long, similarity double")
+    )
