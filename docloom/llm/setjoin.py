@@ -57,7 +57,7 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """One byte per counter: about eight times the binary logarithm of its count over all rows.
+    """One byte per counter: about eight times the binary logarithm of its occurrences in all rows.
 
     Each task counts its rows in saturating bytes, the blocks are added up by a
     group-by, and 4 MB reach the driver whatever the input's size.
@@ -68,7 +68,7 @@ def sketch(df: DataFrame, text: str, width: int) -> np.ndarray:
         for b in batches:
             texts = b.column(0).to_pylist()
             for s, e in steps(texts):
-                total += np.bincount(_slot(shingle_sets(texts[s:e], width)[1]), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                total += np.bincount(_slot(Words(texts[s:e]).shingles(width)[1]), minlength=1 << SKETCH_BITS).astype(np.uint32)
         if total.any():
             small = np.minimum(total, 255).astype(np.uint8)
             blocks = range(0, 1 << SKETCH_BITS, BLOCK)
