@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import near_duplicates as nd
+from docloom.llm import repeated_lines as rl
 from docloom.llm import split_overlap as so
+from docloom.llm import splitting as sp
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -20,6 +22,33 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def _oversized(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
+    chunks = _read(spark, sf, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), "text")
+    sections = _read(spark, sf, "sections").select(F.lit("section").alias("item_kind"), F.col("section_id").cast("string").alias("item_key"), sp.lines_text(F.col("font_lines")).alias("text"))
+    keys = ["item_kind", "item_key"]
+    return sp.split_oversized(chunks, keys, F.col("text"), with_text=with_text).unionByName(sp.split_oversized(sections, keys, F.col("text"), with_text=with_text))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _oversized(spark, sf, False).groupBy("item_kind", "item_key").agg(F.when(F.max("hard"), "hard").otherwise("natural").alias("cut"))
+
+
+def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return _oversized(spark, sf, True)
+
+
+def _furniture(spark: SparkSession, sf: str) -> rl.RepeatedLines:
+    return rl.RepeatedLines(_read(spark, sf, "chunks"), F.col("chunk_id"), F.col("text"), rl.manual_name(), least=5, share=0.1)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _furniture(spark, sf).exact().select(F.col("k").alias("chunk_id"), "line_no")
+
+
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return _furniture(spark, sf).cleaned().select(F.col("k").alias("chunk_id"), "text", "n_removed")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = so.cross_split_pairs(_read(spark, sf, "triplets"), "triplet_id", "split", ["query", "pos"], width=1, threshold=0.7)
     return pairs.select(F.least("train", "eval").alias("triplet_id_a"), F.greatest("train", "eval").alias("triplet_id_b"), "field")
