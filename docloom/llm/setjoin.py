@@ -104,6 +104,17 @@ class Sets:
         np.add.at(self.cls, doc, mix64(h + np.uint64(1)))
         self.cls = mix64(self.cls + self.n.astype(np.uint64))
 
+    def bitmap(self, words: int) -> np.ndarray:
+        """One row of ``64 * words`` bits per set: a bit stands where some member hashes to it."""
+        out = np.zeros((len(self.n), words), np.uint64)
+        bit = (self.token & np.uint64(64 * words - 1)).astype(np.int64) if words else None
+        at = np.flatnonzero(self.n > 0)
+        for w in range(words):
+            value = np.where(bit >> 6 == w, np.uint64(1) << (bit & 63).astype(np.uint64), np.uint64(0))
+            if len(at):
+                out[at, w] = np.bitwise_or.reduceat(value, self.first[at])
+        return out
+
 
 def need(n1: np.ndarray, n2: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (n1 + n2) - 1e-9).astype(np.int64)
@@ -127,18 +138,19 @@ def _array(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-BLOB = "bucket int, cls binary, grp binary, n binary, flag binary, cnt binary, tok binary, pos binary"
+BLOB = "bucket int, cls binary, grp binary, n binary, flag binary, sig binary, cnt binary, tok binary, pos binary"
 
 
-def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callable, flush: int = 20_000) -> Callable:
+def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callable, words: int = 0, flush: int = 20_000) -> Callable:
     """For mapInArrow over (text, flag): prefix postings of each distinct (set, flag) as blobs by bucket of the token.
 
     ``group(sets, row)`` gives a 64-bit group for each row; ``flag`` is a small
-    integer carried along (0 where unused).
+    integer carried along (0 where unused); ``words`` is the size of a bitmap of
+    each set, which bounds overlaps of small sets.
     """
 
     def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        cls, grp, n, flag = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        cls, grp, n, flag, sig = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 7))
         base = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])[:-1]])
         doc = np.concatenate([p[4] + b for p, b in zip(parts, base, strict=True)])
         tok, pos = (np.concatenate([p[i] for p in parts]) for i in (5, 6))
@@ -153,13 +165,13 @@ def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callabl
         order = np.lexsort((doc, bucket))
         doc, tok, pos, bucket = doc[order], tok[order], pos[order], bucket[order]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows: dict[str, list] = {k: [] for k in ("bucket", "cls", "grp", "n", "flag", "cnt", "tok", "pos")}
+        rows: dict[str, list] = {k: [] for k in ("bucket", "cls", "grp", "n", "flag", "sig", "cnt", "tok", "pos")}
         for k in range(buckets):
             s, e = edges[k], edges[k + 1]
             if s == e:
                 continue
             docs, cnt = np.unique(doc[s:e], return_counts=True)
-            for key, v in (("bucket", k), ("cls", _bytes(cls[docs])), ("grp", _bytes(grp[docs])), ("n", _bytes(n[docs].astype(np.uint32))), ("flag", flag[docs].astype(np.uint8).tobytes()), ("cnt", _bytes(cnt.astype(np.uint32))), ("tok", _bytes(tok[s:e].astype(np.uint32))), ("pos", _bytes(pos[s:e].astype(np.uint32)))):
+            for key, v in (("bucket", k), ("cls", _bytes(cls[docs])), ("grp", _bytes(grp[docs])), ("n", _bytes(n[docs].astype(np.uint32))), ("flag", flag[docs].astype(np.uint8).tobytes()), ("sig", sig[docs].tobytes()), ("cnt", _bytes(cnt.astype(np.uint32))), ("tok", _bytes(tok[s:e].astype(np.uint32))), ("pos", _bytes(pos[s:e].astype(np.uint32)))):
                 rows[key].append(v)
         if rows["bucket"]:
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
@@ -172,7 +184,7 @@ def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callabl
                 x = Sets(texts[s:e], width, ranks.value)
                 # the prefix for the longest partner to come, and ell - 1 more
                 ok = x.n[x.doc] - x.pos >= shortest(x.n[x.doc], t) - ell + 1
-                parts.append((x.cls, group(x), x.n, flags[s:e], x.doc[ok], x.token[ok], x.pos[ok]))
+                parts.append((x.cls, group(x), x.n, flags[s:e], x.doc[ok], x.token[ok], x.pos[ok], x.bitmap(words)))
                 held += int(ok.sum())
             if held > flush * 100:
                 yield from out(parts)
@@ -183,13 +195,15 @@ def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callabl
     return run
 
 
-def read_blobs(table: pa.Table) -> dict[str, np.ndarray]:
+def read_blobs(table: pa.Table, words: int = 0) -> dict[str, np.ndarray]:
     """The postings of a bucket, one element per posting, without copies of the same (set, flag, token); tokens of one set alone are left out."""
-    cols = {k: [] for k in ("cls", "grp", "n", "flag", "tok", "pos")}
+    cols = {k: [] for k in ("cls", "grp", "n", "flag", "tok", "pos", *["sig"] * bool(words))}
     for r in table.to_pylist():
         cnt = _array(r["cnt"], np.uint32)
         for k, kind in (("cls", np.uint64), ("grp", np.uint64), ("n", np.uint32), ("flag", np.uint8)):
             cols[k].append(np.repeat(_array(r[k], kind), cnt))
+        if words:
+            cols["sig"].append(np.repeat(np.frombuffer(r["sig"], np.uint64).reshape(-1, words), cnt, axis=0))
         cols["tok"].append(_array(r["tok"], np.uint32))
         cols["pos"].append(_array(r["pos"], np.uint32))
     x = {k: np.concatenate(v) for k, v in cols.items()}

@@ -2,8 +2,8 @@
 
 Exact prefix-filter bipartite join: the sets of all rows are ordered with rare
 shingles first; the evaluation sets' prefixes form the index, the training
-sets' prefixes probe it under a length and a place filter, and the pairs that
-remain are compared exactly.  Copies meet as one set on either side and are
+sets' prefixes probe it under a length and a place filter and a bitmap bound on
+the overlap, and the pairs that remain are compared exactly.  Copies meet as one set on either side and are
 expanded only in the report of pairs.
 
 Defined results: null, empty and word-less texts match nothing; a null split
@@ -35,9 +35,13 @@ def _keyed(cls: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return mix64(cls + mix64(kind.astype(np.uint64) + np.uint64(99)))
 
 
+#: 64-bit words of the bitmaps that bound overlaps.
+WORDS = 2
+
+
 def _probe(t: float, ell: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        x = sj.read_blobs(table)
+        x = sj.read_blobs(table, WORDS)
         train = (x["flag"] & 1) == 0
         kind = (x["flag"] >> 1).astype(np.int64)
         key = _keyed(x["cls"], kind)
@@ -61,6 +65,10 @@ def _probe(t: float, ell: int, buckets: int):
             least = sj.need(n[i], nj, t)
             fewest = np.minimum(ell, least)
             ok = (n[i] - pos[i] >= least - fewest + 1) & (nj - pj >= least - fewest + 1)
+            i, j, nj, least, fewest = i[ok], j[ok], nj[ok], least[ok], fewest[ok]
+            # members that one set lacks: at least the bits that differ
+            differ = np.bitwise_count(x["sig"][tr[i]] ^ x["sig"][ev[j]]).sum(axis=1).astype(np.int64)
+            ok = n[i] + nj - differ >= 2 * least
             found.append(np.stack([ti[i[ok]] * len(es) + ei[j[ok]], -(-ell // np.maximum(fewest[ok], 1))]))
         if not found or not sum(f.shape[1] for f in found):
             return empty
@@ -86,7 +94,7 @@ def _describe(width: int, ranks):
     return run
 
 
-def cross_split_links(df: DataFrame, key: str, split: str, fields: list[str], width: int = 1, threshold: float = 0.7, ell: int = 3) -> tuple[DataFrame, DataFrame]:
+def cross_split_links(df: DataFrame, key: str, split: str, fields: list[str], width: int = 1, threshold: float = 0.7, ell: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (k, field, eval, cls); links (train_cls, eval_cls, similarity) between the distinct sets of both sides."""
     spark = df.sparkSession
     buckets = n_buckets(spark)
@@ -96,7 +104,7 @@ def cross_split_links(df: DataFrame, key: str, split: str, fields: list[str], wi
     ranks = spark.sparkContext.broadcast(sj.sketch(rows, "t", width))
     kind = dict(rows.dtypes)["k"]
     docs = materialise(rows.mapInArrow(_describe(width, ranks), f"k {kind}, f int, cls long"), "split-docs")
-    blobs = rows.select("t", "f").mapInArrow(sj.postings(width, threshold, ell, ranks, buckets, lambda x: np.zeros(len(x.n), np.uint64)), sj.BLOB)
+    blobs = rows.select("t", "f").mapInArrow(sj.postings(width, threshold, ell, ranks, buckets, lambda x: np.zeros(len(x.n), np.uint64), words=WORDS), sj.BLOB)
     near = blobs.groupBy("bucket").applyInArrow(_probe(threshold, ell, buckets), sj.PAIR).groupBy("bucket").applyInArrow(sj.add_pairs(ell), "a long, b long")
     train = docs.filter("f % 2 = 0").groupBy("cls").agg(F.min("k").alias("ra"))
     held = docs.filter("f % 2 = 1").groupBy("cls").agg(F.min("k").alias("rb"))
