@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm import consensus as cs
+from docloom.llm import mixing as mx
 from docloom.llm import near_duplicates as nd
 from docloom.llm import repeated_lines as rl
 from docloom.llm import split_overlap as so
@@ -22,6 +24,29 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def _votes(spark: SparkSession, sf: str, score: str = "correctness") -> DataFrame:
+    return cs.valid_votes(_read(spark, sf, "judge_results"), _read(spark, sf, "judge_models"), score)
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.element_at(F.array(*[F.lit(b) for b in cs.BANDS]), F.col("label") + 1)
+    return cs.Consensus(_votes(spark, sf)).posterior().select("eval_id", label.alias("verdict"))
+
+
+def p3_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    scores = ("correctness", "hallucination", "overall_score")
+    each = [cs.Consensus(_votes(spark, sf, s)).reliability().withColumn("score", F.lit(s)) for s in scores]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def p3_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    return cs.agreement_parts(_votes(spark, sf)).select("eval_id", F.col("n").cast("bigint").alias("n_votes"), F.round("agreement", 6).alias("agreement"))
+
+
+def p3_alpha(spark: SparkSession, sf: str) -> DataFrame:
+    return cs.krippendorff(_votes(spark, sf)).select(F.col("n_items").cast("bigint").alias("n_items"), F.col("n_votes").cast("bigint").alias("n_votes"), F.round("alpha", 6).alias("alpha"))
+
+
 def _oversized(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:
     chunks = _read(spark, sf, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), "text")
     sections = _read(spark, sf, "sections").select(F.lit("section").alias("item_kind"), F.col("section_id").cast("string").alias("item_key"), sp.lines_text(F.col("font_lines")).alias("text"))
@@ -58,6 +83,22 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return so.cross_split_report(_read(spark, sf, "triplets"), "triplet_id", "split", "source", ["query", "pos"], width=1, threshold=0.7)
 
 
+def _mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mx.rates(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mx.falling_short(_mix(spark, sf))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mx.emit(_read(spark, sf, "documents"), _mix(spark, sf), "doc_id")
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mx.report(_read(spark, sf, "documents"), _mix(spark, sf), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
