@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import consensus as cs
+from docloom.llm import contamination as cn
 from docloom.llm import mixing as mx
 from docloom.llm import near_duplicates as nd
 from docloom.llm import repeated_lines as rl
@@ -83,6 +84,24 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return so.cross_split_report(_read(spark, sf, "triplets"), "triplet_id", "split", "source", ["query", "pos"], width=1, threshold=0.7)
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return cn.leaks(_read(spark, sf, "documents"), "doc_id", "text", _read(spark, sf, "heldout_items"), "item_id", "text", width=12)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select(F.col("k").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return cn.removal_spans(_leaks(spark, sf)).withColumnRenamed("k", "doc_id")
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    items = _read(spark, sf, "heldout_items").select("item_id", "suite")
+    hits = _leaks(spark, sf).groupBy(F.col("item").alias("item_id")).agg(F.count_distinct("k").alias("n_docs"))
+    return items.join(hits, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
 def _mix(spark: SparkSession, sf: str) -> DataFrame:
     return mx.rates(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
 
