@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm import answer_defects as ad
 from docloom.llm import consensus as cs
 from docloom.llm import contamination as cn
 from docloom.llm import mixing as mx
@@ -25,6 +26,10 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return ad.defects(_read(spark, sf, "evaluations"), "eval_id", "question", "answer", "ingested_at").select(F.col("k").alias("eval_id"), "defect")
+
+
 def _votes(spark: SparkSession, sf: str, score: str = "correctness") -> DataFrame:
     return cs.valid_votes(_read(spark, sf, "judge_results"), _read(spark, sf, "judge_models"), score)
 
