@@ -13,6 +13,7 @@ from docloom.llm import contamination as cn
 from docloom.llm import mixing as mx
 from docloom.llm import near_duplicates as nd
 from docloom.llm import repeated_lines as rl
+from docloom.llm import sentences as se
 from docloom.llm import split_overlap as so
 from docloom.llm import splitting as sp
 
@@ -123,6 +124,10 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return mx.report(_read(spark, sf, "documents"), _mix(spark, sf), "doc_id")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return se.sentence_units(_read(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("k", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
