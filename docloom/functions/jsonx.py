@@ -88,7 +88,10 @@ def _batch_items(text: str, expected: int) -> list | None:
     return out if len(out) == expected else None
 
 
-@F.pandas_udf("array<struct<pair_index:int,scores:struct<accuracy:double,relevance:double,correctness:double,hallucination:double,completeness:double>,valid:boolean>>")
+_BATCH = T.ArrayType(T.StructType([T.StructField("pair_index", T.IntegerType()), T.StructField("scores", SCORES), T.StructField("valid", T.BooleanType())]))
+
+
+@F.pandas_udf(_BATCH)
 def parse_judge_batch(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Several judgements in one response: an array, its outermost brackets, or object by object; strict JSON, so in Python."""
     zero = dict.fromkeys(CRITERIA, 0.0)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: One white-space character, spelled so that Java and RE2 read the same set.
 WS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -58,7 +59,7 @@ def collapse(c: Column) -> Column:
     return strip_u(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -66,7 +67,7 @@ def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _clean(c: Column) -> Column:
     c = F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}", " "), r"\n{3,}", "\n\n")
-    return strip_u(F.regexp_replace(c, rf"(?m)^(?:[.\-]|{WS}){{5,}}$", ""))
+    return strip_u(F.regexp_replace(c, rf"(?md)^(?:[.\-]|{WS}){{5,}}$", ""))
 
 
 def clean_text_ascii(c: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from docloom.functions import text as tx
 from docloom.operators import structure as st
@@ -122,7 +123,7 @@ def recursive_chunks(df: DataFrame, keys: list[str], text: str, chunk_tokens: in
     size, overlap = chunk_tokens * 4, overlap_tokens * 4
     separators = SENTENCE_SEPARATORS if sentences else PLAIN_SEPARATORS
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def split(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield s.map(lambda t: split_recursive(t, size, overlap, separators, sentences), na_action="ignore")
@@ -164,20 +165,39 @@ def flat_chunks(df: DataFrame, keys: list[str], text: str, paragraphs: int = 20,
     return df.filter(F.col(text).isNotNull()).select(*keys, F.explode(split(F.col(text))).alias("c")).select(*keys, "c.chunk_id", "c.text")
 
 
+def _split_prose(rows: DataFrame, keys: list[str], chunk_tokens: int, overlap_tokens: int, min_tokens: int, max_tokens: int) -> DataFrame:
+    """keys, piece, text: texts over the chunk size are split; noise and short pieces are left out, long ones cut."""
+    size, overlap = chunk_tokens * 4, overlap_tokens * 4
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def split(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: split_recursive(t, size, overlap), na_action="ignore")
+
+    large = tx.approx_tokens(F.col("text")) > chunk_tokens
+    pieces = F.when(large, split(F.when(large, F.col("text")))).otherwise(F.array("text"))
+    rows = rows.select(*keys, F.posexplode(pieces).alias("piece", "text")).filter(~tx.is_noise(F.col("text")) & (tx.approx_tokens(F.col("text")) >= min_tokens))
+    cut = F.array_join(F.slice(tx.words(F.col("text")), 1, max_tokens * 3 // 4), " ")
+    return rows.withColumn("text", F.when(tx.approx_tokens(F.col("text")) > max_tokens, cut).otherwise(F.col("text")))
+
+
 def section_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_tokens: int = 32, min_tokens: int = 20, max_tokens: int = 512) -> DataFrame:
-    """doc, sec_id, chunk_index, chapter, section, page_num, text: sections of font lines, split where too long, under their breadcrumb."""
-    whole = st.section_texts(lines, doc)
-    parts = recursive_chunks(whole, [doc, "sec_id", "chapter", "section", "page_num"], "text", chunk_tokens, overlap_tokens, min_tokens)
-    return parts.withColumn("text", F.concat(tx.breadcrumb(F.col("chapter"), F.col("section")), F.col("text")))
+    """doc, sec_id, chunk_index, chapter, section, page_num, token_count, text: sections of font lines, split where too long, under their breadcrumb."""
+    whole = st.section_texts(lines, doc).withColumn("text", tx.clean_text(F.col("text"))).filter(~tx.is_noise(F.col("text")))
+    parts = _split_prose(whole, [doc, "sec_id", "chapter", "section", "page_num"], chunk_tokens, overlap_tokens, min_tokens, max_tokens)
+    headed = parts.withColumn("text", F.concat(tx.breadcrumb(F.col("chapter"), F.col("section")), F.col("text")))
+    return headed.select(doc, "sec_id", F.col("piece").alias("chunk_index"), "chapter", "section", "page_num", tx.approx_tokens(F.col("text")).alias("token_count"), "text")
 
 
 def block_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_tokens: int = 32, min_tokens: int = 20, max_tokens: int = 512, oversized: str = "keep") -> DataFrame:
     """Blocks of commands and step tables stay whole; prose is split.  ``oversized`` blocks are kept or dropped."""
-    spans = st.span_islands(lines, doc)
-    atomic = spans.filter(F.col("kind") != "prose").select(doc, "sec_id", "island", F.lit(0).alias("piece"), "kind", "text", "page_num").withColumn("oversized", tx.approx_tokens(F.col("text")) > max_tokens)
+    spans = st.span_islands(lines, doc).withColumn("text", tx.clean_text(F.col("text"))).filter(~tx.is_noise(F.col("text")))
+    atomic = spans.filter(F.col("kind").isin(*st.ATOMIC) & (tx.approx_tokens(F.col("text")) >= min_tokens)).withColumn("oversized", tx.approx_tokens(F.col("text")) > max_tokens)
     if oversized == "drop":
         atomic = atomic.filter(~F.col("oversized"))
-    prose = recursive_chunks(spans.filter(F.col("kind") == "prose"), [doc, "sec_id", "island", "kind", "page_num"], "text", chunk_tokens, overlap_tokens, min_tokens).select(doc, "sec_id", "island", F.col("chunk_index").alias("piece"), "kind", "text", "page_num", F.lit(False).alias("oversized"))
-    every = atomic.filter(tx.approx_tokens(F.col("text")) >= min_tokens).unionByName(prose)
-    order = Window.partitionBy(doc).orderBy("sec_id", "island", "piece")
-    return every.withColumn("chunk_index", F.row_number().over(order) - 1)
+    keys = [doc, "sec_id", "island", "kind", "chapter", "section", "page_num"]
+    prose = _split_prose(spans.filter(~F.col("kind").isin(*st.ATOMIC)), keys, chunk_tokens, overlap_tokens, min_tokens, max_tokens).withColumn("oversized", F.lit(False))
+    every = atomic.withColumn("piece", F.lit(0)).select(*keys, "piece", "text", "oversized").unionByName(prose)
+    order = Window.partitionBy(doc, "sec_id").orderBy("island", "piece")
+    headed = every.withColumn("text", F.concat(tx.breadcrumb(F.col("chapter"), F.col("section")), F.col("text")))
+    return headed.withColumn("chunk_index", F.row_number().over(order) - 1).select(doc, "sec_id", "chunk_index", F.col("kind").alias("block_type"), "oversized", "page_num", tx.approx_tokens(F.col("text")).alias("token_count"), "text")

@@ -58,7 +58,7 @@ def critical_issues(rows: DataFrame, key: str, judge: str, issues: str, most: in
     judges = rows.groupBy(key).agg(F.count("*").alias("judges"))
     said = rows.select(key, judge, F.posexplode(issues).alias("pos", "issue"))
     counts = said.groupBy(key, "issue").agg(F.count("*").alias("n"), F.min(F.struct(judge, "pos")).alias("first"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("n").desc(), "first", "issue"))
     return counts.withColumn("place", place).filter(F.col("place") <= most).join(judges, key).filter(F.col("n") > share * F.col("judges")).select(key, "issue", "n", "place")
 
 

@@ -23,7 +23,7 @@ def in_page_body(top: Column, bottom: Column, height: Column, header: float = 0.
 def line_roles(words: DataFrame, keys: list[str], pos: str, font: str, size: str) -> DataFrame:
     """keys, role: by the words' fonts.  The commonest font decides (the first of equals), with the upper median size."""
     fonts = words.groupBy(*keys, font).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
-    main = fonts.groupBy(*keys).agg(F.max_by(F.lower(font), F.struct("n", -F.col("first"))).alias("main"), F.every(F.lower(font).contains("courier")).alias("mono"))
+    main = fonts.groupBy(*keys).agg(F.max_by(F.lower(font), F.struct("n", -F.col("first"), F.lower(font))).alias("main"), F.every(F.lower(font).contains("courier")).alias("mono"))
     sizes = words.groupBy(*keys).agg(F.array_sort(F.collect_list(size)).alias("s")).select(*keys, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("size"))
     f = F.col("main")
     structural = f.contains("univers") & f.contains("condensed") & f.contains("bold")
@@ -70,7 +70,7 @@ def span_islands(lines: DataFrame, doc: str) -> DataFrame:
     rows = with_kinds(lines, doc).withColumn("_new", F.coalesce((F.col("kind") != F.lag("kind").over(w)).cast("int"), F.lit(0)))
     rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
-    spans = rows.groupBy(doc, "sec_id", "island").agg(F.first("kind").alias("kind"), F.count("*").alias("n_lines"), F.min("page_num").alias("page_num"), whole.alias("text"))
+    spans = rows.groupBy(doc, "sec_id", "island").agg(F.first("kind").alias("kind"), F.count("*").alias("n_lines"), F.first("chapter").alias("chapter"), F.first("section").alias("section"), F.first("section_page").alias("page_num"), whole.alias("text"))
     trimmed = F.regexp_replace("text", rf"\A(?:{tx.WS}*\n)+|(?:\n{tx.WS}*)+\z", "")
     return spans.withColumn("text", trimmed).filter(tx.strip_u(F.col("text")) != "")
 
