@@ -23,6 +23,8 @@ OPENERS = ("interface", "ip", "ipv6", "router", "access-list", "line", "hostname
 FOREIGN = ("bash", "shell", "python", "javascript", "html", "css")
 STOPS = ("end", "exit")
 
+INSTRUCTIONS = "You configure network devices. Reply with one fenced block of commands and nothing else."
+
 
 def command_pattern(alone: bool) -> str:
     """The accepting pattern of a line, in a form that Java and RE2 read alike."""
@@ -93,11 +95,11 @@ def unfence_answer(c: Column) -> Column:
     return strip_u(F.regexp_replace(opened, r"```\z", ""))
 
 
-def prompt(context: Column, question: Column, instructions: str = "You configure network devices. Reply with one fenced block of commands and nothing else.") -> Column:
+def prompt(context: Column, question: Column, instructions: str = INSTRUCTIONS) -> Column:
     """Context and question in the chat layout that the generator continues inside an open fence."""
     return F.concat(F.lit(instructions + "\n\nContext (from docs):\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion:\n"), question, F.lit("\n\n```"))
 
 
-def bare_prompt(question: Column, instructions: str = "You configure network devices. Reply with one fenced block of commands and nothing else.") -> Column:
+def bare_prompt(question: Column, instructions: str = INSTRUCTIONS) -> Column:
     return F.concat(F.lit(instructions + "\n\nQuestion:\n"), question, F.lit("\n\n```"))
 

@@ -30,7 +30,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, vec_key: str, query_key:
     out: DataFrame | None = None
     for at in range(0, max(1, n), QUERY_BLOCK):
         part = block.offset(at).limit(QUERY_BLOCK).toArrow()
-        matrix = np.array(part.column("v").to_pylist(), np.float64).reshape(part.num_rows, -1)
+        matrix = np.array(part.column("v").to_pylist() or np.empty((0, 1)), np.float64)
         sent = spark.sparkContext.broadcast((part.column("q").combine_chunks(), matrix))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -311,7 +311,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rrf_fusion_prefix_key(spark: SparkSession, sf: str) -> DataFrame:
-    return _fused(spark, sf).select("question_id", "chunk_id", "score", "rank")
+    return _fused(spark, sf).select("question_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query

@@ -6,6 +6,9 @@ from docloom.functions.text import BOILERPLATE_PHRASES, NOISE_PREFIXES, WS
 from docloom.operators import answers as an
 from docloom.operators.judging import READINESS, WEIGHTS
 
+CRITERIA = tuple(WEIGHTS)
+INSTRUCTIONS = an.INSTRUCTIONS
+
 NWS = WS.replace("[", "[^", 1)
 
 
@@ -271,4 +274,22 @@ t AS (SELECT *, CASE WHEN kind = 'best' AND score IS NOT NULL THEN 2 WHEN score
 SELECT path, kind, score FROM t ORDER BY tier DESC, CASE WHEN tier > 0 THEN score ELSE 0 END DESC, path LIMIT 1""",
     "unit_vectors": "SELECT vec_id, 1.0::DOUBLE AS norm, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS squared FROM embeddings",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "rrf_fusion_prefix_key": f"""
+WITH {bm25(CHUNK_TEXTS, "chunk_id", TOPICAL, 30, "top")}, {bm25(CHUNK_TEXTS, "chunk_id", ASKED, 50, "lex")},
+e AS (SELECT question_id, chunk_id, 0 AS list, rank FROM top UNION ALL SELECT question_id, chunk_id, 1, rank FROM lex),
+k AS (SELECT e.*, coalesce(metadata.source_file, '') || chr(31) || coalesce(metadata.page_num::VARCHAR, '') || chr(31) || substr(text, 1, 64) AS key FROM e JOIN chunks USING (chunk_id)),
+m AS (SELECT question_id, key, max(rank) FILTER (WHERE list = 0) AS r0, max(rank) FILTER (WHERE list = 1) AS r1, min(list * 100000 + rank) AS f, arg_max(chunk_id, list * 100000 + rank) AS chunk_id FROM k GROUP BY ALL),
+s AS (SELECT *, round(coalesce(1.0 / (60 + r0), 0) + coalesce(1.0 / (60 + r1), 0), 9) AS score FROM m)
+SELECT question_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, f) AS rank FROM s) WHERE rank <= 20""",
+    "judge_json": rf"""
+WITH {RESPONSES}, t AS (SELECT result_id, {THOUGHTLESS} AS body FROM responses),
+u AS (SELECT result_id, body, regexp_replace(regexp_replace(body, '\A\s*(?:```json|```)?\s*', ''), '\s*(?:```)?\s*\z', '') AS whole, regexp_extract(body, '(?s)\{{.*\}}', 0) AS inner_text FROM t),
+j AS (SELECT *, CASE WHEN json_valid(whole) THEN whole::JSON END AS w, CASE WHEN json_valid(inner_text) THEN inner_text::JSON END AS i FROM u),
+v AS (SELECT *, {" AND ".join(f"coalesce(json_type(w, '$.{c}') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND TRY_CAST(w->>'$.{c}' AS DOUBLE) BETWEEN 0 AND 10, false)" for c in CRITERIA)} AS w_ok,
+  {" AND ".join(f"coalesce(json_type(i, '$.{c}') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND TRY_CAST(i->>'$.{c}' AS DOUBLE) BETWEEN 0 AND 10, false)" for c in CRITERIA)} AS i_ok,
+  {", ".join(rf"coalesce(nullif(regexp_extract(body, '{chr(34)}{c}{chr(34)}\s*:\s*([0-9]+(?:\.[0-9]+)?)', 1), '')::DOUBLE, 0.0) AS x_{c}" for c in CRITERIA)} FROM j),
+o AS (SELECT *, CASE WHEN w_ok THEN 'whole' WHEN i_ok THEN 'inner' WHEN greatest({", ".join(f"x_{c}" for c in CRITERIA)}) > 0 THEN 'scores' ELSE 'none' END AS method FROM v)
+SELECT result_id, method, method <> 'none' AS ok, {", ".join(f"CASE method WHEN 'whole' THEN TRY_CAST(w->>'$.{c}' AS DOUBLE) WHEN 'inner' THEN TRY_CAST(i->>'$.{c}' AS DOUBLE) WHEN 'scores' THEN x_{c} ELSE 0.0 END AS {c}" for c in ("accuracy", "correctness"))},
+  CASE method WHEN 'whole' THEN (w->>'$.confidence')::DOUBLE WHEN 'inner' THEN (i->>'$.confidence')::DOUBLE WHEN 'scores' THEN 50.0 ELSE 0.0 END AS confidence FROM o""",
+    "prompts": f"SELECT question_id, length({q(INSTRUCTIONS)} || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || '```') AS n_bare, sha1({q(INSTRUCTIONS)} || chr(10) || chr(10) || 'Context (from docs):' || chr(10) || coalesce(topic, '') || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || '```') AS sha1 FROM questions",
 }
