@@ -12,6 +12,7 @@ from docloom.llm import consensus as cs
 from docloom.llm import contamination as cn
 from docloom.llm import mixing as mx
 from docloom.llm import near_duplicates as nd
+from docloom.llm import oracles
 from docloom.llm import repeated_lines as rl
 from docloom.llm import sentences as se
 from docloom.llm import split_overlap as so
@@ -133,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
