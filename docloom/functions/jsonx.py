@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -49,24 +49,33 @@ def _strict(c: Column) -> Column:
     return F.from_json(F.when(c.rlike(r"(?s)\A\s*\{.*\}\s*\z"), c), _RESPONSE)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def parse_judge(c: Column) -> Column:
     """struct(scores, confidence, issues, method, ok): the whole text, else its outermost braces, else score by score."""
-    body = strip_thinking(c)
-    whole = _strict(unfence(body))
-    inner = _strict(F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit("")))
-    single = {k: F.coalesce(F.nullif(F.regexp_extract(body, rf'"{k}"\s*:\s*([0-9]+(?:\.[0-9]+)?)', 1), F.lit("")).cast("double"), F.lit(0.0)) for k in CRITERIA}
-    some = F.greatest(*single.values()) > 0
+    none = F.array().cast("array<string>")
 
     def made(method: str, scores: dict[str, Column], confidence: Column, issues: Column, ok: bool) -> Column:
         return F.struct(F.struct(*[scores[k].alias(k) for k in CRITERIA]).alias("scores"), confidence.cast("double").alias("confidence"), issues.alias("issues"), F.lit(method).alias("method"), F.lit(ok).alias("ok"))
 
-    none = F.array().cast("array<string>")
-    return (
-        F.when(valid_scores(whole), made("whole", {k: whole[k] for k in CRITERIA}, whole["confidence"], F.coalesce(whole["potential_issues"], none), True))
-        .when(valid_scores(inner), made("inner", {k: inner[k] for k in CRITERIA}, inner["confidence"], F.coalesce(inner["potential_issues"], none), True))
-        .when(some, made("scores", single, F.lit(50.0), none, True))
-        .otherwise(made("none", dict.fromkeys(CRITERIA, F.lit(0.0)), F.lit(0.0), F.array(F.lit("Evaluation failed")), False))
-    )
+    def from_object(method: str, d: Column) -> Column:
+        return made(method, {k: d[k] for k in CRITERIA}, d["confidence"], F.coalesce(d["potential_issues"], none), True)
+
+    def by_score(body: Column) -> Column:
+        found = F.struct(*[F.coalesce(F.nullif(F.regexp_extract(body, rf'"{k}"\s*:\s*([0-9]+(?:\.[0-9]+)?)', 1), F.lit("")).cast("double"), F.lit(0.0)).alias(k) for k in CRITERIA])
+        zero = made("none", dict.fromkeys(CRITERIA, F.lit(0.0)), F.lit(0.0), F.array(F.lit("Evaluation failed")), False)
+        return let(found, lambda x: F.when(F.greatest(*[x[k] for k in CRITERIA]) > 0, made("scores", {k: x[k] for k in CRITERIA}, F.lit(50.0), none, True)).otherwise(zero))
+
+    def inner(body: Column) -> Column:
+        return let(_strict(F.nullif(F.regexp_extract(body, r"(?s)\{.*\}", 0), F.lit(""))), lambda d: F.when(valid_scores(d), from_object("inner", d)).otherwise(by_score(body)))
+
+    def whole(body: Column) -> Column:
+        return let(_strict(unfence(body)), lambda d: F.when(valid_scores(d), from_object("whole", d)).otherwise(inner(body)))
+
+    return let(strip_thinking(c), whole)
 
 
 def _batch_items(text: str, expected: int) -> list | None:

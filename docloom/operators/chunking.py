@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 from docloom.functions import text as tx
 from docloom.operators import structure as st
 from docloom.operators.dedup import first_wins
+from docloom.session import materialise
 
 #: Separators of the recursive splitter, coarse to fine, without and with sentence marks.
 PLAIN_SEPARATORS, SENTENCE_SEPARATORS = ("\n\n", "\n", ". ", " ", ""), ("\n\n", "\n", ". ", "! ", "? ", " ", "")
@@ -56,13 +57,17 @@ def hierarchical_chunks(df: DataFrame, document: str, section: str, order: list[
 def numbered(df: DataFrame, file: str, order: list[str], name: str = "id") -> DataFrame:
     """Ids ``chunk000000`` ... in order of file and position.
 
-    Counts per file come first and become offsets; rows are numbered within
-    their file, so no window holds all rows in one partition.
+    Rows are range-partitioned by file and position and sorted within their
+    partition; the partitions' counts become offsets.  A file with a third of
+    all rows spreads over many partitions, and only one number per partition
+    passes through a single task.
     """
-    counts = df.groupBy(file).agg(F.count("*").alias("_n"))
-    offsets = counts.select(F.col(file).alias("_f"), F.coalesce(F.sum("_n").over(Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy(file).orderBy(*order)) - 1
-    return df.withColumn("_rank", rank).join(offsets, F.col(file).eqNullSafe(F.col("_f"))).withColumn(name, F.format_string("chunk%06d", F.col("_offset") + F.col("_rank"))).drop("_rank", "_f", "_n", "_offset")
+    ordered = df.repartitionByRange(file, *order).sortWithinPartitions(file, *order)
+    at = F.monotonically_increasing_id()
+    placed = materialise(ordered.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    return placed.join(offsets, "_part").withColumn(name, F.format_string("chunk%06d", F.col("_offset") + F.col("_at"))).drop("_part", "_at", "_offset")
 
 
 def paragraph_chunks(df: DataFrame, keys: list[str], text: str, separator: str = "\n\n", min_tokens: int = 20, max_tokens: int = 512, ascii_only: bool = False) -> DataFrame:

@@ -12,15 +12,22 @@ def quality(score: Column, label: Column, least: int = 2) -> Column:
 
 
 def topic_split(df: DataFrame, topic: str, key: str, ratio: float = 1 - 0.9, seed: int = 42) -> DataFrame:
-    """Adds is_val: in each topic the first max(1, floor(n * ratio)) rows by seeded hash.
+    """Adds is_val: in each topic the first max(1, floor(n * ratio)) rows by seeded hash, ties by key.
 
-    The order is a hash, so the split does not depend on partitions; the
-    hash's rank is taken per topic, with ties by key.
+    Hash prefixes are counted per topic first.  Whole prefixes fall on either
+    side of the cut; only the rows of the prefix that holds the cut are
+    ranked, so a topic with a third of all rows is never sorted in one task.
     """
-    h = F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    n = df.groupBy(F.col(topic).alias("_t")).agg(F.greatest(F.lit(1), F.floor(F.count("*") * ratio)).alias("_n_val"))
-    rank = F.row_number().over(Window.partitionBy(topic).orderBy("_h", key))
-    return df.withColumn("_h", h).withColumn("_rank", rank).join(n, F.col(topic).eqNullSafe(F.col("_t"))).withColumn("is_val", F.col("_rank") <= F.col("_n_val")).drop("_h", "_rank", "_t", "_n_val")
+    rows = df.withColumn("_h", F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = rows.groupBy(F.col(topic).alias("_t"), F.col("_b").alias("_p")).agg(F.count("*").alias("_n"))
+    run = Window.partitionBy("_t").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sized = counts.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).withColumn("_n_val", F.greatest(F.lit(1), F.floor(F.sum("_n").over(Window.partitionBy("_t")) * ratio)))
+    cut = sized.filter((F.col("_before") < F.col("_n_val")) & (F.col("_before") + F.col("_n") >= F.col("_n_val"))).select("_t", "_p", (F.col("_n_val") - F.col("_before")).alias("_take"))
+    marked = rows.join(cut, F.col(topic).eqNullSafe(F.col("_t")))
+    clear = marked.filter(F.col("_b") != F.col("_p")).withColumn("is_val", F.col("_b") < F.col("_p"))
+    rank = F.row_number().over(Window.partitionBy(topic, "_b").orderBy("_h", key))
+    close = marked.filter(F.col("_b") == F.col("_p")).withColumn("is_val", rank <= F.col("_take"))
+    return clear.unionByName(close).drop("_h", "_b", "_t", "_p", "_take")
 
 
 def accuracy(df: DataFrame, pos: str, neg: str) -> DataFrame:

@@ -22,6 +22,7 @@ from docloom.operators import stats as sx
 from docloom.operators import structure as st
 from docloom.operators import triplets as tp
 from docloom.plans import oracles
+from docloom.session import spread
 from docloom.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +42,10 @@ def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in oracles.SQL.items() if k in REGISTRY}
 
 
-def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+def read(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
+    """A table; with columns, only those, spread over all cores for work that is heavy per row."""
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    return spread(df.select(*columns)) if columns else df
 
 
 # -- text ----------------------------------------------------------------------
@@ -50,12 +53,12 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 @query
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "chunks").select("chunk_id", tx.clean_text(F.col("text")).alias("text"))
+    return read(spark, sf, "chunks", "chunk_id", "text").select("chunk_id", tx.clean_text(F.col("text")).alias("text"))
 
 
 @query
 def clean_text_ascii(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "chunks").select("chunk_id", tx.clean_text_ascii(F.col("text")).alias("text"))
+    return read(spark, sf, "chunks", "chunk_id", "text").select("chunk_id", tx.clean_text_ascii(F.col("text")).alias("text"))
 
 
 @query
@@ -71,7 +74,7 @@ def token_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
-    lines = read(spark, sf, "chunks").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = read(spark, sf, "chunks", "chunk_id", "text").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.filter(tx.is_noise(F.col("line"))).groupBy("chunk_id").agg(F.count("*").alias("n_noise"), F.min("pos").cast("bigint").alias("first_noise"))
 
 
@@ -121,7 +124,7 @@ def model_slugs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sections(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("section"), F.col("lang"), "text")
+    return read(spark, sf, "documents", "doc_id", "source", "lang", "text").select("doc_id", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("section"), F.col("lang"), "text")
 
 
 @query
@@ -159,23 +162,23 @@ def chunking_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def paragraph_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    out = ck.paragraph_chunks(read(spark, sf, "documents"), ["doc_id"], "text", min_tokens=20, max_tokens=60, ascii_only=True)
+    out = ck.paragraph_chunks(read(spark, sf, "documents", "doc_id", "text"), ["doc_id"], "text", min_tokens=20, max_tokens=60, ascii_only=True)
     return out.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.sha1("text").alias("sha1"))
 
 
 @query
 def recursive_split(spark: SparkSession, sf: str) -> DataFrame:
-    return ck.recursive_chunks(read(spark, sf, "documents"), ["doc_id"], "text")
+    return ck.recursive_chunks(read(spark, sf, "documents", "doc_id", "text"), ["doc_id"], "text")
 
 
 @query
 def semantic_split(spark: SparkSession, sf: str) -> DataFrame:
-    return ck.recursive_chunks(read(spark, sf, "documents"), ["doc_id"], "text", sentences=True)
+    return ck.recursive_chunks(read(spark, sf, "documents", "doc_id", "text"), ["doc_id"], "text", sentences=True)
 
 
 @query
 def flat_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return ck.flat_chunks(read(spark, sf, "documents"), ["doc_id"], "text")
+    return ck.flat_chunks(read(spark, sf, "documents", "doc_id", "text"), ["doc_id"], "text")
 
 
 @query
@@ -191,8 +194,8 @@ def normalised_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def flat_json_group(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "chunks").select(F.col("metadata.source_file").alias("source_file"), F.col("metadata.chunk_index").alias("ord"), "chunk_id", "text")
-    out = sinks.grouped_texts(rows, "source_file", ["ord", "chunk_id"], "text")
-    return out.select("source_file", F.size("texts").cast("bigint").alias("n"), F.sha1(F.array_join("texts", "\x1e")).alias("sha1"))
+    out = sinks.grouped_texts(rows, "source_file", "ord", ["ord", "chunk_id"], "text", size=500)
+    return out.select("source_file", F.col("part").cast("bigint").alias("part"), F.size("texts").cast("bigint").alias("n"), F.sha1(F.array_join("texts", "\x1e")).alias("sha1"))
 
 
 @query
@@ -245,12 +248,12 @@ def span_islands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return ck.section_chunks(st.font_lines(read(spark, sf, "sections")), "section_id")
+    return ck.section_chunks(st.font_lines(read(spark, sf, "sections", "section_id", "font_lines")), "section_id")
 
 
 @query
 def block_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return ck.block_chunks(st.font_lines(read(spark, sf, "sections")), "section_id")
+    return ck.block_chunks(st.font_lines(read(spark, sf, "sections", "section_id", "font_lines")), "section_id")
 
 
 @query
@@ -282,7 +285,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    return rt.bm25_topk(read(spark, sf, "chunks"), _asked(spark, sf), "chunk_id", "text", "question_id", "question", k=50)
+    return rt.bm25_topk(read(spark, sf, "chunks", "chunk_id", "text"), _asked(spark, sf), "chunk_id", "text", "question_id", "question", k=50)
 
 
 @query
@@ -293,7 +296,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 def _topic_list(spark: SparkSession, sf: str) -> DataFrame:
     """A second ranking of the same chunks: BM25 for the question's topic and its text."""
     asked = _asked(spark, sf).select("question_id", F.concat_ws(" ", "topic", F.lower("question")).alias("question"))
-    return rt.bm25_topk(read(spark, sf, "chunks"), asked, "chunk_id", "text", "question_id", "question", k=30)
+    return rt.bm25_topk(read(spark, sf, "chunks", "chunk_id", "text"), asked, "chunk_id", "text", "question_id", "question", k=30)
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,7 +371,7 @@ def hybrid_rag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "evaluations").filter("answer is not null").select("eval_id", "answer").distinct()
+    return read(spark, sf, "evaluations", "eval_id", "answer").filter("answer is not null").distinct()
 
 
 @query
@@ -418,7 +421,7 @@ def _responses(spark: SparkSession, sf: str) -> DataFrame:
         .when(n == 5, F.concat(body, F.lit("<thinking>never closed")))
         .otherwise(F.replace(body, F.lit('"accuracy": '), F.lit('"accuracy": "x", "was": ')))
     )
-    return read(spark, sf, "judge_results").select("result_id", text.alias("response"))
+    return read(spark, sf, "judge_results", "result_id", *jsonx.CRITERIA).select("result_id", text.alias("response"))
 
 
 @query

@@ -200,7 +200,7 @@ p AS (SELECT doc_id, chunk_index, {clean("raw")} AS p FROM u)
 SELECT doc_id, chunk_index, sha1(CASE WHEN {tokens("p")} > 60 THEN array_to_string(regexp_extract_all(p, {q(NWS + "+")})[1:45], ' ') ELSE p END) AS sha1 FROM p WHERE NOT {noise("p")} AND {tokens("p")} >= 20""",
     "sha1_dedup": "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY sha1(text)",
     "normalised_dedup": f"SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY source, sha256(regexp_replace({strip('lower(text)')}, {q(WS + '+')}, ' ', 'g'))",
-    "flat_json_group": "SELECT metadata.source_file AS source_file, count(*) AS n, sha1(string_agg(text, chr(30) ORDER BY metadata.chunk_index NULLS FIRST, chunk_id)) AS sha1 FROM chunks GROUP BY 1",
+    "flat_json_group": "SELECT metadata.source_file AS source_file, coalesce(metadata.chunk_index, 0) // 500 AS part, count(*) AS n, sha1(string_agg(text, chr(30) ORDER BY metadata.chunk_index NULLS FIRST, chunk_id)) AS sha1 FROM chunks GROUP BY 1, 2",
     "structure_counts": "SELECT metadata.source_file AS source_file, count(DISTINCT coalesce('v' || metadata.chapter, 'n')) AS chapters, count(DISTINCT coalesce('v' || metadata.chapter, 'n') || chr(31) || coalesce('v' || metadata.section, 'n')) AS sections, count(*) AS chunks FROM chunks GROUP BY 1",
     "block_types": "SELECT metadata.block_type AS block_type, count(*) AS n, count(*) FILTER (WHERE metadata.oversized) AS n_oversized FROM chunks GROUP BY 1",
     "font_line_roles": """

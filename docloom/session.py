@@ -38,3 +38,13 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 def n_buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores where the scan has fewer splits than cores; as it is where the data bring enough of them.
+
+    A scan cannot split a row group, so a small table may come as one
+    partition and leave every other core idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def grouped_texts(df: DataFrame, file: str, order: list[str], text: str) -> DataFrame:
-    """file, texts: each file's texts in order."""
+def grouped_texts(df: DataFrame, file: str, place: str, order: list[str], text: str, size: int = 10_000) -> DataFrame:
+    """file, part, texts: each file's texts in order, in parts of ``size`` places.
+
+    ``place`` is the row's number within its file.  A file of any length comes
+    as lists of bounded length, so no task holds a whole hot file.
+    """
     parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
-    return df.groupBy(file).agg(F.transform(parts, lambda x: x["_t"]).alias("texts"))
+    return df.groupBy(file, F.floor(F.coalesce(F.col(place), F.lit(0)) / size).alias("part")).agg(F.transform(parts, lambda x: x["_t"]).alias("texts"))
 
 
 def write_chunks(df: DataFrame, path: str) -> None:

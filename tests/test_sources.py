@@ -51,7 +51,8 @@ def test_decoder_plug_in_drops_bands(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("f", 2, "b"), ("f", 1, "ä"), ("g", 1, "c")], "f string, o int, t string")
-    assert {r.f: r.texts for r in sinks.grouped_texts(df, "f", ["o"], "t").collect()} == {"f": ["ä", "b"], "g": ["c"]}
+    assert {(r.f, r.part): r.texts for r in sinks.grouped_texts(df, "f", "o", ["o"], "t").collect()} == {("f", 0): ["ä", "b"], ("g", 0): ["c"]}
+    assert {(r.f, r.part): r.texts for r in sinks.grouped_texts(df, "f", "o", ["o"], "t", size=2).collect()} == {("f", 0): ["ä"], ("f", 1): ["b"], ("g", 0): ["c"]}
     sinks.write_chunks(df, str(tmp_path / "chunks"))
     assert "ä" in "".join(p.read_text() for p in (tmp_path / "chunks").glob("*.json"))
     sinks.append_batch(df, str(tmp_path / "batch"))
