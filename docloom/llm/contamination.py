@@ -79,7 +79,7 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: n - k] = rank[k:] + 1 if k < n else after[: n - k]
         key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         step = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         rank = np.empty(n, np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import setjoin as sj
-from docloom.llm.tokens import mix64
+from docloom.llm.tokens import mix64, together
 from docloom.session import materialise, n_buckets
 
 #: Sizes in one group differ by at most this factor (and one).
@@ -50,17 +50,17 @@ def _read_matrix(t: float, ell: int, buckets: int):
         if not len(x["tok"]):
             return empty
         # the matrix: one entry for each token of a group's union
-        order = np.lexsort((x["grp"], x["tok"]))
+        order = together(x["tok"], x["grp"])
         x = {k: v[order] for k, v in x.items()}
         edge = np.concatenate([[True], (x["tok"][1:] != x["tok"][:-1]) | (x["grp"][1:] != x["grp"][:-1])])
         at = np.flatnonzero(edge)
         e_tok, e_grp = x["tok"][at].astype(np.int64), x["grp"][at]
         e_min, e_max, e_pos = np.minimum.reduceat(x["n"], at), np.maximum.reduceat(x["n"], at), np.minimum.reduceat(x["pos"], at)
         e_many = np.diff(np.append(at, len(edge))) > 1
-        order = np.lexsort((e_max, e_tok))
-        e_tok, e_grp, e_min, e_max, e_pos, e_many = (v[order] for v in (e_tok, e_grp, e_min, e_max, e_pos, e_many))
         cap = (1 << 31) - 1
         key = (e_tok << 31) | np.minimum(e_max, cap)
+        order = np.argsort(key)
+        key, e_grp, e_min, e_max, e_pos, e_many = (v[order] for v in (key, e_grp, e_min, e_max, e_pos, e_many))
         # a class asks for members at least as large as itself
         n, pos, tok = x["n"], x["pos"], x["tok"].astype(np.int64)
         top = np.minimum(np.floor((n - pos + ell - 1) * (1 + t) / t + 1e-9).astype(np.int64) - n, sj.longest(n, t))
@@ -86,7 +86,7 @@ def _read_matrix(t: float, ell: int, buckets: int):
         if not found or not sum(f.shape[1] for f in found):
             return empty
         pair, weight = np.concatenate(found, axis=1)
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         pair, weight = pair[order], weight[order]
         at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         pair, m = pair[at], np.add.reduceat(weight, at)

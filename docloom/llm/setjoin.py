@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.tokens import Words, distinct, mix64
+from docloom.llm.tokens import Words, by_bucket, by_row, distinct, mix64, together
 
 #: log2 of the number of counters of the sketch, and bytes in one of its blocks.
 SKETCH_BITS, BLOCK = 22, 1 << 16
@@ -162,7 +162,7 @@ def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callabl
         ok = once[doc]
         doc, tok, pos = doc[ok], tok[ok], pos[ok]
         bucket = ((tok >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((doc, bucket))
+        order = by_bucket(bucket)  # rows come in order
         doc, tok, pos, bucket = doc[order], tok[order], pos[order], bucket[order]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows: dict[str, list] = {k: [] for k in ("bucket", "cls", "grp", "n", "flag", "sig", "cnt", "tok", "pos")}
@@ -207,14 +207,15 @@ def read_blobs(table: pa.Table, words: int = 0) -> dict[str, np.ndarray]:
         cols["tok"].append(_array(r["tok"], np.uint32))
         cols["pos"].append(_array(r["pos"], np.uint32))
     x = {k: np.concatenate(v) for k, v in cols.items()}
-    order = np.argsort(x["tok"], kind="stable")
+    order = np.argsort(x["tok"])
     tok = x["tok"][order]
     twin = np.zeros(len(tok), bool)
     twin[1:] = tok[1:] == tok[:-1]
     twin[:-1] |= twin[1:]
     order = order[twin]
     x = {k: v[order] for k, v in x.items()}
-    order = np.lexsort((x["flag"], x["cls"], x["tok"]))
+    # copies are neighbours; should packed keys collide, one counts twice, which opens a pair more
+    order = np.argsort((x["tok"].astype(np.uint64) << np.uint64(32)) | (mix64(x["cls"] + x["flag"]) >> np.uint64(32)))
     x = {k: v[order] for k, v in x.items()}
     keep = np.ones(len(order), bool)
     keep[1:] = (x["tok"][1:] != x["tok"][:-1]) | (x["cls"][1:] != x["cls"][:-1]) | (x["flag"][1:] != x["flag"][:-1])
@@ -243,7 +244,8 @@ PAIR = "bucket int, a binary, cnt binary, b binary, m binary"
 def pair_blobs(a: np.ndarray, b: np.ndarray, m: np.ndarray, buckets: int) -> pa.Table:
     """Counted pairs as blobs by bucket of ``a``."""
     bucket = (mix64(a) % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((b, a, bucket))
+    order = np.argsort(a)
+    order = order[by_bucket(bucket[order])]
     a, b, m, bucket = a[order], b[order], m[order], bucket[order]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     rows: dict[str, list] = {k: [] for k in ("bucket", "a", "cnt", "b", "m")}
@@ -267,7 +269,7 @@ def add_pairs(ell: int) -> Callable:
             b.append(_array(r["b"], np.uint64))
             m.append(np.frombuffer(r["m"], np.uint8))
         a, b, m = np.concatenate(a), np.concatenate(b), np.concatenate(m).astype(np.int64)
-        order = np.lexsort((b, a))
+        order = together(a, b)
         a, b, m = a[order], b[order], m[order]
         first = np.ones(len(a), bool)
         first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -329,7 +331,7 @@ def jaccard(left: list[str | None], right: list[str | None], width: int) -> np.n
         da, ha = shingle_sets(left[start:end], width)
         db, hb = shingle_sets(right[start:end], width)
         doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
-        order = np.lexsort((h, doc))
+        order = by_row(doc, h)
         doc, h = doc[order], h[order]
         twin = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
         common = np.bincount(doc[1:][twin], minlength=n)

@@ -73,7 +73,7 @@ def _probe(t: float, ell: int, buckets: int):
         if not found or not sum(f.shape[1] for f in found):
             return empty
         pair, weight = np.concatenate(found, axis=1)
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         pair, weight = pair[order], weight[order]
         at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         return sj.pair_blobs(ts[pair[at] // len(es)], es[pair[at] % len(es)], np.add.reduceat(weight, at), buckets)

@@ -114,9 +114,37 @@ def run_hash(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(value, first) + size.astype(np.uint64))
 
 
+def by_row(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The order by row (below 2**16), then hash: one sort of a packed key, and the full one only where packed keys collide."""
+    key = (doc.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+    order = np.argsort(key)
+    key, full = key[order], h[order]
+    return np.lexsort((h, doc)) if ((key[1:] == key[:-1]) & (full[1:] != full[:-1])).any() else order
+
+
+def together(*cols: np.ndarray) -> np.ndarray:
+    """An order in which rows with equal values in all columns are neighbours."""
+    key = np.zeros(len(cols[0]), np.uint64)
+    for c in cols:
+        key = mix64(key * np.uint64(31) + c.astype(np.uint64))
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    for c in cols:
+        c = c[order]
+        if (same & (c[1:] != c[:-1])).any():
+            return np.lexsort(cols)
+    return order
+
+
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """The stable order by a small number."""
+    return np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+
+
 def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (doc, hash) pairs in order of doc, then hash."""
-    order = np.lexsort((h, doc))
+    order = by_row(doc, h)
     doc, h = doc[order], h[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
