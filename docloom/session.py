@@ -36,8 +36,13 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_buckets(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def n_buckets(df: DataFrame) -> int:
+    """Buckets for column blobs: as many as shuffle partitions, and no fewer than the input's splits.
+
+    A bucket then holds about as much as a split gives, also where the number
+    of shuffle partitions was left at its default.
+    """
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
 def spread(df: DataFrame) -> DataFrame:
