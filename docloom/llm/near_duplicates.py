@@ -115,8 +115,8 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, width: int = 5, t
     No link between different texts is lost; copies share a class.
     """
     spark = df.sparkSession
-    buckets = n_buckets(spark)
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
+    buckets = n_buckets(rows)
     ranks = spark.sparkContext.broadcast(sj.sketch(rows, "t", width))
     docs = materialise(rows.mapInArrow(_describe(width, ranks), f"k {dict(rows.dtypes)['k']}, cls long, grp long, n long"), "tgm-docs")
     blobs = rows.select("t", F.lit(0).alias("f")).mapInArrow(sj.postings(width, threshold, ell, ranks, buckets, _group), sj.BLOB)

@@ -97,10 +97,10 @@ def _describe(width: int, ranks):
 def cross_split_links(df: DataFrame, key: str, split: str, fields: list[str], width: int = 1, threshold: float = 0.7, ell: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (k, field, eval, cls); links (train_cls, eval_cls, similarity) between the distinct sets of both sides."""
     spark = df.sparkSession
-    buckets = n_buckets(spark)
     name = F.lower(F.trim(F.col(split)))
     parts = F.array(*[F.struct(bare(F.col(f)).alias("t"), (F.lit(2 * i) + F.when(name == "train", 0).otherwise(1)).alias("f")) for i, f in enumerate(fields)])
     rows = df.filter(F.col(key).isNotNull() & F.col(split).isNotNull()).select(F.col(key).alias("id"), F.explode(parts).alias("x")).select(F.struct("id", F.col("x.f").alias("f")).alias("k"), F.col("x.t").alias("t"), F.col("x.f").alias("f")).filter("t is not null")
+    buckets = n_buckets(rows)
     ranks = spark.sparkContext.broadcast(sj.sketch(rows, "t", width))
     kind = dict(rows.dtypes)["k"]
     docs = materialise(rows.mapInArrow(_describe(width, ranks), f"k {kind}, f int, cls long"), "split-docs")
