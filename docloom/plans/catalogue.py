@@ -21,7 +21,7 @@ from docloom.operators import retrieval as rt
 from docloom.operators import stats as sx
 from docloom.operators import structure as st
 from docloom.operators import triplets as tp
-from docloom.plans import oracles
+from docloom.plans import evaluation, oracles, rag
 from docloom.session import spread
 from docloom.sources import sinks
 
@@ -367,6 +367,17 @@ def hybrid_rag(spark: SparkSession, sf: str) -> DataFrame:
     return answered.select("question_id", "n_used", "method", an.sanitise(F.col("answer")).alias("answer"))
 
 
+@query
+def rag_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers with the chunks used, for each way of retrieval."""
+    chunks, asked = read(spark, sf, "chunks", "chunk_id", "text"), _asked(spark, sf)
+    out = None
+    for method in ("lexical", "dense", "hybrid"):
+        part = rag.ask(chunks, asked, rag.Retrieval(method=method)).select("question_id", "method", "count", "config", F.to_json(F.struct("used_chunks", "retrieval_config")).alias("payload"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # -- answers ---------------------------------------------------------------------
 
 
@@ -500,6 +511,13 @@ def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return _answers(spark, sf).join(read(spark, sf, "evaluations").select("eval_id", "question").distinct(), "eval_id").select("eval_id", F.length(jd.judge_prompt(F.col("question"), F.col("answer"))).cast("bigint").alias("n_chars")).distinct()
 
 
+@query
+def judge_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Every answer judged by two stand-ins, with the consensus."""
+    answers = read(spark, sf, "evaluations").groupBy("eval_id").agg(F.max_by(F.struct("question", "answer"), "ingested_at").alias("r")).select("eval_id", "r.question", "r.answer")
+    return evaluation.report(evaluation.judge(answers, {"one": md.rule_judge, "two": md.rule_judge})).select("eval_id", "judges_ok", "judges_failed", F.round("overall", 5).alias("overall"), "risk", F.round("strength", 5).alias("strength"))
+
+
 # -- triplets and checkpoints ------------------------------------------------------
 
 
