@@ -141,7 +141,7 @@ def _alternation(words: list[str]) -> str:
 @lru_cache(maxsize=1)
 def _abbreviation() -> re.Pattern:
     return re.compile(
-        rf"(?<![\w.])(?:(?P<never>{_alternation(NEVER)}|(?<=\d\s)h|p\.\s?ex|p\.\s?ej)|(?P<number>{_alternation(BEFORE_NUMBER)})(?=\.\s*\d)|(?P<may>{_alternation(MAY_END)}|[^\W\d_](?:\.[^\W\d_])+)|(?P<letter>[^\W\d_])|(?P<day>\d{{1,2}})(?=\.\s+(?:{_alternation(MONTHS)})\b))\.(?=\W|$)",
+        rf"(?:(?<![\w.])|(?<=[^\W_]\.)(?=(?-i:[A-Z][a-z])))(?:(?P<never>{_alternation(NEVER)}|(?<=\d\s)h|p\.\s?ex|p\.\s?ej)|(?P<number>{_alternation(BEFORE_NUMBER)})(?=\.\s*\d)|(?P<may>{_alternation(MAY_END)}|[^\W\d_](?:\.[^\W\d_])+)|(?P<letter>[^\W\d_])|(?P<day>\d{{1,2}})(?=\.\s+(?:{_alternation(MONTHS)})\b))\.(?=\W|$)",
         re.IGNORECASE,
     )
 
