@@ -39,7 +39,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, vec_key: str, query_key:
             for b in batches:
                 if not b.num_rows or not len(ids):
                     continue
-                x = np.array(b.column(1).to_pylist(), np.float64)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 if metric == "l2":
                     s = np.stack([((x - q) ** 2).sum(axis=1) for q in m])
                 else:
