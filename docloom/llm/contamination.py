@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import setjoin as sj
@@ -237,7 +237,7 @@ def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, i
 
 def removal_spans(found: DataFrame) -> DataFrame:
     """(k, span_start, span_end): the leaked passages of each row, merged over the items."""
-    spans = F.array_sort(F.collect_set(F.struct("span_start", "span_end")))
-    step = lambda acc, x: F.when((F.size(acc) > 0) & (x["span_start"] <= F.element_at(acc, -1)["span_end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["span_start"].alias("span_start"), F.greatest(F.element_at(acc, -1)["span_end"], x["span_end"]).alias("span_end"))))).otherwise(F.concat(acc, F.array(x)))
-    merged = F.aggregate("spans", F.array().cast("array<struct<span_start:int,span_end:int>>"), step)
-    return found.groupBy("k").agg(spans.alias("spans")).select("k", F.explode(merged).alias("s")).select("k", "s.span_start", "s.span_end")
+    w = Window.partitionBy("k").orderBy("span_start", "span_end")
+    reach = F.max("span_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.select("k", "span_start", "span_end").distinct().withColumn("_new", F.when(F.col("span_start") <= reach, 0).otherwise(1))
+    return rows.withColumn("_run", F.sum("_new").over(w)).groupBy("k", "_run").agg(F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end")).drop("_run")

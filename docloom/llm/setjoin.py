@@ -317,8 +317,8 @@ def in_bloom(filter_: tuple[np.ndarray, int], keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def jaccard(left: list[str | None], right: list[str | None], width: int) -> np.ndarray:
-    """Exact Jaccard similarity of the shingle sets of two lists of texts, row by row; 0 where both are empty."""
+def jaccard(left: list[str | None], right: list[str | None], sets: Callable) -> np.ndarray:
+    """Exact Jaccard similarity of the sets (``sets(texts)`` gives rows and hashes) of two lists of texts, row by row; 0 where both are empty."""
     out = np.zeros(len(left))
     both = [len(a or "") + len(b or "") for a, b in zip(left, right, strict=True)]
     start = 0
@@ -328,8 +328,8 @@ def jaccard(left: list[str | None], right: list[str | None], width: int) -> np.n
             size += both[end]
             end += 1
         n = end - start
-        da, ha = shingle_sets(left[start:end], width)
-        db, hb = shingle_sets(right[start:end], width)
+        da, ha = sets(left[start:end])
+        db, hb = sets(right[start:end])
         doc, h = np.concatenate([da, db]), np.concatenate([ha, hb])
         order = by_row(doc, h)
         doc, h = doc[order], h[order]
@@ -353,7 +353,7 @@ def _texts_of(filter_) -> Callable:
 def _similar(width: int, t: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sim = jaccard(b.column(2).to_pylist(), b.column(3).to_pylist(), width)
+            sim = jaccard(b.column(2).to_pylist(), b.column(3).to_pylist(), lambda texts: shingle_sets(texts, width))
             ok = sim >= t - 1e-12
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(sim[ok])], ["ca", "cb", "similarity"])
 
