@@ -206,3 +206,30 @@ def block_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_to
     order = Window.partitionBy(doc, "sec_id").orderBy("island", "piece")
     headed = every.withColumn("text", F.concat(tx.breadcrumb(F.col("chapter"), F.col("section")), F.col("text")))
     return headed.withColumn("chunk_index", F.row_number().over(order) - 1).select(doc, "sec_id", "chunk_index", F.col("kind").alias("block_type"), "oversized", "page_num", tx.approx_tokens(F.col("text")).alias("token_count"), "text")
+
+
+#: Strategies by name: the first three read page texts, the others font lines.
+STRATEGIES = ("paragraph", "fixed", "semantic", "section", "block_preserve")
+
+
+def chunk(df: DataFrame, strategy: str, doc: str, text: str = "text", dedup: bool = True, **options: int | str) -> DataFrame:
+    """chunk_id, doc, chunk_index, strategy, token_count, text under one of the strategies.
+
+    ``df`` holds page texts (doc, page_num, text) for the plain strategies and
+    font lines for the others.  With ``dedup`` equal texts, up to case and
+    spacing, stay once per document, then once in all.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}; there are {', '.join(STRATEGIES)}")
+    if strategy == "paragraph":
+        rows = paragraph_chunks(df, [doc, "page_num"], text, **options).withColumn("_order", F.struct("page_num", "chunk_index"))
+    elif strategy in ("fixed", "semantic"):
+        rows = recursive_chunks(df, [doc, "page_num"], text, sentences=strategy == "semantic", **options).withColumn("_order", F.struct("page_num", "chunk_index"))
+    else:
+        made = section_chunks(df, doc, **options) if strategy == "section" else block_chunks(df, doc, **options)
+        rows = made.withColumn("_order", F.struct("sec_id", "chunk_index"))
+    rows = rows.select(doc, F.col("chunk_index"), F.lit(strategy).alias("strategy"), tx.approx_tokens(F.col("text")).alias("token_count"), "_order", "text")
+    if dedup:
+        rows = first_wins(rows.withColumn("_h", tx.fingerprint(F.col("text"))), ["_h"], [doc, "_order"]).drop("_h")
+    number = F.row_number().over(Window.partitionBy(doc).orderBy("_order"))
+    return rows.withColumn("chunk_id", F.concat(tx.safe_id(F.col(doc).cast("string")), F.format_string("_chunk%06d", number))).drop("_order")

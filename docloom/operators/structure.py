@@ -32,6 +32,22 @@ def line_roles(words: DataFrame, keys: list[str], pos: str, font: str, size: str
     return main.join(sizes, keys).select(*keys, role.alias("role"))
 
 
+def lines_from_words(words: DataFrame, doc: str, header: float = 0.08, footer: float = 0.08) -> DataFrame:
+    """doc, page_num, line_no, text, role, x0: the lines of each page, top to bottom, from words with font and place.
+
+    Words in the header and footer bands are left out, as are lines of the
+    running-header role and blank ones.  line_no is (page, top), so it orders
+    the lines of a document without a window over it.
+    """
+    inside = words.filter(in_page_body(F.col("top"), F.col("bottom"), F.col("page_height"), header, footer)).withColumn("_y", y_bucket(F.col("top")))
+    keys = [doc, "page_num", "_y"]
+    roles = line_roles(inside, keys, "x0", "fontname", "size")
+    parts = F.array_sort(F.collect_list(F.struct("x0", "text")))
+    texts = inside.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["text"]), " ").alias("text"), F.min("x0").alias("x0"))
+    rows = texts.join(roles, keys).filter((F.col("role") != "skip") & (tx.strip_u(F.col("text")) != ""))
+    return rows.select(doc, "page_num", F.struct("page_num", F.col("_y").alias("y")).alias("line_no"), tx.strip_u(F.col("text")).alias("text"), "role", "x0")
+
+
 def font_lines(sections: DataFrame, key: str = "section_id", lines: str = "font_lines") -> DataFrame:
     """One row per line of an array of lines."""
     return sections.select(key, F.explode(lines).alias("l")).select(key, "l.line_no", "l.text", "l.role", "l.page_num", "l.x0")

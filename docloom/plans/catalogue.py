@@ -222,6 +222,29 @@ def font_line_roles(spark: SparkSession, sf: str) -> DataFrame:
     return st.line_roles(words, ["l_orderkey"], "l_linenumber", "font", "size")
 
 
+@query
+def words_to_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as words of a page: quantity is the distance from the top, the line number the place."""
+    words = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 1000).alias("doc"), F.col("l_orderkey").cast("int").alias("page_num"), F.lit(60.0).alias("page_height"), F.concat(F.col("l_linestatus"), F.col("l_partkey").cast("string")).alias("text"), _font_name(F.col("l_returnflag")).alias("fontname"), (F.col("l_tax") * 200).alias("size"), F.col("l_quantity").alias("top"), (F.col("l_quantity") + 2).alias("bottom"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("x0"))
+    return st.lines_from_words(words, "doc").select("doc", F.col("page_num").cast("bigint").alias("page_num"), F.col("line_no.y").alias("y"), "text")
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "documents", "doc_id", "text").withColumn("page_num", F.lit(1))
+
+
+@query
+def chunk_strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """Every strategy by name, with its chunks' count and tokens."""
+    lines = st.font_lines(read(spark, sf, "sections", "section_id", "font_lines"))
+    out = None
+    for name in ck.STRATEGIES:
+        made = ck.chunk(lines, name, "section_id") if name in ("section", "block_preserve") else ck.chunk(_pages(spark, sf), name, "doc_id")
+        part = made.groupBy("strategy").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def sections_from_headings(spark: SparkSession, sf: str) -> DataFrame:
     out = st.section_texts(_event_lines(spark, sf), "user_id")

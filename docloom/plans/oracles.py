@@ -209,6 +209,13 @@ f AS (SELECT l_orderkey, font, count(*) AS n, min(l_linenumber) AS first FROM w
 m AS (SELECT l_orderkey, font AS main FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first, font DESC) AS rn FROM f) WHERE rn = 1),
 c AS (SELECT l_orderkey, bool_and(font = 'courier-new') AS mono, list_sort(list(size)) AS s FROM w GROUP BY 1)
 SELECT l_orderkey, CASE WHEN mono THEN 'cli' WHEN main = 'univers-condensedbold' THEN CASE WHEN s[len(s) // 2 + 1] <= 9 THEN 'skip' WHEN s[len(s) // 2 + 1] >= 17 THEN 'heading' ELSE 'label' END WHEN main = 'times-bold' THEN 'step' ELSE 'prose' END AS role FROM m JOIN c USING (l_orderkey)""",
+    "words_to_lines": """
+WITH w AS (SELECT l_orderkey % 1000 AS doc, l_orderkey AS page_num, l_linestatus || l_partkey AS text, CASE l_returnflag WHEN 'R' THEN 'courier-new' WHEN 'A' THEN 'univers-condensedbold' ELSE 'times-bold' END AS font, l_tax * 200 AS size, l_quantity AS top, l_partkey * 10 + l_linenumber AS x0 FROM lineitem WHERE l_quantity >= 60.0 * 0.08 AND l_quantity + 2 <= 60.0 * (1 - 0.08)),
+b AS (SELECT *, round_even(top / 2, 0) * 2 AS y FROM w),
+f AS (SELECT doc, page_num, y, font, count(*) AS n, min(x0) AS first FROM b GROUP BY ALL),
+m AS (SELECT doc, page_num, y, font AS main FROM (SELECT *, row_number() OVER (PARTITION BY doc, page_num, y ORDER BY n DESC, first, font DESC) AS rn FROM f) WHERE rn = 1),
+l AS (SELECT doc, page_num, y, string_agg(text, ' ' ORDER BY x0, text) AS text, list_sort(list(size)) AS s FROM b GROUP BY ALL)
+SELECT doc, page_num, y, text FROM l JOIN m USING (doc, page_num, y) WHERE NOT (main = 'univers-condensedbold' AND s[len(s) // 2 + 1] <= 9)""",
     "sections_from_headings": f"WITH {EVENT_LINES} SELECT user_id, sec_id::BIGINT AS sec_id, first(chapter) AS chapter, first(CASE WHEN head IS NULL OR head LIKE 'Chapter%' THEN 'Overview' ELSE head END) AS section, first(head_page)::BIGINT AS page_num, count(*) AS n_lines, sha1(string_agg(text, chr(10) ORDER BY ts, event_id)) AS sha1 FROM sec WHERE role <> 'heading' GROUP BY user_id, sec_id",
     "span_kinds": f"WITH {EVENT_LINES} SELECT user_id, kind, count(*) AS n FROM kinded GROUP BY ALL",
     "span_islands": f"""

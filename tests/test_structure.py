@@ -101,3 +101,28 @@ def test_block_chunks_keep_commands_whole(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert st.section_texts(empty, "doc").collect() == [] and st.span_islands(empty, "doc").collect() == []
+
+
+def test_lines_from_words(spark):
+    rows = [
+        ("d", 1, 100.0, "world", "Times", 10.0, 50.4, 60.0, 9.0), ("d", 1, 100.0, "hello", "Times", 10.0, 50.0, 60.0, 1.0),
+        ("d", 1, 100.0, "head", "Times", 10.0, 2.0, 6.0, 1.0), ("d", 1, 100.0, "running", "Univers-CondensedBold", 8.0, 30.0, 36.0, 1.0),
+        ("d", 2, 100.0, "Title", "Univers-CondensedBold", 18.0, 20.0, 38.0, 1.0), ("d", 1, 100.0, "ping", "Courier", 9.0, 70.0, 79.0, 1.0),
+    ]
+    words = spark.createDataFrame(rows, "doc string, page_num int, page_height double, text string, fontname string, size double, top double, bottom double, x0 double")
+    got = [(r.page_num, r.text, r.role) for r in st.lines_from_words(words, "doc").orderBy("line_no").collect()]
+    assert got == [(1, "hello world", "prose"), (1, "ping", "cli"), (2, "Title", "heading")]
+    assert [r.section for r in st.section_texts(st.lines_from_words(words, "doc"), "doc").collect()] == ["Overview"]
+
+
+def test_strategies(spark):
+    import pytest
+
+    page = "A first sentence of words that is long enough to stay in here. " * 3
+    pages = spark.createDataFrame([("m", 1, page + "\n\n" + page.upper()), ("m", 2, page)], "doc string, page_num int, text string")
+    for name in ("paragraph", "fixed", "semantic"):
+        out = ck.chunk(pages, name, "doc").orderBy("chunk_id").collect()
+        assert out[0].chunk_id == "m_chunk000001" and out[0].strategy == name
+    assert ck.chunk(pages, "paragraph", "doc").count() == 1 and ck.chunk(pages, "paragraph", "doc", dedup=False).count() == 3
+    with pytest.raises(ValueError, match="unknown"):
+        ck.chunk(pages, "magic", "doc")
