@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 from docloom.functions import text as tx
 from docloom.operators import structure as st
 from docloom.operators.dedup import first_wins
-from docloom.session import materialise
+from docloom.session import materialise, once
 
 #: Separators of the recursive splitter, coarse to fine, without and with sentence marks.
 PLAIN_SEPARATORS, SENTENCE_SEPARATORS = ("\n\n", "\n", ". ", " ", ""), ("\n\n", "\n", ". ", "! ", "? ", " ", "")
@@ -32,7 +32,7 @@ def token_windows(df: DataFrame, keys: list[str], body: str, size: Column, overl
     """
     n = F.ceil(F.length(body) / 4).cast("int")
     starts = window_starts(n, F.col("_size"), F.col("_overlap"))
-    rows = df.withColumns({"_size": size, "_overlap": overlap}).withColumn("_starts", starts)
+    rows = once(once(df, _size=size, _overlap=overlap), _starts=starts)
     return rows.select(*keys, F.size("_starts").alias("parts_total"), F.col(body).alias("_body"), "_size", F.posexplode("_starts").alias("part", "_start")).select(*keys, "part", "parts_total", F.col("_body").substr(F.col("_start") * 4 + 1, F.col("_size") * 4).alias("window"))
 
 
@@ -43,15 +43,16 @@ def hierarchical_chunks(df: DataFrame, document: str, section: str, order: list[
     aggregation by hash, not a global sort.
     """
     rows = df.filter(F.col(body).isNotNull() & (tx.strip_u(F.col(body)) != "") & ~tx.is_boilerplate(F.col(body)))
-    rows = rows.select(*dict.fromkeys(order), F.col(document).alias("document"), F.col(section).alias("section"), tx.collapse(F.col(body)).alias("body"))
-    rows = rows.withColumn("header", tx.semantic_header(F.col("document"), F.col("section"))).withColumn("header_tokens", tx.token_count4(F.col("header")))
+    rows = rows.select(*dict.fromkeys(order), F.col(document).alias("document"), F.col(section).alias("section"), F.col(body).alias("_raw"))
+    rows = once(rows, body=tx.collapse(F.col("_raw")), header=tx.semantic_header(F.col("document"), F.col("section"))).drop("_raw").withColumn("header_tokens", tx.token_count4(F.col("header")))
     rows = rows.withColumn("budget", tx.body_budget(F.lit(max_tokens), F.col("header_tokens"))).withColumn("n_tokens", F.ceil(F.length("body") / 4).cast("int"))
     step = tx.adaptive_overlap(F.col("n_tokens"), F.col("budget"), overlap) if adaptive else F.lit(overlap)
     keys = [*dict.fromkeys(order), "document", "section", "header", "header_tokens"]
     parts = token_windows(rows, keys, "body", F.col("budget"), step)
-    chunks = parts.withColumn("text", F.concat("header", "window")).filter(tx.n_words(F.col("text")) >= min_words).withColumn("sha1", tx.sha1_text(F.col("text")))
+    texts = once(parts, text=F.concat("header", "window")).drop("header", "window")
+    chunks = once(texts, word_count=tx.n_words(F.col("text"))).filter(F.col("word_count") >= min_words).withColumn("sha1", tx.sha1_text(F.col("text")))
     kept = first_wins(chunks, ["sha1"], [*dict.fromkeys(order), "part"])
-    return kept.select(*dict.fromkeys(order), "document", "section", "part", "parts_total", "header_tokens", tx.token_count4(F.col("text")).alias("token_count"), tx.n_words(F.col("text")).alias("word_count"), "sha1", "text")
+    return kept.select(*dict.fromkeys(order), "document", "section", "part", "parts_total", "header_tokens", tx.token_count4(F.col("text")).alias("token_count"), "word_count", "sha1", "text")
 
 
 def numbered(df: DataFrame, file: str, order: list[str], name: str = "id") -> DataFrame:
@@ -73,8 +74,8 @@ def numbered(df: DataFrame, file: str, order: list[str], name: str = "id") -> Da
 def paragraph_chunks(df: DataFrame, keys: list[str], text: str, separator: str = "\n\n", min_tokens: int = 20, max_tokens: int = 512, ascii_only: bool = False) -> DataFrame:
     """keys, chunk_index, text: paragraphs that are no noise; long ones are cut to three words for four tokens of the limit."""
     clean = tx.clean_text_ascii if ascii_only else tx.clean_text
-    rows = df.filter(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(text, separator)).alias("chunk_index", "raw")).select(*keys, "chunk_index", clean(F.col("raw")).alias("p"))
-    rows = rows.filter(~tx.is_noise(F.col("p")) & (tx.approx_tokens(F.col("p")) >= min_tokens))
+    rows = df.filter(F.col(text).isNotNull()).select(*keys, F.posexplode(F.split(text, separator)).alias("chunk_index", "raw"))
+    rows = once(rows, p=clean(F.col("raw"))).drop("raw").filter(~tx.is_noise(F.col("p")) & (tx.approx_tokens(F.col("p")) >= min_tokens))
     cut = F.array_join(F.slice(tx.words(F.col("p")), 1, max_tokens * 3 // 4), " ")
     return rows.select(*keys, "chunk_index", F.when(tx.approx_tokens(F.col("p")) > max_tokens, cut).otherwise(F.col("p")).alias("text"))
 
@@ -188,7 +189,7 @@ def _split_prose(rows: DataFrame, keys: list[str], chunk_tokens: int, overlap_to
 
 def section_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_tokens: int = 32, min_tokens: int = 20, max_tokens: int = 512) -> DataFrame:
     """doc, sec_id, chunk_index, chapter, section, page_num, token_count, text: sections of font lines, split where too long, under their breadcrumb."""
-    whole = st.section_texts(lines, doc).withColumn("text", tx.clean_text(F.col("text"))).filter(~tx.is_noise(F.col("text")))
+    whole = once(st.section_texts(lines, doc).withColumnRenamed("text", "_raw"), text=tx.clean_text(F.col("_raw"))).drop("_raw").filter(~tx.is_noise(F.col("text")))
     parts = _split_prose(whole, [doc, "sec_id", "chapter", "section", "page_num"], chunk_tokens, overlap_tokens, min_tokens, max_tokens)
     headed = parts.withColumn("text", F.concat(tx.breadcrumb(F.col("chapter"), F.col("section")), F.col("text")))
     return headed.select(doc, "sec_id", F.col("piece").alias("chunk_index"), "chapter", "section", "page_num", tx.approx_tokens(F.col("text")).alias("token_count"), "text")
@@ -196,7 +197,7 @@ def section_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_
 
 def block_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_tokens: int = 32, min_tokens: int = 20, max_tokens: int = 512, oversized: str = "keep") -> DataFrame:
     """Blocks of commands and step tables stay whole; prose is split.  ``oversized`` blocks are kept or dropped."""
-    spans = st.span_islands(lines, doc).withColumn("text", tx.clean_text(F.col("text"))).filter(~tx.is_noise(F.col("text")))
+    spans = once(st.span_islands(lines, doc).withColumnRenamed("text", "_raw"), text=tx.clean_text(F.col("_raw"))).drop("_raw").filter(~tx.is_noise(F.col("text")))
     atomic = spans.filter(F.col("kind").isin(*st.ATOMIC) & (tx.approx_tokens(F.col("text")) >= min_tokens)).withColumn("oversized", tx.approx_tokens(F.col("text")) > max_tokens)
     if oversized == "drop":
         atomic = atomic.filter(~F.col("oversized"))
