@@ -134,16 +134,35 @@ def transducer() -> tuple[np.ndarray, np.ndarray, int]:
     return follow, mark, 0
 
 
-def _alternation(words: list[str]) -> str:
-    return "|".join(sorted((re.escape(w) for w in words), key=len, reverse=True))
-
-
-@lru_cache(maxsize=1)
-def _abbreviation() -> re.Pattern:
-    return re.compile(
-        rf"(?:(?<![\w.])|(?<=[^\W_]\.)(?=(?-i:[A-Z][a-z])))(?:(?P<never>{_alternation(NEVER)}|(?<=\d\s)h|p\.\s?ex|p\.\s?ej)|(?P<number>{_alternation(BEFORE_NUMBER)})(?=\.\s*\d)|(?P<may>{_alternation(MAY_END)}|[^\W\d_](?:\.[^\W\d_])+)|(?P<letter>[^\W\d_])|(?P<day>\d{{1,2}})(?=\.\s+(?:{_alternation(MONTHS)})\b))\.(?=\W|$)",
-        re.IGNORECASE,
-    )
+_DOT = re.compile(r"\.(?=\W|\Z)")
+_TAIL = re.compile(r"(?:(?<!\w)(?:[^\W\d_]\.)+)?[^\W\d_]+$|\d+$")
+_NUMBER = re.compile(r"\s*\d")
+_MONTH = re.compile(rf"\s+(?:{'|'.join(MONTHS)})\b")
+_P_BEFORE = re.compile(r"(?<!\w)p\.\s?$", re.IGNORECASE)
+_NEVER, _BEFORE_NUMBER, _MAY_END = frozenset(NEVER), frozenset(BEFORE_NUMBER), frozenset(MAY_END)
+
+
+def abbreviations(t: str) -> Iterator[tuple[int, int]]:
+    """(place, class) of the full stops that end an abbreviation, looking back from each stop before a non-word."""
+    for m in _DOT.finditer(t):
+        i = m.start()
+        tail = _TAIL.search(t, max(0, i - 24), i)
+        if not tail:
+            continue
+        w, s = tail.group(), tail.start()
+        before = t[s - 1] if s else ""
+        if before == "_" or before.isalnum():
+            continue
+        if before == "." and not (w[0].isupper() and w[1:2].islower() and s > 1 and t[s - 2].isalnum()):
+            continue  # the end of a dotted name, not a new sentence without space
+        low = w.lower()
+        if w[0].isdigit():
+            if len(w) <= 2 and _MONTH.match(t, i + 1):
+                yield i, PLAIN
+        elif low in _NEVER or (len(w) == 1 and before not in ("'", "’")) or (low in _BEFORE_NUMBER and _NUMBER.match(t, i + 1)) or (low in ("ex", "ej") and _P_BEFORE.search(t, max(0, s - 4), s)):
+            yield i, PLAIN
+        elif low in _MAY_END or "." in w:
+            yield i, WEAK
 
 
 _LINE = re.compile(r"^[^\S\n]*(?:(?P<command>[A-Za-z][\w.-]*(?:\([\w-]+\))?[#>](?=\s|\S))|(?P<bullet>[-*•‣–·◦▪]\s)|(?P<number>(?:\d{1,3}|[A-Za-z])[.)]\s)|(?P<mark>#{1,6}\s))[^\n]*", re.MULTILINE)
@@ -169,12 +188,8 @@ def classify(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         if not t:
             continue
         if "." in t:
-            for m in _abbreviation().finditer(t):
-                dot = base + m.start() + np.array([i for i, c in enumerate(m.group()) if c == "."])
-                if m.lastgroup == "may":
-                    cls[dot] = PLAIN if m.group("may").lower() in NEVER else WEAK
-                elif m.lastgroup != "letter" or m.start() == 0 or t[m.start() - 1] not in "'’":
-                    cls[dot] = PLAIN
+            for i, k in abbreviations(t):
+                cls[base + i] = k
         last_end = -2
         for m in _LINE.finditer(t):
             s, e = m.span()
@@ -235,10 +250,19 @@ def run_transducer(cls: np.ndarray) -> np.ndarray:
     grid[: len(cls)] = cls
     grid = np.ascontiguousarray(grid.reshape(n, CHUNK).T)
     flat, marks = follow.ravel(), mark.ravel()
-    # each chunk as a function: the state it leaves in, for every state it may be entered in
-    out = np.tile(np.arange(n_states, dtype=np.int32), (n, 1))
-    for row in grid:
-        out = flat[row.astype(np.int32)[:, None] * n_states + out]
+    # each chunk as a function: the state it leaves in, for every state it may be entered in;
+    # a break leads every state to the same one, so a chunk with a break is a constant
+    broken = (grid == BREAK).any(axis=0)
+    out = np.empty((n, n_states), np.int32)
+    whole = np.ascontiguousarray(grid[:, ~broken])
+    function = np.tile(np.arange(n_states, dtype=np.int32), (whole.shape[1], 1))
+    for row in whole:
+        function = flat[row.astype(np.int32)[:, None] * n_states + function]
+    out[~broken] = function
+    constant = np.zeros(int(broken.sum()), np.int32)
+    for row in np.ascontiguousarray(grid[:, broken]):
+        constant = flat[row.astype(np.int32) * n_states + constant]
+    out[broken] = constant[:, None]
     # parallel prefix: after round r a function covers the 2**r chunks up to its own
     reach = 1
     out = out.astype(np.int64)
