@@ -166,7 +166,8 @@ def abbreviations(t: str) -> Iterator[tuple[int, int]]:
 
 
 _LINE = re.compile(r"^[^\S\n]*(?:(?P<command>[A-Za-z][\w.-]*(?:\([\w-]+\))?[#>](?=\s|\S))|(?P<bullet>[-*•‣–·◦▪]\s)|(?P<number>(?:\d{1,3}|[A-Za-z])[.)]\s)|(?P<mark>#{1,6}\s))[^\n]*", re.MULTILINE)
-_ENDS_LINE = frozenset(".!?:;。！？।؟…\"”»“)")
+#: What the line before a numbered one ends with where that one, inside a paragraph, is a list item.
+_LEADS_IN = frozenset(":：")
 
 
 def classify(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,7 +196,7 @@ def classify(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
             s, e = m.span()
             if m.group("number") and s > 0 and last_end != s - 1:
                 before = t[:s].rstrip(" \t\r\n")[-1:] if cls[base + s - 1] != BREAK else ""
-                if before and before not in _ENDS_LINE:
+                if before and before not in _LEADS_IN:
                     continue  # a wrapped line that begins with a number
             fixed.append(np.arange(base + s, base + e))
             if s > 0:
