@@ -101,7 +101,9 @@ class Sets:
         self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64)
         self.pos = np.arange(len(doc)) - self.first[self.doc]
         self.cls = np.zeros(len(texts), np.uint64)
-        np.add.at(self.cls, doc, mix64(h + np.uint64(1)))
+        full = np.flatnonzero(self.n > 0)
+        if len(full):  # the rows come in order
+            self.cls[full] = np.add.reduceat(mix64(h + np.uint64(1)), self.first[full])
         self.cls = mix64(self.cls + self.n.astype(np.uint64))
 
     def bitmap(self, words: int) -> np.ndarray:
