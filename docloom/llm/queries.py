@@ -28,6 +28,13 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per chunk with its class of equal sets and the class's links; copies are not expanded.  Five words and 0.8."""
+    members, links = nd.near_duplicate_classes(_read(spark, sf, "chunks"), "chunk_id", "text")
+    ends = links.select(F.explode(F.array("ca", "cb")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "cls", "left").select(F.col("k").alias("chunk_id"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return ad.defects(_read(spark, sf, "evaluations"), "eval_id", "question", "answer", "ingested_at").select(F.col("k").alias("eval_id"), "defect")
 
