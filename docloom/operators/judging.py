@@ -10,6 +10,8 @@ from docloom.functions import text as tx
 # Shares of the criteria in a judge's overall score, and in production readiness.
 WEIGHTS = {"accuracy": 0.20, "relevance": 0.20, "correctness": 0.30, "hallucination": 0.20, "completeness": 0.10}
 READINESS = {"accuracy": 0.20, "correctness": 0.30, "completeness": 0.20, "hallucination": 0.20, "relevance": 0.10}
+#: What a judgement measures.
+METRICS = (*WEIGHTS, "overall_score", "confidence", "response_time")
 RISKS = ((8.0, "Low"), (6.0, "Medium"), (4.0, "High"))
 
 
@@ -68,6 +70,11 @@ def until_enough(rows: DataFrame, key: str, order: str, ok: str, target: int) ->
     return rows.withColumn("_done", F.coalesce(F.sum(F.col(ok).cast("int")).over(w), F.lit(0))).filter(F.col("_done") < target).drop("_done")
 
 
+def judge_key(name: Column) -> Column:
+    """A judge name without case, space, separators and a tag after a colon, for matching spellings."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r":.*$", ""), r"[^a-z0-9]+", "")
+
+
 def score_columns(rows: DataFrame, key: list[str], model: str, metrics: list[str], models: list[str]) -> DataFrame:
     """Long scores to one column per model and metric."""
     return rows.withColumn("_slug", tx.slug(F.col(model))).groupBy(*key).pivot("_slug", models).agg(*[F.avg(m).alias(m) for m in metrics])

@@ -524,6 +524,18 @@ def score_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("question_id", *[F.round(m, 5).alias(m) for m in models])
 
 
+@query
+def score_pivot_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns as those of ``score_pivot`` for every judge of ``judge_models``, in any spelling, and every metric: ``<judge>_<metric>``."""
+    results, models = read(spark, sf, "judge_results"), read(spark, sf, "judge_models")
+    names = models.filter("model is not null").select(F.col("model").alias("judge"), jd.judge_key(F.col("model")).alias("judge_key")).dropDuplicates(["judge_key"])
+    slugs = sorted(r.s for r in names.select(tx.slug(F.col("judge")).alias("s")).collect())
+    # a left join: questions that only unknown judges answered keep their row
+    rows = results.filter("parsing_success").withColumn("judge_key", jd.judge_key(F.col("model"))).join(F.broadcast(names), "judge_key", "left")
+    out = jd.score_columns(rows, ["question_id"], "judge", list(jd.METRICS), slugs)
+    return out.select("question_id", *[F.round(f"{s}_{m}", 5).alias(f"{s}_{m}") for s in slugs for m in jd.METRICS])
+
+
 @query
 def judge_progress(spark: SparkSession, sf: str) -> DataFrame:
     return jd.progress(read(spark, sf, "judge_results").withColumn("model", F.lower(F.trim("model"))), "model", "correctness").select("model", "scored", "open", F.round("mean", 5).alias("mean"))

@@ -10,6 +10,7 @@ from docloom.operators import checkpoints as cp
 from docloom.operators import judging as jd
 from docloom.operators import stats as sx
 from docloom.operators import triplets as tp
+from docloom.plans import catalogue
 
 
 def test_outliers_and_consensus(spark):
@@ -98,3 +99,16 @@ def test_pending(spark):
     assert [r.k for r in bt.pending_judgements(a, spark.createDataFrame([(4,)], "k int"), ["k"], "answer").collect()] == [1]
     with pytest.raises(ValueError, match="question"):
         bt.require_columns(a, "question")
+
+
+def test_pivot_of_every_judge_and_metric(spark, tmp_path):
+    judges = ["quorra-8b", "tarn-14b", "sallow-1b"]
+    spark.createDataFrame([(j,) for j in judges], "model string").write.parquet(str(tmp_path / "judge_models.parquet"))
+    spelled = [(1, "Quorra-8B "), (1, "quorra-8b:latest"), (1, "TARN-14B"), (2, "sallow_1b"), (3, "unknown-1b"), (4, "tarn-14b")]
+    rows = [(q, m, q != 4, *[float(10 * i + k) for k in range(len(jd.METRICS))]) for i, (q, m) in enumerate(spelled)]
+    spark.createDataFrame(rows, "question_id long, model string, parsing_success boolean, " + ", ".join(f"{m} double" for m in jd.METRICS)).write.parquet(str(tmp_path / "judge_results.parquet"))
+    got = {r.question_id: r.asDict() for r in catalogue.queries()["score_pivot_all"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and len(got[1]) == 1 + len(judges) * len(jd.METRICS)
+    for k, m in enumerate(jd.METRICS):
+        assert (got[1][f"quorra_8b_{m}"], got[1][f"tarn_14b_{m}"], got[2][f"sallow_1b_{m}"]) == (5.0 + k, 20.0 + k, 30.0 + k)
+        assert got[1][f"sallow_1b_{m}"] is None and got[3][f"quorra_8b_{m}"] is None
