@@ -12,7 +12,8 @@ of its key, seeded, falls below the fraction.  No document is sorted or
 collected; one scan counts, one scan emits.
 
 Defined results: null and empty texts count no tokens and are still emitted;
-sources are compared trimmed and in lower case; documents whose source is null
+sources are compared, and named in the results, trimmed, in lower case and with a
+hyphen for underscores and inner spaces; documents whose source is null
 or has no target are not part of the mix but count for the total; a target
 without documents falls short; null shares count as 0 and null repeats as 1;
 targets that name a source twice add up, with the larger repeat count; rows
@@ -48,7 +49,8 @@ def _encoding(path: str):
 
 
 def source_key(source: Column) -> Column:
-    return F.lower(F.trim(source))
+    """A source name trimmed, in lower case and with one hyphen for each run of separators."""
+    return F.regexp_replace(F.lower(F.trim(source)), r"[-_\s]+", "-")
 
 
 def count_tokens(df: DataFrame, text: Column, keep: list[str], tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -123,6 +123,16 @@ def test_mix_edges(spark):
     assert mx.rates(df, targets.limit(0)).collect() == []
 
 
+def test_mix_counts_stray_separators(spark):
+    df = spark.createDataFrame([(1, "one two", "tessaly-forum"), (2, "one two", " Tessaly_Forum"), (3, "one two", "tessaly forum"), (4, "one two", "big")], "id long, text string, source string")
+    targets = spark.createDataFrame([("tessaly-forum", 0.75, 1), ("big", 0.25, 1)], "source string, target_share double, max_repeats int")
+    plan = mx.rates(df, targets)
+    assert {r.source: r.n_docs for r in plan.collect()} == {"tessaly-forum": 3, "big": 1}
+    assert mx.falling_short(plan).collect() == []
+    assert {r.id for r in mx.emit(df, plan, "id").collect()} == {1, 2, 3, 4}
+    assert {r.source: (r.n_docs_used, r.actual_share) for r in mx.report(df, plan, "id").collect()} == {"tessaly-forum": (3, 0.75), "big": (1, 0.25)}
+
+
 SENTENCES = [
     ("Port 1 is down. It costs 2.5 units.", ["Port 1 is down.", "It costs 2.5 units."]),
     ("See Fig. 6 and Sec. 4.4 for it. Inc. names like Norvane Inc. renamed it.", ["See Fig. 6 and Sec. 4.4 for it.", "Inc. names like Norvane Inc. renamed it."]),
