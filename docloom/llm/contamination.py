@@ -188,7 +188,8 @@ def _search(phrases, ids: list, kind: pa.DataType):
         r, item, w = np.concatenate(hits, axis=1)
         order = np.lexsort((w, item, r))
         r, item, w = r[order], item[order], w[order]
-        head = np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (w[1:] > w[:-1] + p.width)])
+        # by the place in the text: words that are not kept part two passages
+        head = np.concatenate([[True], (r[1:] != r[:-1]) | (item[1:] != item[:-1]) | (word[w[1:]] > word[w[:-1]] + p.width)])
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(r)) - 1
         table = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in keys])

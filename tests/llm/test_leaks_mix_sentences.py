@@ -79,6 +79,16 @@ def test_item_blocks_make_no_difference(spark, monkeypatch):
     assert sorted((r.k, r.item) for r in cn.leaks(docs, "d", "t", items, "i", "t", 3).collect()) == [(i, i) for i in range(20)]
 
 
+def test_a_foreign_stretch_parts_two_passages(spark):
+    foreign = " ".join(f"x{i}" for i in range(500))
+    text = f"y a b c {foreign} d e f a b c y"
+    docs = spark.createDataFrame([(1, text)], "k long, t string")
+    items = spark.createDataFrame([(7, "a b c d e f")], "item long, t string")
+    found = cn.leaks(docs, "k", "t", items, "item", "t", 3)
+    assert sorted(text[r.span_start : r.span_end] for r in found.collect()) == ["a b c", "d e f a b c"]
+    assert sorted(text[r.span_start : r.span_end] for r in cn.removal_spans(found).collect()) == ["a b c", "d e f a b c"]
+
+
 def test_leak_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "a b c"), (3, "a b c"), (3, "a b c"), (4, "a b\nc " * 30_000)], "k long, t string")
     items = spark.createDataFrame([(7, "A, b c"), (8, None), (9, "a b"), (10, "a b c")], "item long, t string")
