@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import answer_defects as ad
@@ -61,6 +62,17 @@ def test_refusals_are_templates_over_prompts(spark):
     assert ad.defects(df.limit(0), "eval_id", "question", "answer", "at").collect() == []
 
 
+def test_a_mask_without_a_near_head_heads_itself(spark, monkeypatch):
+    def one_band(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([1] * b.num_rows, pa.int64())], ["mask", "n", "band"])
+
+    monkeypatch.setattr(ad, "_bands", lambda: one_band)
+    masks = spark.createDataFrame([("Set the port to # on H.", 90), ("Set the port to # on H", 5), ("That is nothing we answer here.", 8)], "mask string, n long")
+    got = {r["mask"]: r["head"] for r in ad.opening_clusters(masks).collect()}
+    assert got == {"Set the port to # on H.": "Set the port to # on H.", "Set the port to # on H": "Set the port to # on H.", "That is nothing we answer here.": "That is nothing we answer here."}
+
+
 def test_model_recovers_reliabilities(spark):
     rng = np.random.default_rng(3)
     skill = {"good-a": 0.95, "good-b": 0.9, "fair": 0.75, "poor": 0.4, "contrary": 0.1}
