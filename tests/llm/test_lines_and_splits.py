@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -104,6 +105,20 @@ def test_near_equal_lines_are_removed(spark):
     assert {n for _, n in {(r.k, r.line_no) for r in x.exact().collect()}} == {3}  # no single spelling is frequent enough
 
 
+def test_every_head_of_a_bucket_has_its_cluster():
+    texts = ["contactthekelnordeskforhelp", "allrightsarereservedbynorvane", "allrightsarereservedbynorvana", "unlikeanythingelsehere"]
+    table = pa.table({"src": [1] * 4, "band": [2] * 4, "n": [50] * 4, "line_key": [10, 11, 12, 13], "df": [20, 4, 3, 1], "letters": texts})
+    got = {(r["line_key"], r["head"]) for r in rl._around_heads(0.8, 5, 0.1)(table).to_pylist()}
+    assert got == {(10, 10), (11, 11), (12, 11)}
+
+
+def test_cleaned_removes_what_letters_alone_show(spark, monkeypatch):
+    df = spark.createDataFrame([(f"e{i}", "Same line\nrow " + "abcdefghij"[i] * 9, "m") for i in range(6)], "id string, text string, m string")
+    x = rl.RepeatedLines(df, F.col("id"), F.col("text"), F.col("m"))
+    monkeypatch.setattr(x, "clustered", lambda: spark.createDataFrame([], "k string, line_no int"))
+    assert {r.k: r.n_removed for r in x.cleaned().collect()} == {f"e{i}": 1 for i in range(6)}
+
+
 def test_repeated_line_edges(spark):
     rows = [("a", None, "m"), ("b", "", "m"), (None, "x y\nz", "m"), ("c", "line here\nline here", None), ("d", "42\n--", "m")] + [(f"e{i}", "Same line\n" * 2 + "z" * 100_000, "m") for i in range(6)]
     df = spark.createDataFrame(rows, "id string, text string, m string").withColumn("src", F.lit(1)).withColumn("bands", F.lit("x"))
