@@ -10,8 +10,9 @@ then compared exactly.
 
 Defined results: a null, empty or shingle-less text has no pair.  Copies have
 similarity 1.  Rows with a null key are left out; rows that repeat a key with
-the same text count once.  Other columns of the input are ignored.  Very long
-texts are read whole.
+the same text count once, and with other texts stand for each of them (a key is
+no pair with itself).  Other columns of the input are ignored.  Very long texts
+are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import setjoin as sj
 from docloom.llm.tokens import mix64, together
-from docloom.session import materialise, n_buckets
+from docloom.session import materialise
 
 #: Sizes in one group differ by at most this factor (and one).
 SPREAD = 1.1
@@ -43,85 +44,68 @@ def _group(x: sj.Sets) -> np.ndarray:
     return mix64(out + step) >> np.uint64(16)
 
 
-def _read_matrix(t: float, ell: int, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        x = sj.read_blobs(table)
-        empty = sj.pair_blobs(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), buckets)
-        if not len(x["tok"]):
-            return empty
-        # the matrix: one entry for each token of a group's union
-        order = together(x["tok"], x["grp"])
-        x = {k: v[order] for k, v in x.items()}
-        edge = np.concatenate([[True], (x["tok"][1:] != x["tok"][:-1]) | (x["grp"][1:] != x["grp"][:-1])])
-        at = np.flatnonzero(edge)
-        e_tok, e_grp = x["tok"][at].astype(np.int64), x["grp"][at]
-        e_min, e_max, e_pos = np.minimum.reduceat(x["n"], at), np.maximum.reduceat(x["n"], at), np.minimum.reduceat(x["pos"], at)
-        e_many = np.diff(np.append(at, len(edge))) > 1
-        cap = (1 << 31) - 1
-        key = (e_tok << 31) | np.minimum(e_max, cap)
-        order = np.argsort(key)
-        key, e_grp, e_min, e_max, e_pos, e_many = (v[order] for v in (key, e_grp, e_min, e_max, e_pos, e_many))
-        # a class asks for members at least as large as itself
-        n, pos, tok = x["n"], x["pos"], x["tok"].astype(np.int64)
-        top = np.minimum(np.floor((n - pos + ell - 1) * (1 + t) / t + 1e-9).astype(np.int64) - n, sj.longest(n, t))
-        ask = np.flatnonzero(top >= n)
-        n, pos, tok, top = n[ask], pos[ask], tok[ask], top[ask]
-        lo = np.searchsorted(key, (tok << 31) | np.minimum(n, cap))
-        hi = np.searchsorted(key, (tok << 31) | np.minimum((top * SPREAD).astype(np.int64) + 2, cap), "right")
-        qs, qi = np.unique(x["cls"][ask], return_inverse=True)
-        gs, gi = np.unique(e_grp, return_inverse=True)
-        own = x["grp"][ask]
-        found: list[np.ndarray] = []
-        for i, j in sj.expand(lo, hi):
-            low = np.maximum(e_min[j], n[i])
-            high = np.minimum(e_max[j], sj.longest(n[i], t))
-            least = sj.need(n[i], low, t)
-            fewest = np.minimum(ell, least)
-            ok = (low <= top[i]) & (n[i] - pos[i] >= least - fewest + 1)
-            ok &= high - e_pos[j] >= sj.need(n[i], high, t) - fewest + 1
-            ok &= (e_grp[j] != own[i]) | e_many[j]
-            i, j, fewest = i[ok], j[ok], fewest[ok]
-            weight = -(-ell // np.maximum(fewest, 1))
-            found.append(np.stack([qi[i] * len(gs) + gi[j], weight]))
-        if not found or not sum(f.shape[1] for f in found):
-            return empty
-        pair, weight = np.concatenate(found, axis=1)
-        order = np.argsort(pair)
-        pair, weight = pair[order], weight[order]
-        at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        pair, m = pair[at], np.add.reduceat(weight, at)
-        return sj.pair_blobs(qs[pair // len(gs)], gs[pair % len(gs)], m, buckets)
-
-    return run
-
-
-def _describe(width: int, ranks):
-    """For mapInArrow over (key, text): each row's class, group and size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for s, e in sj.steps(texts):
-                x = sj.Sets(texts[s:e], width, ranks.value)
-                ok = np.flatnonzero(x.n > 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s).take(pa.array(ok)), pa.array(x.cls[ok].view(np.int64)), pa.array(_group(x)[ok].view(np.int64)), pa.array(x.n[ok])], ["k", "cls", "grp", "n"])
-
-    return run
-
-
-def near_duplicate_classes(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, ell: int = 6) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (k, cls, n), one row per distinct key with shingles; links (ca, cb, similarity) between different classes, ca < cb.
+def _read_matrix(t: float, ell: int):
+    def probe(buckets: int):
+        def run(table: pa.Table) -> Iterator[pa.Table]:
+            x = sj.read_blobs(table)
+            member, ask = x["role"] != sj.ASK, np.flatnonzero(x["role"] != sj.MEMBER)
+            if not member.any() or not len(ask):
+                return
+            # the matrix: one entry for each token of a group's union
+            m = {k: x[k][member] for k in ("tok", "grp", "n", "pos")}
+            order = together(m["tok"], m["grp"])
+            m = {k: v[order] for k, v in m.items()}
+            at = np.flatnonzero(np.concatenate([[True], (m["tok"][1:] != m["tok"][:-1]) | (m["grp"][1:] != m["grp"][:-1])]))
+            e_tok, e_grp = m["tok"][at].astype(np.int64), m["grp"][at]
+            e_min, e_max, e_pos = np.minimum.reduceat(m["n"], at), np.maximum.reduceat(m["n"], at), np.minimum.reduceat(m["pos"], at)
+            e_many = np.diff(np.append(at, len(order))) > 1
+            cap = (1 << 31) - 1
+            key = (e_tok << 31) | np.minimum(e_max, cap)
+            order = np.argsort(key)
+            key, e_grp, e_min, e_max, e_pos, e_many = (v[order] for v in (key, e_grp, e_min, e_max, e_pos, e_many))
+            # a class asks for members at least as large as itself
+            n, pos, tok = x["n"][ask], x["pos"][ask], x["tok"][ask].astype(np.int64)
+            top = np.minimum(np.floor((n - pos + ell - 1) * (1 + t) / t + 1e-9).astype(np.int64) - n, sj.longest(n, t))
+            ok = np.flatnonzero(top >= n)
+            ask, n, pos, tok, top = ask[ok], n[ok], pos[ok], tok[ok], top[ok]
+            lo = np.searchsorted(key, (tok << 31) | np.minimum(n, cap))
+            hi = np.searchsorted(key, (tok << 31) | np.minimum((top * SPREAD).astype(np.int64) + 2, cap), "right")
+            qs, qi = np.unique(x["cls"][ask], return_inverse=True)
+            gs, gi = np.unique(e_grp, return_inverse=True)
+            own = x["grp"][ask]
+            found = sj.Counted(qs, gs, buckets)
+            for i, j in sj.expand(lo, hi):
+                low = np.maximum(e_min[j], n[i])
+                high = np.minimum(e_max[j], sj.longest(n[i], t))
+                least = sj.need(n[i], low, t)
+                fewest = np.minimum(ell, least)
+                ok = (low <= top[i]) & (n[i] - pos[i] >= least - fewest + 1)
+                ok &= high - e_pos[j] >= sj.need(n[i], high, t) - fewest + 1
+                ok &= (e_grp[j] != own[i]) | e_many[j]
+                i, j, fewest = i[ok], j[ok], fewest[ok]
+                yield from found.add(qi[i], gi[j], -(-ell // np.maximum(fewest, 1)))
+            yield from found.rest()
+
+        return run
+
+    return probe
+
+
+def _both(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.ones(len(flag), bool), np.ones(len(flag), bool)
+
+
+def _class(cls: np.ndarray, flag: np.ndarray) -> np.ndarray:  # noqa: ARG001
+    return cls
+
+
+def near_duplicate_classes(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, ell: int = 6, cell: int = sj.CELL) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (k, cls, n), one row per distinct key and set; links (ca, cb, similarity) between different classes, ca < cb.
 
     No link between different texts is lost; copies share a class.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("k is not null and t is not null")
-    buckets = n_buckets(rows)
-    ranks = spark.sparkContext.broadcast(sj.sketch(rows, "t", width))
-    docs = materialise(rows.mapInArrow(_describe(width, ranks), f"k {dict(rows.dtypes)['k']}, cls long, grp long, n long"), "tgm-docs")
-    blobs = rows.select("t", F.lit(0).alias("f")).mapInArrow(sj.postings(width, threshold, ell, ranks, buckets, _group), sj.BLOB)
-    asked = blobs.groupBy("bucket").applyInArrow(_read_matrix(threshold, ell, buckets), sj.PAIR)
-    opened = asked.groupBy("bucket").applyInArrow(sj.add_pairs(ell), "a long, b long")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).alias("f")).filter("k is not null and t is not null")
+    docs, opened = sj.candidates(rows, width, threshold, ell, _group, _both, _class, _read_matrix(threshold, ell), 0, cell)
     classes = docs.groupBy("cls").agg(F.min("k").alias("rep"), F.min("grp").alias("grp"), F.min("n").alias("n"))
     c, d = classes.alias("c"), classes.alias("d")
     pairs = (
@@ -133,15 +117,15 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, width: int = 5, t
         .distinct()
     )
     pairs = materialise(pairs, "tgm-pairs")
-    links = sj.verify(pairs, rows, width, threshold).select("ca", "cb", "similarity")
+    links = sj.verify(pairs, rows, width, threshold, _class).select("ca", "cb", "similarity")
     return docs.select("k", "cls", "n").distinct(), links
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, **how: int) -> DataFrame:
     """(a, b) with a < b: every pair of keys whose texts reach the threshold, copies included."""
-    members, links = near_duplicate_classes(df, key, text, width, threshold)
+    members, links = near_duplicate_classes(df, key, text, width, threshold, **how)
     m, o = members.alias("m"), members.alias("o")
     between = links.join(m, F.col("ca") == F.col("m.cls")).select("cb", F.col("m.k").alias("x")).join(o, F.col("cb") == F.col("o.cls")).select("x", F.col("o.k").alias("y"))
     copied = members.join(members.groupBy("cls").agg(F.count("*").alias("c")).filter("c > 1").select("cls"), "cls")
     within = copied.alias("m").join(copied.alias("o"), "cls").filter(F.col("m.k") < F.col("o.k")).select(F.col("m.k").alias("x"), F.col("o.k").alias("y"))
-    return between.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return between.unionByName(within).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -29,8 +29,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per chunk with its class of equal sets and the class's links; copies are not expanded.  Five words and 0.8."""
-    members, links = nd.near_duplicate_classes(_read(spark, sf, "chunks"), "chunk_id", "text")
+    """One row per chunk with its class of equal sets and the class's links; copies are not expanded.  The same words and threshold as p1_found."""
+    members, links = nd.near_duplicate_classes(_read(spark, sf, "chunks"), "chunk_id", "text", width=3, threshold=0.5)
     ends = links.select(F.explode(F.array("ca", "cb")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     return members.join(ends, "cls", "left").select(F.col("k").alias("chunk_id"), F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 

@@ -1,8 +1,8 @@
 """Exact set-similarity joins without pairwise comparison: shared machinery.
 
 A text becomes the set of its distinct word shingles.  All sets are ordered by
-one global order, rare shingles first, taken from a count sketch of *fixed*
-size (``SKETCH`` counters) that is filled by every shingle of every row.  Any
+one global order, rare shingles first, taken from a count sketch that is filled
+by every shingle of every row and sized by the input (``sketch_bits``).  Any
 global order keeps the prefix filter exact, so the sketch's collisions cost
 time, never rows.
 
@@ -16,7 +16,11 @@ the first ``ell`` shared members then lie at places p with
 a pair out (``ell`` is at most ``need``).
 
 Postings travel as column blobs, one row per task and bucket, instead of one
-row per posting: that is about 8 bytes a posting in the shuffle.
+row per posting: that is about 8 bytes a posting in the shuffle.  A bucket is
+one reduce task of about ``BUCKET`` postings.  A shingle that stands in more
+than ``CELL`` rows is no single key: its members and its askers are cut into
+blocks of that size, and each pair of blocks is a cell with a bucket of its own
+(a pair of sets meets in exactly one cell of a shingle).
 """
 
 from __future__ import annotations
@@ -29,11 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.tokens import Words, by_bucket, by_row, distinct, mix64, together
+from docloom.session import in_buckets, materialise, n_buckets
 
-#: log2 of the number of counters of the sketch, and bytes in one of its blocks.
-SKETCH_BITS, BLOCK = 22, 1 << 16
+#: Bytes in one block of the sketch, and its fewest and most counters (binary logarithms).
+BLOCK, LEAST_BITS, MOST_BITS = 1 << 16, 20, 26
+#: Postings in one bucket, and rows above which a shingle is cut into cells.
+BUCKET, CELL = 1_000_000, 1 << 16
 #: Rows that one pass of the kernels holds at once, and the most code points.
 STEP, STEP_CHARS = 2_000, 4_000_000
+#: Counted pairs that a reduce task holds before it hands them on.
+PAIRS = 4_000_000
+#: What a posting does in its cell: both, only ask, only be asked.
+BOTH, ASK, MEMBER = 0, 1, 2
 
 
 def steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -52,40 +63,83 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     return distinct(*Words(texts).shingles(width))
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def sketch(df: DataFrame, text: str, width: int) -> np.ndarray:
-    """One byte per counter: about eight times the binary logarithm of its occurrences in all rows.
+def sketch_bits(df: DataFrame) -> int:
+    """About one counter for 64 bytes of the input's files, between 2**20 and 2**26 (64 MB); 2**22 where the size is unknown."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BITS, max(LEAST_BITS, (size // 64).bit_length())) if size < 1 << 60 else 22
 
-    Each task counts its rows in saturating bytes, the blocks are added up by a
-    group-by, and 4 MB reach the driver whatever the input's size.
+
+def sketch(df: DataFrame, text: str, width: int) -> tuple[np.ndarray, int]:
+    """One byte per counter, about eight times the binary logarithm of its occurrences in all rows; and the number of all shingles.
+
+    Each task counts its rows in saturating bytes and sends the blocks that
+    hold something, sparse ones as places and counts; the blocks are added up
+    by a group-by, and at most 64 MB reach the driver.
     """
+    bits = sketch_bits(df)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total, held, size, n = np.zeros(1 << bits, np.uint8), [], 0, 0
+
+        def add() -> None:
+            slot, c = np.unique(np.concatenate(held), return_counts=True)
+            total[slot] = np.minimum(total[slot] + np.minimum(c, 255), 255).astype(np.uint8)
+
         for b in batches:
             texts = b.column(0).to_pylist()
             for s, e in steps(texts):
-                total += np.bincount(_slot(Words(texts[s:e]).shingles(width)[1]), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        if total.any():
-            small = np.minimum(total, 255).astype(np.uint8)
-            blocks = range(0, 1 << SKETCH_BITS, BLOCK)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([i // BLOCK for i in blocks], pa.int32()), "counts": pa.array([small[i : i + BLOCK].tobytes() for i in blocks], pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK, np.float64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint8)
-        rank = np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
-        return pa.table({"block": table.column("block")[:1].cast(pa.int32()), "ranks": pa.array([rank.tobytes()], pa.binary())})
-
-    rows = df.select(text).mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, ranks binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in rows:
-        out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.ranks, np.uint8)
-    return out
+                held.append(_slot(Words(texts[s:e]).shingles(width)[1], bits))
+                size, n = size + len(held[-1]), n + len(held[-1])
+                if size > 2_000_000:
+                    add()
+                    held, size = [], 0
+        if size:
+            add()
+        block, at, counts = [-1], [b""], [n.to_bytes(8, "little")]
+        for i in range(0, 1 << bits, BLOCK):
+            part = total[i : i + BLOCK]
+            full = np.flatnonzero(part)
+            if len(full):
+                block.append(i // BLOCK)
+                sparse = 3 * len(full) < BLOCK
+                at.append(full.astype(np.uint16).tobytes() if sparse else b"")
+                counts.append((part[full] if sparse else part).tobytes())
+        yield pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int32()), "at": pa.array(at, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    def union(table: pa.Table) -> pa.Table:
+        block = table.column("block")[:1].cast(pa.int32())
+        if block[0].as_py() < 0:
+            ranks = sum(int.from_bytes(x.as_py(), "little") for x in table.column("counts")).to_bytes(8, "little")
+        else:
+            total = np.zeros(BLOCK, np.float64)
+            for at, counts in zip(table.column("at").to_pylist(), table.column("counts").to_pylist(), strict=True):
+                if at:
+                    total[np.frombuffer(at, np.uint16)] += np.frombuffer(counts, np.uint8)
+                else:
+                    total += np.frombuffer(counts, np.uint8)
+            ranks = np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8).tobytes()
+        return pa.table({"block": block, "ranks": pa.array([ranks], pa.binary())})
+
+    out, n = np.zeros(1 << bits, np.uint8), 0
+    for r in df.select(text).mapInArrow(count, "block int, at binary, counts binary").groupBy("block").applyInArrow(union, "block int, ranks binary").collect():
+        if r.block < 0:
+            n = int.from_bytes(r.ranks, "little")
+        else:
+            out[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.ranks, np.uint8)
+    return out, n
+
+
+def set_hash(doc: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """A hash of each row's whole set, from its distinct members in order of the row."""
+    n = np.bincount(doc, minlength=rows)
+    out, full = np.zeros(rows, np.uint64), np.flatnonzero(n > 0)
+    if len(full):
+        out[full] = np.add.reduceat(mix64(h + np.uint64(1)), (np.cumsum(n) - n)[full])
+    return mix64(out + n.astype(np.uint64))
 
 
 class Sets:
@@ -93,18 +147,14 @@ class Sets:
 
     def __init__(self, texts: list[str | None], width: int, ranks: np.ndarray):
         doc, h = shingle_sets(texts, width)
-        rank = ranks[_slot(h)].astype(np.uint64)
+        rank = ranks[_slot(h, len(ranks).bit_length() - 1)].astype(np.uint64)
         # (row, rank, hash) in one sortable number: the row's number is below STEP
         order = np.argsort((doc.astype(np.uint64) << np.uint64(48)) | (rank << np.uint64(40)) | (h >> np.uint64(24)), kind="stable")
-        self.doc, self.token = doc[order], h[order]
+        self.doc, self.token, self.rank = doc[order], h[order], rank[order]
         self.n = np.bincount(doc, minlength=len(texts)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64)
         self.pos = np.arange(len(doc)) - self.first[self.doc]
-        self.cls = np.zeros(len(texts), np.uint64)
-        full = np.flatnonzero(self.n > 0)
-        if len(full):  # the rows come in order
-            self.cls[full] = np.add.reduceat(mix64(h + np.uint64(1)), self.first[full])
-        self.cls = mix64(self.cls + self.n.astype(np.uint64))
+        self.cls = set_hash(doc, h, len(texts))
 
     def bitmap(self, words: int) -> np.ndarray:
         """One row of ``64 * words`` bits per set: a bit stands where some member hashes to it."""
@@ -141,62 +191,155 @@ def _array(b: bytes, kind: type) -> np.ndarray:
 
 
 BLOB = "bucket int, cls binary, grp binary, n binary, flag binary, sig binary, cnt binary, tok binary, pos binary"
-
-
-def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callable, words: int = 0, flush: int = 20_000) -> Callable:
-    """For mapInArrow over (text, flag): prefix postings of each distinct (set, flag) as blobs by bucket of the token.
-
-    ``group(sets, row)`` gives a 64-bit group for each row; ``flag`` is a small
-    integer carried along (0 where unused); ``words`` is the size of a bitmap of
-    each set, which bounds overlaps of small sets.
+DOC = "dcls long, dgrp long, dn long, df int"
+
+
+def n_parts(shingles: int, t: float, least: int) -> int:
+    """Buckets for the prefixes of so many shingles: about BUCKET postings in each, and at least ``least``."""
+    return max(1, least, -(-int(shingles * (1 - t)) // BUCKET))
+
+
+def _cells(tok: np.ndarray, rank: np.ndarray, asks: np.ndarray, member: np.ndarray, ask_key: np.ndarray, member_key: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, token of the cell, role) of every copy of the postings: one for ordinary shingles, one per cell for hot ones."""
+    side = np.maximum(1, np.ceil(2.0 ** (rank / 8.0) / cell)).astype(np.int64)
+    role = np.where(asks & member, BOTH, np.where(asks, ASK, MEMBER))
+    if (side == 1).all():
+        return np.arange(len(tok)), tok, role
+    plain, hot = np.flatnonzero(side == 1), np.flatnonzero(side > 1)
+    at, token, roles = [plain], [tok[plain]], [role[plain]]
+    i = hot[member[hot]]
+    copy = np.repeat(i, side[i])
+    j = np.arange(len(copy)) - np.repeat(np.cumsum(side[i]) - side[i], side[i])
+    own = (member_key[copy] % side[copy].astype(np.uint64)).astype(np.int64)
+    at.append(copy), token.append(mix64(tok[copy] + (own * side[copy] + j).astype(np.uint64))), roles.append(np.full(len(copy), MEMBER))
+    i = hot[asks[hot]]
+    copy = np.repeat(i, side[i])
+    j = np.arange(len(copy)) - np.repeat(np.cumsum(side[i]) - side[i], side[i])
+    own = (ask_key[copy] % side[copy].astype(np.uint64)).astype(np.int64)
+    at.append(copy), token.append(mix64(tok[copy] + (j * side[copy] + own).astype(np.uint64))), roles.append(np.full(len(copy), ASK))
+    return np.concatenate(at), np.concatenate(token), np.concatenate(roles)
+
+
+def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callable, sides: Callable, name: Callable, words: int, cell: int, flush: int = 2_000_000) -> Callable:
+    """For mapInArrow over (k, text, flag): a row for each record with a set, and the prefix postings of each distinct (set, flag) as blobs by bucket of the cell.
+
+    ``group(sets)`` gives a 64-bit group for each row; ``flag`` is a small
+    integer below 64 carried along (0 where unused); ``sides(flag)`` tells which
+    rows ask and which are asked; ``name(cls, flag)`` is the class a record
+    belongs to; ``words`` is the size of a bitmap of each set, which bounds
+    overlaps of small sets.
     """
+    names = [c.split()[0] for c in BLOB.split(", ")]
 
-    def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        cls, grp, n, flag, sig = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 7))
+    def out(parts: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        cls, grp, n, flag, sig = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 3, 8))
         base = np.concatenate([[0], np.cumsum([len(p[0]) for p in parts])[:-1]])
         doc = np.concatenate([p[4] + b for p, b in zip(parts, base, strict=True)])
-        tok, pos = (np.concatenate([p[i] for p in parts]) for i in (5, 6))
+        tok, pos, rank = (np.concatenate([p[i] for p in parts]) for i in (5, 6, 7))
         # copies of a set count once
-        same = cls + mix64(flag.astype(np.uint64) + np.uint64(7))
-        _, keep = np.unique(same, return_index=True)
+        _, keep = np.unique(cls + mix64(flag.astype(np.uint64) + np.uint64(7)), return_index=True)
         once = np.zeros(len(cls), bool)
         once[keep] = True
         ok = once[doc]
-        doc, tok, pos = doc[ok], tok[ok], pos[ok]
+        doc, tok, pos, rank = doc[ok], tok[ok], pos[ok], rank[ok]
+        asks, member = sides(flag)
+        at, tok, role = _cells(tok, rank, asks[doc], member[doc], mix64(cls + np.uint64(1))[doc], mix64(np.where(grp == 0, cls, grp) + np.uint64(2))[doc], cell)
+        doc, pos = doc[at] * 4 + role, pos[at]
         bucket = ((tok >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-        order = by_bucket(bucket)  # rows come in order
+        if len(at) and (np.diff(doc) < 0).any():
+            order = np.argsort(doc, kind="stable")
+            order = order[by_bucket(bucket[order])]
+        else:
+            order = by_bucket(bucket)
         doc, tok, pos, bucket = doc[order], tok[order], pos[order], bucket[order]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows: dict[str, list] = {k: [] for k in ("bucket", "cls", "grp", "n", "flag", "sig", "cnt", "tok", "pos")}
+        rows: dict[str, list] = {k: [] for k in names}
         for k in range(buckets):
             s, e = edges[k], edges[k + 1]
             if s == e:
                 continue
             docs, cnt = np.unique(doc[s:e], return_counts=True)
-            for key, v in (("bucket", k), ("cls", _bytes(cls[docs])), ("grp", _bytes(grp[docs])), ("n", _bytes(n[docs].astype(np.uint32))), ("flag", flag[docs].astype(np.uint8).tobytes()), ("sig", sig[docs].tobytes()), ("cnt", _bytes(cnt.astype(np.uint32))), ("tok", _bytes(tok[s:e].astype(np.uint32))), ("pos", _bytes(pos[s:e].astype(np.uint32)))):
+            d, what = docs >> 2, (docs & 3) << 6
+            for key, v in (("bucket", k), ("cls", _bytes(cls[d])), ("grp", _bytes(grp[d])), ("n", _bytes(n[d].astype(np.uint32))), ("flag", (flag[d] | what).astype(np.uint8).tobytes()), ("sig", sig[d].tobytes()), ("cnt", _bytes(cnt.astype(np.uint32))), ("tok", _bytes(tok[s:e].astype(np.uint32))), ("pos", _bytes(pos[s:e].astype(np.uint32)))):
                 rows[key].append(v)
         if rows["bucket"]:
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
+            m = len(rows["bucket"])
+            cols = [pa.array(rows[k], pa.int32() if k == "bucket" else pa.binary()) for k in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.int32())], [*names, "k", "dcls", "dgrp", "dn", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, turn, kind = [], 0, 0, None
         for b in batches:
-            texts, flags = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), np.int64)
+            kind = b.column(0).type
+            texts, flags = b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for s, e in steps(texts):
                 x = Sets(texts[s:e], width, ranks.value)
                 # the prefix for the longest partner to come, and ell - 1 more
                 ok = x.n[x.doc] - x.pos >= shortest(x.n[x.doc], t) - ell + 1
-                parts.append((x.cls, group(x), x.n, flags[s:e], x.doc[ok], x.token[ok], x.pos[ok], x.bitmap(words)))
+                grp = group(x)
+                parts.append((x.cls, grp, x.n, flags[s:e], x.doc[ok], x.token[ok], x.pos[ok], x.rank[ok], x.bitmap(words)))
                 held += int(ok.sum())
-            if held > flush * 100:
-                yield from out(parts)
+                full = np.flatnonzero(x.n > 0)
+                m = len(full)
+                cols = [pa.array(((full + turn) % buckets).astype(np.int32)), *[pa.nulls(m, pa.binary())] * (len(names) - 1), b.column(0).slice(s, e - s).take(pa.array(full))]
+                cols += [pa.array(name(x.cls, flags[s:e])[full].view(np.int64)), pa.array(grp[full].view(np.int64)), pa.array(x.n[full]), pa.array(flags[s:e][full].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "k", "dcls", "dgrp", "dn", "df"])
+                turn += e - s
+            if held > flush:
+                yield from out(parts, kind)
                 parts, held = [], 0
         if parts:
-            yield from out(parts)
+            yield from out(parts, kind)
 
     return run
 
 
+PAIR = "bucket int, a binary, cnt binary, b binary, m binary"
+
+
+def reduce_cells(probe: Callable) -> Callable:
+    """For mapInArrow over one bucket: the rows of records as they are, and blobs of the counted pairs that ``probe`` makes of the postings."""
+    names = [c.split()[0] for c in PAIR.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, kind = [], None
+        for b in batches:
+            kind = b.column("k").type
+            doc = b.column("cls").is_null()
+            d = b.filter(doc)
+            if d.num_rows:
+                yield pa.RecordBatch.from_arrays([*(d.column(c) for c in ("k", "dcls", "dgrp", "dn", "df")), pa.nulls(d.num_rows, pa.int32()), *[pa.nulls(d.num_rows, pa.binary())] * 4], ["k", "cls", "grp", "n", "f", *names])
+            p = b.filter(pa.compute.invert(doc))
+            if p.num_rows:
+                blobs.append(p.select([c.split()[0] for c in BLOB.split(", ")]))
+        if not blobs:
+            return
+        for t in probe(pa.Table.from_batches(blobs)):
+            for p in t.to_batches():
+                m = p.num_rows
+                yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 3, pa.nulls(m, pa.int32()), *p.columns], ["k", "cls", "grp", "n", "f", *names])
+
+    return run
+
+
+def candidates(rows: DataFrame, width: int, t: float, ell: int, group: Callable, sides: Callable, name: Callable, probe: Callable, words: int, cell: int) -> tuple[DataFrame, DataFrame]:
+    """(records, pairs) of rows (k, t, f): records (k, cls, grp, n, f), and (a, b) with at least ``ell`` counted matches.
+
+    One scan fills the sketch, a second describes the records and makes the
+    postings; both kinds of rows take one shuffle.
+    """
+    spark = rows.sparkSession
+    counts, shingles = sketch(rows, "t", width)
+    ranks = spark.sparkContext.broadcast(counts)
+    buckets = n_parts(shingles, t, n_buckets(rows))
+    key = dict(rows.dtypes)["k"]
+    sent = rows.mapInArrow(postings(width, t, ell, ranks, buckets, group, sides, name, words, cell), f"{BLOB}, k {key}, {DOC}")
+    met = materialise(in_buckets(sent, buckets, reduce_cells(probe(buckets)), f"k {key}, cls long, grp long, n long, f int, {PAIR}"), "set-join")
+    records = met.filter("bucket is null").select("k", "cls", "grp", "n", "f")
+    pairs = in_buckets(met.filter("bucket is not null").select("bucket", "a", "cnt", "b", "m"), buckets, add_pairs(ell), "a long, b long")
+    return records, pairs
+
+
 def read_blobs(table: pa.Table, words: int = 0) -> dict[str, np.ndarray]:
     """The postings of a bucket, one element per posting, without copies of the same (set, flag, token); tokens of one set alone are left out."""
     cols = {k: [] for k in ("cls", "grp", "n", "flag", "tok", "pos", *["sig"] * bool(words))}
@@ -223,6 +366,7 @@ def read_blobs(table: pa.Table, words: int = 0) -> dict[str, np.ndarray]:
     keep[1:] = (x["tok"][1:] != x["tok"][:-1]) | (x["cls"][1:] != x["cls"][:-1]) | (x["flag"][1:] != x["flag"][:-1])
     x = {k: v[keep] for k, v in x.items()}
     x["n"], x["pos"] = x["n"].astype(np.int64), x["pos"].astype(np.int64)
+    x["role"], x["flag"] = x["flag"] >> 6, x["flag"] & 63
     return x
 
 
@@ -240,7 +384,34 @@ def expand(lo: np.ndarray, hi: np.ndarray, most: int = 2_000_000) -> Iterator[tu
         s = e
 
 
-PAIR = "bucket int, a binary, cnt binary, b binary, m binary"
+class Counted:
+    """Counted pairs of a bucket, summed up now and then, handed on in tables of at most about PAIRS pairs."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, buckets: int):
+        self.a, self.b, self.buckets = a, b, buckets
+        self.held, self.size = [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> Iterator[pa.Table]:
+        self.held.append(np.stack([i * len(self.b) + j, weight]))
+        self.size += len(i)
+        if self.size > PAIRS:
+            self._sum()
+            if self.size > PAIRS // 2:
+                yield from self.rest()
+
+    def _sum(self) -> None:
+        pair, weight = np.concatenate(self.held, axis=1)
+        order = np.argsort(pair)
+        pair, weight = pair[order], weight[order]
+        at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        self.held, self.size = [np.stack([pair[at], np.add.reduceat(weight, at)])], len(at)
+
+    def rest(self) -> Iterator[pa.Table]:
+        if self.size:
+            self._sum()
+            pair, weight = self.held[0]
+            yield pair_blobs(self.a[pair // len(self.b)], self.b[pair % len(self.b)], weight, self.buckets)
+        self.held, self.size = [], 0
 
 
 def pair_blobs(a: np.ndarray, b: np.ndarray, m: np.ndarray, buckets: int) -> pa.Table:
@@ -262,60 +433,75 @@ def pair_blobs(a: np.ndarray, b: np.ndarray, m: np.ndarray, buckets: int) -> pa.
 
 
 def add_pairs(ell: int) -> Callable:
-    """For applyInArrow by bucket: pairs whose counts add up to ``ell``, as rows (a long, b long)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        a, b, m = [], [], []
-        for r in table.to_pylist():
-            a.append(np.repeat(_array(r["a"], np.uint64), _array(r["cnt"], np.uint32)))
-            b.append(_array(r["b"], np.uint64))
-            m.append(np.frombuffer(r["m"], np.uint8))
+    """For mapInArrow over one bucket: pairs whose counts add up to ``ell``, as rows (a long, b long)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, m = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint8)]
+        for batch in batches:
+            for r in batch.to_pylist():
+                a.append(np.repeat(_array(r["a"], np.uint64), _array(r["cnt"], np.uint32)))
+                b.append(_array(r["b"], np.uint64))
+                m.append(np.frombuffer(r["m"], np.uint8))
         a, b, m = np.concatenate(a), np.concatenate(b), np.concatenate(m).astype(np.int64)
+        if not len(a):
+            return
         order = together(a, b)
         a, b, m = a[order], b[order], m[order]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(first)
-        ok = np.add.reduceat(m, at) >= ell if len(at) else np.zeros(0, bool)
-        return pa.table({"a": pa.array(a[at][ok].view(np.int64)), "b": pa.array(b[at][ok].view(np.int64))})
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        ok = np.add.reduceat(m, at) >= ell
+        yield pa.RecordBatch.from_arrays([pa.array(a[at][ok].view(np.int64)), pa.array(b[at][ok].view(np.int64))], ["a", "b"])
 
     return run
 
 
-def bloom(df: DataFrame, key: str, bits_per_key: int = 16, most_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the long column ``key``, of at most ``most_bits`` bits (16 MB): a filter before a join, never in its place."""
+#: The most bits of a Bloom filter (64 MB); its two bits for each key among 16 let one in about 70 others through.
+MOST_BLOOM, BLOOM_BLOCK = 1 << 29, 1 << 20
+
+
+def bloom(df: DataFrame, key: str, bits_per_key: int = 16) -> tuple[np.ndarray, int] | None:
+    """A Bloom filter of the long column ``key``, with ``bits_per_key`` bits a key; none where that is over MOST_BLOOM bits.
+
+    A filter before a join, never in its place: without one the join alone
+    drops what is not wanted, and moves each row once.
+    """
     n = df.count()
-    bits = min(most_bits, 1 << max(13, int(n * bits_per_key - 1).bit_length()))
-    block = min(bits, 1 << 20)
+    bits = 1 << max(13, int(n * bits_per_key - 1).bit_length())
+    if bits > MOST_BLOOM:
+        return None
+    block = min(bits, BLOOM_BLOCK)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(bits, bool)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = mix64(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            have[(h % np.uint64(bits)).astype(np.int64)] = True
-            have[((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)] = True
-        at = [i for i in range(0, bits, block) if have[i : i + block].any()]
-        if at:
-            yield pa.RecordBatch.from_pydict({"at": pa.array([i // block for i in at], pa.int32()), "part": pa.array([np.packbits(have[i : i + block]).tobytes() for i in at], pa.binary())})
+            at = np.sort(np.concatenate(_bits(b.column(0).to_numpy(zero_copy_only=False), bits)))
+            if len(at):
+                number = at // block
+                cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+                parts = np.split((at % block).astype(np.uint32), cut[1:])
+                yield pa.RecordBatch.from_pydict({"at": pa.array(number[cut].astype(np.int32)), "part": pa.array([x.tobytes() for x in parts], pa.binary())})
 
     def union(table: pa.Table) -> pa.Table:
-        part = np.zeros(block // 8, np.uint8)
+        have = np.zeros(block, bool)
         for x in table.column("part"):
-            part |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"at": table.column("at")[:1].cast(pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
+            have[np.frombuffer(x.as_py(), np.uint32)] = True
+        return pa.table({"at": table.column("at")[:1].cast(pa.int32()), "part": pa.array([np.packbits(have).tobytes()], pa.binary())})
 
-    have = np.zeros(bits, bool)
-    for r in df.select(F.col(key).cast("long")).mapInArrow(fill, "at int, part binary").groupBy("at").applyInArrow(union, "at int, part binary").collect():
-        have[r["at"] * block : (r["at"] + 1) * block] = np.unpackbits(np.frombuffer(r.part, np.uint8)).astype(bool)
-    return np.packbits(have), bits
+    have = np.zeros(bits // 8, np.uint8)
+    for r in df.select(F.col(key).cast("long")).mapInArrow(places, "at int, part binary").groupBy("at").applyInArrow(union, "at int, part binary").collect():
+        have[r["at"] * block // 8 : (r["at"] + 1) * block // 8] = np.frombuffer(r.part, np.uint8)
+    return have, bits
 
 
-def in_bloom(filter_: tuple[np.ndarray, int], keys: np.ndarray) -> np.ndarray:
-    have, bits = filter_
+def _bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix64(keys.astype(np.int64).view(np.uint64))
-    ok = np.ones(len(h), bool)
-    for x in (h % np.uint64(bits), (h >> np.uint64(32)) % np.uint64(bits)):
-        ok &= (have[(x >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (x & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
+
+
+def in_bloom(filter_: tuple[np.ndarray, int] | None, keys: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(keys), bool)
+    if filter_ is not None:
+        have, bits = filter_
+        for x in _bits(keys, bits):
+            ok &= (have[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1
     return ok
 
 
@@ -343,11 +529,16 @@ def jaccard(left: list[str | None], right: list[str | None], sets: Callable) ->
     return out
 
 
-def _texts_of(filter_) -> Callable:
+def _texts_of(filter_, width: int, name: Callable) -> Callable:
+    """For mapInArrow over (k, t, f, h): the class and text of each record whose key may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = in_bloom(filter_.value, b.column(2).to_numpy(zero_copy_only=False))
-            yield b.filter(pa.array(ok)).select([0, 1])
+            b = b.filter(pa.array(in_bloom(filter_.value, b.column(3).to_numpy(zero_copy_only=False))))
+            texts, flags = b.column(1).to_pylist(), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            for s, e in steps(texts):
+                cls = name(set_hash(*shingle_sets(texts[s:e], width), e - s), flags[s:e])
+                yield pa.RecordBatch.from_arrays([pa.array(cls.view(np.int64)), b.column(1).slice(s, e - s)], ["cls", "t"])
 
     return run
 
@@ -362,19 +553,21 @@ def _similar(width: int, t: float) -> Callable:
     return run
 
 
-def verify(pairs: DataFrame, rows: DataFrame, width: int, t: float) -> DataFrame:
-    """The pairs (ca, cb, ra, rb) whose representatives' texts reach the threshold, as (ca, cb, similarity).
+def verify(pairs: DataFrame, rows: DataFrame, width: int, t: float, name: Callable) -> DataFrame:
+    """The pairs (ca, cb, ra, rb) of classes whose sets reach the threshold, as (ca, cb, similarity).
 
-    rows (k, t) holds the texts.  Only texts that a pair names leave the scan:
-    a Bloom filter of bounded size drops the others before the join.
+    rows (k, t, f) holds the texts; ra and rb are keys of one record of either
+    class.  Only texts whose key a pair names leave the scan.  They meet the
+    pairs by their class, so a key that repeats with other texts stands for
+    each of them, and of one class any text will do.
     """
     spark = rows.sparkSession
     wanted = pairs.select(F.explode(F.array("ra", "rb")).alias("k")).distinct().select(F.xxhash64("k").alias("h"))
     filter_ = spark.sparkContext.broadcast(bloom(wanted, "h"))
-    texts = rows.withColumn("h", F.xxhash64("k")).mapInArrow(_texts_of(filter_), f"k {dict(rows.dtypes)['k']}, t string").dropDuplicates(["k"])
+    texts = rows.select("k", "t", "f", F.xxhash64("k").alias("h")).mapInArrow(_texts_of(filter_, width, name), "cls long, t string").dropDuplicates(["cls"])
     return (
-        pairs.join(texts.select(F.col("k").alias("ra"), F.col("t").alias("ta")), "ra")
-        .join(texts.select(F.col("k").alias("rb"), F.col("t").alias("tb")), "rb")
+        pairs.join(texts.select(F.col("cls").alias("ca"), F.col("t").alias("ta")), "ca")
+        .join(texts.select(F.col("cls").alias("cb"), F.col("t").alias("tb")), "cb")
         .select("ca", "cb", "ta", "tb")
         .mapInArrow(_similar(width, t), "ca long, cb long, similarity double")
     )

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import setjoin as sj
 from docloom.llm.tokens import mix64
-from docloom.session import materialise, n_buckets
+from docloom.session import materialise
 
 
 def bare(text: Column) -> Column:
@@ -39,84 +39,74 @@ def _keyed(cls: np.ndarray, kind: np.ndarray) -> np.ndarray:
 WORDS = 2
 
 
-def _probe(t: float, ell: int, buckets: int):
-    def run(table: pa.Table) -> pa.Table:
-        x = sj.read_blobs(table, WORDS)
-        train = (x["flag"] & 1) == 0
-        kind = (x["flag"] >> 1).astype(np.int64)
-        key = _keyed(x["cls"], kind)
-        run_of = x["tok"].astype(np.int64) * 4 + kind
-        empty = sj.pair_blobs(np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), buckets)
-        ev, tr = np.flatnonzero(~train), np.flatnonzero(train)
-        if not len(ev) or not len(tr):
-            return empty
-        cap = (1 << 28) - 1
-        ev = ev[np.lexsort((x["n"][ev], run_of[ev]))]
-        order = (run_of[ev] << 28) | np.minimum(x["n"][ev], cap)
-        n, pos = x["n"][tr], x["pos"][tr]
-        top = np.minimum(np.floor((n - pos + ell - 1) * (1 + t) / t + 1e-9).astype(np.int64) - n, sj.longest(n, t))
-        lo = np.searchsorted(order, (run_of[tr] << 28) | np.minimum(sj.shortest(n, t), cap))
-        hi = np.searchsorted(order, (run_of[tr] << 28) | np.clip(top, 0, cap), "right")
-        ts, ti = np.unique(key[tr], return_inverse=True)
-        es, ei = np.unique(key[ev], return_inverse=True)
-        found = []
-        for i, j in sj.expand(lo, hi):
-            nj, pj = x["n"][ev[j]], x["pos"][ev[j]]
-            least = sj.need(n[i], nj, t)
-            fewest = np.minimum(ell, least)
-            ok = (n[i] - pos[i] >= least - fewest + 1) & (nj - pj >= least - fewest + 1)
-            i, j, nj, least, fewest = i[ok], j[ok], nj[ok], least[ok], fewest[ok]
-            # members that one set lacks: at least the bits that differ
-            differ = np.bitwise_count(x["sig"][tr[i]] ^ x["sig"][ev[j]]).sum(axis=1).astype(np.int64)
-            ok = n[i] + nj - differ >= 2 * least
-            found.append(np.stack([ti[i[ok]] * len(es) + ei[j[ok]], -(-ell // np.maximum(fewest[ok], 1))]))
-        if not found or not sum(f.shape[1] for f in found):
-            return empty
-        pair, weight = np.concatenate(found, axis=1)
-        order = np.argsort(pair)
-        pair, weight = pair[order], weight[order]
-        at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        return sj.pair_blobs(ts[pair[at] // len(es)], es[pair[at] % len(es)], np.add.reduceat(weight, at), buckets)
-
-    return run
-
-
-def _describe(width: int, ranks):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, kind = b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), np.int64) >> 1
-            for s, e in sj.steps(texts):
-                x = sj.Sets(texts[s:e], width, ranks.value)
-                ok = np.flatnonzero(x.n > 0)
-                at = pa.array(ok)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s).take(at), b.column(2).slice(s, e - s).take(at), pa.array(_keyed(x.cls, kind[s:e])[ok].view(np.int64))], ["k", "f", "cls"])
-
-    return run
-
-
-def cross_split_links(df: DataFrame, key: str, split: str, fields: list[str], width: int = 1, threshold: float = 0.7, ell: int = 1) -> tuple[DataFrame, DataFrame]:
+def _probe(t: float, ell: int):
+    def probe(buckets: int):
+        def run(table: pa.Table) -> Iterator[pa.Table]:
+            x = sj.read_blobs(table, WORDS)
+            train = (x["flag"] & 1) == 0
+            kind = (x["flag"] >> 1).astype(np.int64)
+            key = _keyed(x["cls"], kind)
+            run_of = x["tok"].astype(np.int64) * 32 + kind
+            ev, tr = np.flatnonzero(~train), np.flatnonzero(train)
+            if not len(ev) or not len(tr):
+                return
+            cap = (1 << 25) - 1
+            ev = ev[np.lexsort((x["n"][ev], run_of[ev]))]
+            order = (run_of[ev] << 25) | np.minimum(x["n"][ev], cap)
+            n, pos = x["n"][tr], x["pos"][tr]
+            top = np.minimum(np.floor((n - pos + ell - 1) * (1 + t) / t + 1e-9).astype(np.int64) - n, sj.longest(n, t))
+            lo = np.searchsorted(order, (run_of[tr] << 25) | np.minimum(sj.shortest(n, t), cap))
+            hi = np.searchsorted(order, (run_of[tr] << 25) | np.clip(top, 0, cap), "right")
+            ts, ti = np.unique(key[tr], return_inverse=True)
+            es, ei = np.unique(key[ev], return_inverse=True)
+            found = sj.Counted(ts, es, buckets)
+            e_n, e_pos, e_sig, t_sig = x["n"][ev], x["pos"][ev], x["sig"][ev], x["sig"][tr]
+            for i, j in sj.expand(lo, hi):
+                nj = e_n[j]
+                least = sj.need(n[i], nj, t)
+                fewest = np.minimum(ell, least)
+                ok = (n[i] - pos[i] >= least - fewest + 1) & (nj - e_pos[j] >= least - fewest + 1)
+                i, j, nj, least, fewest = i[ok], j[ok], nj[ok], least[ok], fewest[ok]
+                # members that one set lacks: at least the bits that differ
+                differ = np.zeros(len(i), np.int64)
+                for w in range(WORDS):
+                    differ += np.bitwise_count(t_sig[i, w] ^ e_sig[j, w])
+                ok = n[i] + nj - differ >= 2 * least
+                yield from found.add(ti[i[ok]], ei[j[ok]], -(-ell // np.maximum(fewest[ok], 1)))
+            yield from found.rest()
+
+        return run
+
+    return probe
+
+
+def _sides(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training rows ask, evaluation rows are asked."""
+    return (flag & 1) == 0, (flag & 1) == 1
+
+
+def _class(cls: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    return _keyed(cls, flag >> 1)
+
+
+def cross_split_links(df: DataFrame, key: str, split: str, fields: list[str], width: int = 1, threshold: float = 0.7, ell: int = 1, cell: int = sj.CELL) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (k, field, eval, cls); links (train_cls, eval_cls, similarity) between the distinct sets of both sides."""
     spark = df.sparkSession
     name = F.lower(F.trim(F.col(split)))
     parts = F.array(*[F.struct(bare(F.col(f)).alias("t"), (F.lit(2 * i) + F.when(name == "train", 0).otherwise(1)).alias("f")) for i, f in enumerate(fields)])
     rows = df.filter(F.col(key).isNotNull() & F.col(split).isNotNull()).select(F.col(key).alias("id"), F.explode(parts).alias("x")).select(F.struct("id", F.col("x.f").alias("f")).alias("k"), F.col("x.t").alias("t"), F.col("x.f").alias("f")).filter("t is not null")
-    buckets = n_buckets(rows)
-    ranks = spark.sparkContext.broadcast(sj.sketch(rows, "t", width))
-    kind = dict(rows.dtypes)["k"]
-    docs = materialise(rows.mapInArrow(_describe(width, ranks), f"k {kind}, f int, cls long"), "split-docs")
-    blobs = rows.select("t", "f").mapInArrow(sj.postings(width, threshold, ell, ranks, buckets, lambda x: np.zeros(len(x.n), np.uint64), words=WORDS), sj.BLOB)
-    near = blobs.groupBy("bucket").applyInArrow(_probe(threshold, ell, buckets), sj.PAIR).groupBy("bucket").applyInArrow(sj.add_pairs(ell), "a long, b long")
+    docs, near = sj.candidates(rows, width, threshold, ell, lambda x: np.zeros(len(x.n), np.uint64), _sides, _class, _probe(threshold, ell), WORDS, cell)
     train = docs.filter("f % 2 = 0").groupBy("cls").agg(F.min("k").alias("ra"))
     held = docs.filter("f % 2 = 1").groupBy("cls").agg(F.min("k").alias("rb"))
     pairs = materialise(near.join(train.withColumnRenamed("cls", "a"), "a").join(held.withColumnRenamed("cls", "b"), "b").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "ra", "rb"), "split-pairs")
-    links = sj.verify(pairs, rows.select("k", "t"), width, threshold).select(F.col("ca").alias("train_cls"), F.col("cb").alias("eval_cls"), "similarity")
+    links = sj.verify(pairs, rows, width, threshold, _class).select(F.col("ca").alias("train_cls"), F.col("cb").alias("eval_cls"), "similarity")
     names = F.element_at(F.array(*[F.lit(f) for f in fields]), (F.col("f") / 2).cast("int") + 1)
     return docs.select(F.col("k.id").alias("k"), names.alias("field"), (F.col("f") % 2 == 1).alias("eval"), "cls").distinct(), links
 
 
-def cross_split_pairs(df: DataFrame, key: str, split: str, fields: list[str], width: int = 1, threshold: float = 0.7) -> DataFrame:
+def cross_split_pairs(df: DataFrame, key: str, split: str, fields: list[str], width: int = 1, threshold: float = 0.7, **how: int) -> DataFrame:
     """(train, eval, field): every pair of a training and an evaluation row that reach the threshold in the field."""
-    members, links = cross_split_links(df, key, split, fields, width, threshold)
+    members, links = cross_split_links(df, key, split, fields, width, threshold, **how)
     left = members.filter("not eval").select(F.col("k").alias("train"), "field", F.col("cls").alias("train_cls"))
     right = members.filter("eval").select(F.col("k").alias("eval"), F.col("cls").alias("eval_cls"))
     return links.join(left, "train_cls").join(right, "eval_cls").select("train", "eval", "field").distinct()

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from docloom.llm import near_duplicates as nd
@@ -67,6 +68,37 @@ def test_one_hot_group_of_copies_and_near_copies(spark):
     assert linked == want
 
 
+def test_hot_shingles_cut_into_cells_lose_no_pair(spark):
+    texts = corpus(11, 100)
+    s = [sets(x, 2) for x in texts]
+    want = {(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if s[i] | s[j] and jac(s[i], s[j]) >= 0.4}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    got = nd.near_duplicate_pairs(df, "id", "text", 2, 0.4, cell=5).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    rows = [(i, x, "train" if i % 3 else "val") for i, x in enumerate(texts)]
+    w = [set(words(x)) for x in texts]
+    want = {(i, j) for i, _, a in rows for j, _, b in rows if a == "train" and b == "val" and jac(w[i], w[j]) >= 0.7}
+    found = so.cross_split_pairs(spark.createDataFrame(rows, "id int, q string, split string"), "id", "split", ["q"], cell=5).collect()
+    assert {(r.train, r.eval) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_a_key_with_two_texts_stands_for_both(spark, turn):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    rows = [(1, one, "train"), (1, two, "train"), (2, one + " more", "test"), (3, two + " more", "test")][::turn]
+    df = spark.createDataFrame(rows, "id int, text string, split string").coalesce(1)
+    assert {(r.a, r.b) for r in nd.near_duplicate_pairs(df, "id", "text", 3, 0.5).collect()} == {(1, 2), (1, 3)}
+    assert {(r.train, r.eval) for r in so.cross_split_pairs(df, "id", "split", ["text"]).collect()} == {(1, 2), (1, 3)}
+
+
+def test_bloom_without_room_lets_all_through(spark, monkeypatch):
+    keys = spark.range(5000)
+    assert sj.in_bloom(sj.bloom(keys, "id"), np.arange(5000)).all()
+    assert sj.in_bloom(sj.bloom(keys, "id"), np.arange(10**6, 10**6 + 20_000)).mean() < 0.03
+    monkeypatch.setattr(sj, "MOST_BLOOM", 1 << 10)
+    assert sj.bloom(keys, "id") is None and sj.in_bloom(None, np.arange(9)).all()
+
+
 def test_near_duplicate_edges(spark):
     long = " ".join(f"w{i % 997}" for i in range(60_000))
     rows = [("a", None, "x", 1), (None, "one two three", "x", 1), ("b", "", "x", 1), ("c", "!!!", "x", 1), ("d", "one two", "x", 1), ("e", "one two three", "x", 1), ("e", "one two three", "x", 1), ("f", "ONE, two. Three", None, None), ("g", long, "x", 1), ("h", long + " end", "x", 1)]
