@@ -40,7 +40,7 @@ BLOCK, LEAST_BITS, MOST_BITS = 1 << 16, 20, 26
 #: Postings in one bucket, and rows above which a shingle is cut into cells.
 BUCKET, CELL = 1_000_000, 1 << 16
 #: Rows that one pass of the kernels holds at once, and the most code points.
-STEP, STEP_CHARS = 2_000, 4_000_000
+STEP, STEP_CHARS = 500, 1_000_000
 #: Counted pairs that a reduce task holds before it hands them on.
 PAIRS = 4_000_000
 #: What a posting does in its cell: both, only ask, only be asked.

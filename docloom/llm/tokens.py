@@ -64,7 +64,11 @@ def _powers(n: int) -> np.ndarray:
 
 def powers(n: int) -> np.ndarray:
     """The first n powers of the base, from a table of the next power of two."""
-    return _powers(max(64, 1 << int(max(1, n) - 1).bit_length()))[:n]
+    return _powers_table(n)[:n]
+
+
+def _powers_table(n: int) -> np.ndarray:
+    return _powers(max(64, 1 << int(max(1, n) - 1).bit_length()))
 
 
 def layout(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,15 +107,34 @@ class Words:
         return d[:m][ok], mix64(out[ok])
 
 
+@lru_cache(maxsize=4)
+def _inverse_powers(n: int) -> np.ndarray:
+    """Powers of the base's inverse modulo 2**64 (the base is odd)."""
+    out = np.full(n, pow(int(_BASE), -1, 1 << 64), np.uint64)
+    out[0] = 1
+    return np.cumprod(out, out=out)
+
+
+#: Code points that one power table spans; longer batches are hashed in windows.
+WINDOW = 1 << 19
+
+
 def run_hash(cps: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the lower-cased code points of each run [start, end)."""
-    if not len(start):
-        return np.empty(0, np.uint64)
-    size = end - start
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    pos = np.arange(int(size.sum())) - np.repeat(first, size)
-    value = _mixed_lower()[cps[np.repeat(start, size) + pos]] * powers(int(size.max()))[pos]
-    return mix64(np.add.reduceat(value, first) + size.astype(np.uint64))
+    """Hash of the lower-cased code points of each run [start, end): the sum of c[i] * base**i, from one running sum."""
+    out = np.empty(len(start), np.uint64)
+    lower, at = _mixed_lower(), 0
+    while at < len(start):
+        base = start[at]
+        stop = max(at + 1, int(np.searchsorted(end, base + WINDOW, "right")))
+        s, e = start[at:stop] - base, end[at:stop] - base
+        size = int(e[-1])
+        total = np.empty(size + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(lower[cps[base : base + size]] * powers(size), out=total[1:])
+        inverse = _inverse_powers(len(_powers_table(size)))
+        out[at:stop] = mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = stop
+    return out
 
 
 def by_row(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
