@@ -41,7 +41,7 @@ def _group(x: sj.Sets) -> np.ndarray:
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         out[doc[first]] = np.minimum.reduceat(mix64(x.token[ok] ^ np.uint64(0xA5A5A5A5)), first)
     step = np.floor(np.log(np.maximum(x.n, 1)) / np.log(SPREAD)).astype(np.uint64)
-    return mix64(out + step) >> np.uint64(16)
+    return mix64(out + step) >> np.uint64(64 - sj.GROUP_BITS)
 
 
 def _read_matrix(t: float, ell: int):
@@ -106,11 +106,11 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, width: int = 5, t
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lit(0).alias("f")).filter("k is not null and t is not null")
     docs, opened = sj.candidates(rows, width, threshold, ell, _group, _both, _class, _read_matrix(threshold, ell), 0, cell)
-    classes = docs.groupBy("cls").agg(F.min("k").alias("rep"), F.min("grp").alias("grp"), F.min("n").alias("n"))
+    classes = docs.groupBy("cls", "short").agg(F.min("k").alias("rep"), F.min("grp").alias("grp"), F.min("n").alias("n"))
     c, d = classes.alias("c"), classes.alias("d")
     pairs = (
-        opened.join(c, F.col("a") == F.col("c.cls"))
-        .select("a", "b", F.col("c.rep").alias("ra"), F.col("c.n").alias("na"))
+        opened.join(c, F.col("a") == F.col("c.short"))
+        .select(F.col("c.cls").alias("a"), "b", F.col("c.rep").alias("ra"), F.col("c.n").alias("na"))
         .join(d, F.col("b") == F.col("d.grp"))
         .filter((F.col("a") != F.col("d.cls")) & (F.col("d.n") >= F.col("na")) & (F.col("na") >= F.lit(threshold) * F.col("d.n") - 1e-9))
         .select(F.least("a", "d.cls").alias("ca"), F.greatest("a", "d.cls").alias("cb"), F.when(F.col("a") < F.col("d.cls"), F.col("ra")).otherwise(F.col("d.rep")).alias("ra"), F.when(F.col("a") < F.col("d.cls"), F.col("d.rep")).otherwise(F.col("ra")).alias("rb"))

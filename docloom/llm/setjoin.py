@@ -38,7 +38,9 @@ from docloom.session import in_buckets, materialise, n_buckets
 #: Bytes in one block of the sketch, and its fewest and most counters (binary logarithms).
 BLOCK, LEAST_BITS, MOST_BITS = 1 << 16, 20, 26
 #: Postings in one bucket, and rows above which a shingle is cut into cells.
-BUCKET, CELL = 1_000_000, 1 << 16
+BUCKET, CELL = 1_500_000, 1 << 16
+#: Bits by which classes, groups and, within a bucket, shingles travel; what meets by chance is told apart by the exact check.
+CLASS_BITS, GROUP_BITS, TOKEN_BITS = 48, 40, 24
 #: Rows that one pass of the kernels holds at once, and the most code points.
 STEP, STEP_CHARS = 500, 1_000_000
 #: Counted pairs that a reduce task holds before it hands them on.
@@ -180,14 +182,21 @@ def longest(n: np.ndarray, t: float) -> np.ndarray:
     return np.floor(n / t + 1e-9).astype(np.int64)
 
 
-def _bytes(a: np.ndarray) -> bytes:
-    """Byte planes, so that the high bytes of small numbers compress to nothing."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+def _bytes(a: np.ndarray, bits: int = 64) -> bytes:
+    """Byte planes, so that the high bytes of small numbers compress to nothing; of numbers below 2**bits only the planes they fill."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize)[:, : bits // 8].T).tobytes()
 
 
-def _array(b: bytes, kind: type) -> np.ndarray:
+def _array(b: bytes, kind: type, bits: int = 64) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    planes = np.frombuffer(b, np.uint8).reshape(min(size, bits // 8), -1)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view(kind).ravel()
+
+
+def short_class(cls: np.ndarray) -> np.ndarray:
+    return cls & np.uint64((1 << CLASS_BITS) - 1)
 
 
 BLOB = "bucket int, cls binary, grp binary, n binary, flag binary, sig binary, cnt binary, tok binary, pos binary"
@@ -242,6 +251,7 @@ def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callabl
         once[keep] = True
         ok = once[doc]
         doc, tok, pos, rank = doc[ok], tok[ok], pos[ok], rank[ok]
+        short = short_class(name(cls, flag))
         asks, member = sides(flag)
         at, tok, role = _cells(tok, rank, asks[doc], member[doc], mix64(cls + np.uint64(1))[doc], mix64(np.where(grp == 0, cls, grp) + np.uint64(2))[doc], cell)
         doc, pos = doc[at] * 4 + role, pos[at]
@@ -260,7 +270,7 @@ def postings(width: int, t: float, ell: int, ranks, buckets: int, group: Callabl
                 continue
             docs, cnt = np.unique(doc[s:e], return_counts=True)
             d, what = docs >> 2, (docs & 3) << 6
-            for key, v in (("bucket", k), ("cls", _bytes(cls[d])), ("grp", _bytes(grp[d])), ("n", _bytes(n[d].astype(np.uint32))), ("flag", (flag[d] | what).astype(np.uint8).tobytes()), ("sig", sig[d].tobytes()), ("cnt", _bytes(cnt.astype(np.uint32))), ("tok", _bytes(tok[s:e].astype(np.uint32))), ("pos", _bytes(pos[s:e].astype(np.uint32)))):
+            for key, v in (("bucket", k), ("cls", _bytes(short[d], CLASS_BITS)), ("grp", _bytes(grp[d], GROUP_BITS)), ("n", _bytes(n[d].astype(np.uint32))), ("flag", (flag[d] | what).astype(np.uint8).tobytes()), ("sig", sig[d].tobytes()), ("cnt", _bytes(cnt.astype(np.uint32))), ("tok", _bytes(tok[s:e].astype(np.uint32), TOKEN_BITS)), ("pos", _bytes(pos[s:e].astype(np.uint32)))):
                 rows[key].append(v)
         if rows["bucket"]:
             m = len(rows["bucket"])
@@ -323,7 +333,7 @@ def reduce_cells(probe: Callable) -> Callable:
 
 
 def candidates(rows: DataFrame, width: int, t: float, ell: int, group: Callable, sides: Callable, name: Callable, probe: Callable, words: int, cell: int) -> tuple[DataFrame, DataFrame]:
-    """(records, pairs) of rows (k, t, f): records (k, cls, grp, n, f), and (a, b) with at least ``ell`` counted matches.
+    """(records, pairs) of rows (k, t, f): records (k, cls, short, grp, n, f), and (a, b) with at least ``ell`` counted matches, both by the short class or group.
 
     One scan fills the sketch, a second describes the records and makes the
     postings; both kinds of rows take one shuffle.
@@ -335,7 +345,7 @@ def candidates(rows: DataFrame, width: int, t: float, ell: int, group: Callable,
     key = dict(rows.dtypes)["k"]
     sent = rows.mapInArrow(postings(width, t, ell, ranks, buckets, group, sides, name, words, cell), f"{BLOB}, k {key}, {DOC}")
     met = materialise(in_buckets(sent, buckets, reduce_cells(probe(buckets)), f"k {key}, cls long, grp long, n long, f int, {PAIR}"), "set-join")
-    records = met.filter("bucket is null").select("k", "cls", "grp", "n", "f")
+    records = met.filter("bucket is null").select("k", "cls", F.col("cls").bitwiseAND((1 << CLASS_BITS) - 1).alias("short"), "grp", "n", "f")
     pairs = in_buckets(met.filter("bucket is not null").select("bucket", "a", "cnt", "b", "m"), buckets, add_pairs(ell), "a long, b long")
     return records, pairs
 
@@ -345,11 +355,11 @@ def read_blobs(table: pa.Table, words: int = 0) -> dict[str, np.ndarray]:
     cols = {k: [] for k in ("cls", "grp", "n", "flag", "tok", "pos", *["sig"] * bool(words))}
     for r in table.to_pylist():
         cnt = _array(r["cnt"], np.uint32)
-        for k, kind in (("cls", np.uint64), ("grp", np.uint64), ("n", np.uint32), ("flag", np.uint8)):
-            cols[k].append(np.repeat(_array(r[k], kind), cnt))
+        for k, kind, bits in (("cls", np.uint64, CLASS_BITS), ("grp", np.uint64, GROUP_BITS), ("n", np.uint32, 64), ("flag", np.uint8, 64)):
+            cols[k].append(np.repeat(_array(r[k], kind, bits), cnt))
         if words:
             cols["sig"].append(np.repeat(np.frombuffer(r["sig"], np.uint64).reshape(-1, words), cnt, axis=0))
-        cols["tok"].append(_array(r["tok"], np.uint32))
+        cols["tok"].append(_array(r["tok"], np.uint32, TOKEN_BITS))
         cols["pos"].append(_array(r["pos"], np.uint32))
     x = {k: np.concatenate(v) for k, v in cols.items()}
     order = np.argsort(x["tok"])
@@ -370,7 +380,7 @@ def read_blobs(table: pa.Table, words: int = 0) -> dict[str, np.ndarray]:
     return x
 
 
-def expand(lo: np.ndarray, hi: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def expand(lo: np.ndarray, hi: np.ndarray, most: int = 131_072) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (i, j) with lo[i] <= j < hi[i], in pieces of about ``most``."""
     size = np.maximum(hi - lo, 0)
     total = np.cumsum(size)
@@ -427,7 +437,7 @@ def pair_blobs(a: np.ndarray, b: np.ndarray, m: np.ndarray, buckets: int) -> pa.
         if s == e:
             continue
         keys, cnt = np.unique(a[s:e], return_counts=True)
-        for key, v in (("bucket", k), ("a", _bytes(keys)), ("cnt", _bytes(cnt.astype(np.uint32))), ("b", _bytes(b[s:e])), ("m", np.minimum(m[s:e], 255).astype(np.uint8).tobytes())):
+        for key, v in (("bucket", k), ("a", _bytes(keys, CLASS_BITS)), ("cnt", _bytes(cnt.astype(np.uint32))), ("b", _bytes(b[s:e], CLASS_BITS)), ("m", np.minimum(m[s:e], 255).astype(np.uint8).tobytes())):
             rows[key].append(v)
     return pa.table({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
 
@@ -439,8 +449,8 @@ def add_pairs(ell: int) -> Callable:
         a, b, m = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint8)]
         for batch in batches:
             for r in batch.to_pylist():
-                a.append(np.repeat(_array(r["a"], np.uint64), _array(r["cnt"], np.uint32)))
-                b.append(_array(r["b"], np.uint64))
+                a.append(np.repeat(_array(r["a"], np.uint64, CLASS_BITS), _array(r["cnt"], np.uint32)))
+                b.append(_array(r["b"], np.uint64, CLASS_BITS))
                 m.append(np.frombuffer(r["m"], np.uint8))
         a, b, m = np.concatenate(a), np.concatenate(b), np.concatenate(m).astype(np.int64)
         if not len(a):

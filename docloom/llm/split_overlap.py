@@ -45,7 +45,7 @@ def _probe(t: float, ell: int):
             x = sj.read_blobs(table, WORDS)
             train = (x["flag"] & 1) == 0
             kind = (x["flag"] >> 1).astype(np.int64)
-            key = _keyed(x["cls"], kind)
+            key = x["cls"]
             run_of = x["tok"].astype(np.int64) * 32 + kind
             ev, tr = np.flatnonzero(~train), np.flatnonzero(train)
             if not len(ev) or not len(tr):
@@ -60,19 +60,23 @@ def _probe(t: float, ell: int):
             ts, ti = np.unique(key[tr], return_inverse=True)
             es, ei = np.unique(key[ev], return_inverse=True)
             found = sj.Counted(ts, es, buckets)
-            e_n, e_pos, e_sig, t_sig = x["n"][ev], x["pos"][ev], x["sig"][ev], x["sig"][tr]
+            e_n, e_left, t_left = x["n"][ev], (x["n"] - x["pos"])[ev], n - pos
+            e_sig, t_sig = x["sig"][ev], x["sig"][tr]
+            # the least overlap and the least rest of a set behind a first match, by the sum of both sizes
+            least_of = sj.need(np.arange(int(n.max() + e_n.max()) + 1), 0, t)
+            rest_of = least_of - np.minimum(ell, least_of) + 1
             for i, j in sj.expand(lo, hi):
-                nj = e_n[j]
-                least = sj.need(n[i], nj, t)
-                fewest = np.minimum(ell, least)
-                ok = (n[i] - pos[i] >= least - fewest + 1) & (nj - e_pos[j] >= least - fewest + 1)
-                i, j, nj, least, fewest = i[ok], j[ok], nj[ok], least[ok], fewest[ok]
+                both = n[i] + e_n[j]
+                rest = rest_of[both]
+                ok = np.flatnonzero((t_left[i] >= rest) & (e_left[j] >= rest))
+                i, j, both = i[ok], j[ok], both[ok]
+                least = least_of[both]
                 # members that one set lacks: at least the bits that differ
                 differ = np.zeros(len(i), np.int64)
                 for w in range(WORDS):
                     differ += np.bitwise_count(t_sig[i, w] ^ e_sig[j, w])
-                ok = n[i] + nj - differ >= 2 * least
-                yield from found.add(ti[i[ok]], ei[j[ok]], -(-ell // np.maximum(fewest[ok], 1)))
+                ok = np.flatnonzero(both - differ >= 2 * least)
+                yield from found.add(ti[i[ok]], ei[j[ok]], -(-ell // np.maximum(np.minimum(ell, least[ok]), 1)))
             yield from found.rest()
 
         return run
@@ -96,9 +100,9 @@ def cross_split_links(df: DataFrame, key: str, split: str, fields: list[str], wi
     parts = F.array(*[F.struct(bare(F.col(f)).alias("t"), (F.lit(2 * i) + F.when(name == "train", 0).otherwise(1)).alias("f")) for i, f in enumerate(fields)])
     rows = df.filter(F.col(key).isNotNull() & F.col(split).isNotNull()).select(F.col(key).alias("id"), F.explode(parts).alias("x")).select(F.struct("id", F.col("x.f").alias("f")).alias("k"), F.col("x.t").alias("t"), F.col("x.f").alias("f")).filter("t is not null")
     docs, near = sj.candidates(rows, width, threshold, ell, lambda x: np.zeros(len(x.n), np.uint64), _sides, _class, _probe(threshold, ell), WORDS, cell)
-    train = docs.filter("f % 2 = 0").groupBy("cls").agg(F.min("k").alias("ra"))
-    held = docs.filter("f % 2 = 1").groupBy("cls").agg(F.min("k").alias("rb"))
-    pairs = materialise(near.join(train.withColumnRenamed("cls", "a"), "a").join(held.withColumnRenamed("cls", "b"), "b").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "ra", "rb"), "split-pairs")
+    train = docs.filter("f % 2 = 0").groupBy("cls", "short").agg(F.min("k").alias("ra"))
+    held = docs.filter("f % 2 = 1").groupBy("cls", "short").agg(F.min("k").alias("rb"))
+    pairs = materialise(near.join(train.withColumnsRenamed({"cls": "ca", "short": "a"}), "a").join(held.withColumnsRenamed({"cls": "cb", "short": "b"}), "b").select("ca", "cb", "ra", "rb"), "split-pairs")
     links = sj.verify(pairs, rows, width, threshold, _class).select(F.col("ca").alias("train_cls"), F.col("cb").alias("eval_cls"), "similarity")
     names = F.element_at(F.array(*[F.lit(f) for f in fields]), (F.col("f") / 2).cast("int") + 1)
     return docs.select(F.col("k.id").alias("k"), names.alias("field"), (F.col("f") % 2 == 1).alias("eval"), "cls").distinct(), links
