@@ -5,9 +5,11 @@ Dirichlet prior over classes, and each judge has, for each true class, a
 Dirichlet prior over the labels it gives.  One round computes every item's
 class posterior from expected log-probabilities (digamma of the Dirichlet
 parameters) and adds the posteriors up per (judge, class, label) with a
-group-by; the sums are the new parameters.  Votes lie as one array per item,
-so a round is one scan with map-side sums and moves judges × classes² numbers.
-The number of judges is bounded by the table of judge names.
+group-by; the sums are the new parameters.  Items with equal votes are one
+pattern, so a round is one scan of the patterns with map-side sums and moves
+judges × classes² numbers.  Up to ``MOST_JUDGES`` judges these numbers lie in
+arrays that go with the scan (7 MB); above it they lie in a table by judge and
+label, which meets the patterns by joins.  Both ways compute the same.
 
 Reliability is the posterior of the probability that a judge gives the right
 label, with a credible interval; agreement is Krippendorff's alpha.
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from docloom.session import materialise
 
 BANDS = ("wrong", "partial", "right")
-#: Most judges the model takes; above it the parameters would no longer be small.
-MOST_JUDGES = 10_000
+#: Most judges whose parameters travel as arrays; more are joined as a table.
+MOST_JUDGES = 100_000
 
 
 def canonical_key(name: Column) -> Column:
@@ -75,32 +77,51 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240)))
 
 
+def psi(x: Column) -> Column:
+    """Digamma as a column: six steps of the recurrence, then the asymptotic series."""
+    up = x + 6
+    f = 1 / (up * up)
+    return F.log(up) - 0.5 / up - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240))) - sum((1 / (x + i) for i in range(1, 6)), 1 / x)
+
+
 class Consensus:
-    """The fitted model: ``posterior()`` per item, ``reliability()`` per judge."""
+    """The fitted model: ``posterior()`` per item, ``reliability()`` per judge.
+
+    Each is the same for any number of judges; above ``most_judges`` the work
+    is handed to ``_Joined``.
+    """
 
-    def __init__(self, votes: DataFrame, n_classes: int = 3, rounds: int = 30, tolerance: float = 1e-4, right: float = 2.0, wrong: float = 0.7):
+    def __new__(cls, votes: DataFrame, *args, most_judges: int = MOST_JUDGES, **how):
+        found = votes.select("model").distinct().limit(most_judges + 1).collect()
+        self = object.__new__(_Joined if len(found) > most_judges else cls)
+        self.judges = sorted(r.model for r in found)
+        return self
+
+    def __init__(self, votes: DataFrame, n_classes: int = 3, rounds: int = 30, tolerance: float = 1e-4, right: float = 2.0, wrong: float = 0.7, most_judges: int = MOST_JUDGES):  # noqa: ARG002
         self.spark, self.k = votes.sparkSession, n_classes
-        self.judges = sorted(r.model for r in votes.select("model").distinct().limit(MOST_JUDGES + 1).collect())
-        if len(self.judges) > MOST_JUDGES:
-            raise ValueError(f"more than {MOST_JUDGES} judges")
-        at = F.create_map(*[x for i, m in enumerate(self.judges) for x in (F.lit(m), F.lit(i))]) if self.judges else F.create_map().cast("map<string,int>")
-        coded = votes.select("eval_id", (at[F.col("model")] * n_classes + F.col("label")).alias("code"))
-        self.items = materialise(coded.groupBy("eval_id").agg(F.array_sort(F.collect_list("code")).alias("codes")), "votes")
-        # items with the same votes have the same posterior: a round runs over distinct vote patterns
-        self.patterns = materialise(self.items.groupBy("codes").agg(F.count("*").alias("n")), "vote-patterns")
         self.prior_class = np.ones(n_classes)
         self.prior_rows = np.full((n_classes, n_classes), wrong) + np.eye(n_classes) * (right - wrong)
-        m = len(self.judges)
-        self.rows = np.tile(self.prior_rows, (m, 1, 1)) * 5  # judge × class × label
         self.classes = self.prior_class * 5
-        self.rounds = 0
+        self.prepare(votes)
         for self.rounds in range(1, rounds + 1):
-            rows, classes = self._sums()
-            step = max([np.abs(rows + self.prior_rows - self.rows).max(initial=0) / max(1.0, rows.max(initial=1)), np.abs(classes + self.prior_class - self.classes).max() / max(1.0, classes.max())])
-            self.rows, self.classes = rows + self.prior_rows, classes + self.prior_class
-            if step < tolerance:
+            if self.round() < tolerance:
                 break
 
+    def prepare(self, votes: DataFrame) -> None:
+        table = self.spark.createDataFrame([(m, i * self.k) for i, m in enumerate(self.judges)], "model string, code int")
+        coded = votes.join(F.broadcast(table), "model").select("eval_id", (F.col("code") + F.col("label")).alias("code"))
+        self.items = materialise(coded.groupBy("eval_id").agg(F.array_sort(F.collect_list("code")).alias("codes")), "votes")
+        # items with the same votes have the same posterior: a round runs over distinct vote patterns
+        self.patterns = materialise(self.items.groupBy("codes").agg(F.count("*").alias("n")), "vote-patterns")
+        self.rows = np.tile(self.prior_rows, (len(self.judges), 1, 1)) * 5  # judge × class × label
+
+    def round(self) -> float:
+        """One update; the largest change, relative to the largest count."""
+        rows, classes = self._sums()
+        step = max([np.abs(rows + self.prior_rows - self.rows).max(initial=0) / max(1.0, rows.max(initial=1)), np.abs(classes + self.prior_class - self.classes).max() / max(1.0, classes.max())])
+        self.rows, self.classes = rows + self.prior_rows, classes + self.prior_class
+        return step
+
     def _logs(self) -> tuple[np.ndarray, np.ndarray]:
         """Expected log of the class probabilities, and (code × class) of the label probabilities."""
         prior = digamma(self.classes) - digamma(self.classes.sum())
@@ -168,6 +189,66 @@ class Consensus:
         return self.spark.createDataFrame(data, "model string, n_votes double, reliability double, low double, high double")
 
 
+class _Joined(Consensus):
+    """The same model with the parameters in a table (model, label, x0, x1, ...) of expected counts by class."""
+
+    def prepare(self, votes: DataFrame) -> None:
+        code = F.struct("model", "label")
+        self.items = materialise(votes.groupBy("eval_id").agg(F.array_sort(F.collect_list(code)).alias("codes")), "votes")
+        patterns = self.items.groupBy("codes").agg(F.count("*").alias("n")).withColumn("p", F.monotonically_increasing_id())
+        self.flat = materialise(patterns.select("p", "n", F.inline("codes")), "vote-patterns")
+        start = [F.element_at(F.array(*[F.lit(float(5 * self.prior_rows[c, y] - self.prior_rows[c, y])) for y in range(self.k)]), F.col("label") + 1).alias(f"x{c}") for c in range(self.k)]
+        every = self.flat.select("model").distinct().select("model", F.explode(F.sequence(F.lit(0), F.lit(self.k - 1))).alias("label"))
+        self.sums = materialise(every.select("model", "label", *start), "judge-counts")
+
+    def _log_table(self) -> DataFrame:
+        """(model, label, l0, l1, ...): expected logs of the label's probability for each class."""
+        k = range(self.k)
+        total = self.sums.groupBy("model").agg(*[(F.sum(f"x{c}") + float(self.prior_rows[c].sum())).alias(f"t{c}") for c in k])
+        prior = lambda c: F.element_at(F.array(*[F.lit(float(v)) for v in self.prior_rows[c]]), F.col("label") + 1)
+        return self.sums.join(total, "model").select("model", "label", *[(psi(F.col(f"x{c}") + prior(c)) - psi(F.col(f"t{c}"))).alias(f"l{c}") for c in k])
+
+    def _posteriors(self, flat: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, q0, q1, ..., n_votes: the class posterior of each group of votes."""
+        k = range(self.k)
+        prior = digamma(self.classes) - digamma(self.classes.sum())
+        met = flat.join(self._log_table(), ["model", "label"]).groupBy(*keys).agg(*[(F.sum(f"l{c}") + float(prior[c])).alias(f"s{c}") for c in k], F.count("*").cast("int").alias("n_votes"))
+        top = F.greatest(*[F.col(f"s{c}") for c in k])
+        met = met.select(*keys, "n_votes", *[F.exp(F.col(f"s{c}") - top).alias(f"e{c}") for c in k])
+        return met.select(*keys, "n_votes", *[(F.col(f"e{c}") / sum((F.col(f"e{d}") for d in k), F.lit(0.0))).alias(f"q{c}") for c in k])
+
+    def round(self) -> float:
+        k = range(self.k)
+        post = materialise(self._posteriors(self.flat, ["p", "n"]), "pattern-posteriors")
+        given = self.flat.join(post.drop("n"), "p").groupBy("model", "label").agg(*[F.sum(F.col("n") * F.col(f"q{c}")).alias(f"y{c}") for c in k])
+        old = self.sums
+        new = materialise(old.join(given, ["model", "label"], "left").select("model", "label", *[F.coalesce(f"y{c}", F.lit(0.0)).alias(f"x{c}") for c in k], *[F.abs(F.coalesce(f"y{c}", F.lit(0.0)) - F.col(f"x{c}")).alias(f"d{c}") for c in k]), "judge-counts")
+        r = new.agg(F.max(F.greatest(*[f"d{c}" for c in k])).alias("d"), F.max(F.greatest(*[f"x{c}" for c in k])).alias("x")).first()
+        classes = np.array([v or 0.0 for v in post.agg(*[F.sum(F.col("n") * F.col(f"q{c}")) for c in k]).first()])
+        self.sums = new.select("model", "label", *[f"x{c}" for c in k])
+        step = max((r.d or 0.0) / max(1.0, r.x or 0.0), np.abs(classes + self.prior_class - self.classes).max() / max(1.0, classes.max()))
+        self.classes = classes + self.prior_class
+        return step
+
+    def posterior(self) -> DataFrame:
+        each = self._posteriors(self.items.select("eval_id", F.inline("codes")), ["eval_id"])
+        q = F.array(*[F.col(f"q{c}") for c in range(self.k)])
+        top = F.array_max(q)
+        label = F.array_position(F.transform(q, lambda x: x >= top - 1e-12), True).cast("int") - 1
+        return each.select("eval_id", label.alias("label"), top.alias("confidence"), "n_votes")
+
+    def reliability(self, z: float = 1.96) -> DataFrame:
+        k, share = range(self.k), self.classes / self.classes.sum()
+        own = [F.sum(F.when(F.col("label") == c, F.col(f"x{c}"))).alias(f"a{c}") for c in k]
+        by = self.sums.groupBy("model").agg(*own, *[F.sum(f"x{c}").alias(f"t{c}") for c in k])
+        a = [F.col(f"a{c}") + float(self.prior_rows[c, c]) for c in k]
+        t = [F.col(f"t{c}") + float(self.prior_rows[c].sum()) for c in k]
+        centre = sum((a[c] / t[c] * float(share[c]) for c in k), F.lit(0.0))
+        spread = F.sqrt(sum((a[c] * (t[c] - a[c]) / (t[c] * t[c] * (t[c] + 1)) * float(share[c] ** 2) for c in k), F.lit(0.0)))
+        votes = F.round(sum((F.col(f"t{c}") for c in k), F.lit(0.0)))
+        return by.select("model", votes.alias("n_votes"), centre.alias("reliability"), F.greatest(F.lit(0.0), centre - z * spread).alias("low"), F.least(F.lit(1.0), centre + z * spread).alias("high"))
+
+
 def agreement_parts(votes: DataFrame) -> DataFrame:
     """Per item: n judgements, share of agreeing pairs (null below two)."""
     counts = votes.groupBy("eval_id", "label").agg(F.count("*").alias("c"))

@@ -48,18 +48,24 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return cs.Consensus(_votes(spark, sf)).posterior().select("eval_id", label.alias("verdict"))
 
 
-def p3_reliability(spark: SparkSession, sf: str) -> DataFrame:
-    scores = ("correctness", "hallucination", "overall_score")
-    each = [cs.Consensus(_votes(spark, sf, s)).reliability().withColumn("score", F.lit(s)) for s in scores]
+SCORES = ("correctness", "hallucination", "overall_score")
+
+
+def _each_score(spark: SparkSession, sf: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    each = [of(_votes(spark, sf, s)).withColumn("score", F.lit(s)) for s in SCORES]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
+def p3_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    return _each_score(spark, sf, lambda votes: cs.Consensus(votes).reliability())
+
+
 def p3_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    return cs.agreement_parts(_votes(spark, sf)).select("eval_id", F.col("n").cast("bigint").alias("n_votes"), F.round("agreement", 6).alias("agreement"))
+    return _each_score(spark, sf, cs.agreement_parts).select("eval_id", "score", F.col("n").cast("bigint").alias("n_votes"), F.round("agreement", 6).alias("agreement"))
 
 
 def p3_alpha(spark: SparkSession, sf: str) -> DataFrame:
-    return cs.krippendorff(_votes(spark, sf)).select(F.col("n_items").cast("bigint").alias("n_items"), F.col("n_votes").cast("bigint").alias("n_votes"), F.round("alpha", 6).alias("alpha"))
+    return _each_score(spark, sf, cs.krippendorff).select("score", F.col("n_items").cast("bigint").alias("n_items"), F.col("n_votes").cast("bigint").alias("n_votes"), F.round("alpha", 6).alias("alpha"))
 
 
 def _oversized(spark: SparkSession, sf: str, with_text: bool) -> DataFrame:

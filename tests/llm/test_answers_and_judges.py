@@ -6,6 +6,7 @@ from datetime import datetime
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import answer_defects as ad
 from docloom.llm import consensus as cs
@@ -93,6 +94,15 @@ def test_model_recovers_reliabilities(spark):
     assert right > sum(max(sorted(set(v)), key=v.count) == truth[e] for e, v in majority.items()) / len(majority)
     for r in c.reliability().collect():
         assert r.low - 0.03 <= skill[r.model] <= r.high + 0.03
+    # with more judges than travel as arrays, the same from a table
+    votes = spark.createDataFrame(rows[:600], "eval_id long, model string, label int")
+    a, b = cs.Consensus(votes), cs.Consensus(votes, most_judges=2)
+    assert type(a) is not type(b) and a.rounds == b.rounds
+    key = lambda x: [tuple(r) for r in sorted(x.collect())]
+    for one, other in zip(key(a.posterior()), key(b.posterior()), strict=True):
+        assert one[:2] == other[:2] and one[2] == pytest.approx(other[2], abs=1e-9) and one[3] == other[3]
+    for one, other in zip(key(a.reliability()), key(b.reliability()), strict=True):
+        assert one[0] == other[0] and one[1:] == pytest.approx(other[1:], abs=1e-9)
 
 
 def test_votes_are_cleaned(spark):
@@ -128,3 +138,9 @@ def test_digamma():
     x = np.array([0.1, 0.5, 1.0, 3.7, 50.0])
     want = [-10.4237549404, -1.9635100260, -0.5772156649, 1.1671535394, 3.9019896734]
     assert np.allclose(cs.digamma(x), want, atol=1e-7)
+
+
+def test_digamma_as_a_column(spark):
+    x = [0.1, 0.5, 1.0, 3.7, 50.0]
+    got = spark.createDataFrame([(v,) for v in x], "x double").select(cs.psi(F.col("x")).alias("y")).collect()
+    assert np.allclose([r.y for r in got], cs.digamma(np.array(x)), atol=1e-10)

@@ -26,31 +26,47 @@ def greedy(text, limit, overlap):
             ends += list(range(start + 1, i + 1)) if i + 1 - start > most else []
             ends.append(i + 1)
             start = i + 1
-    out, s = [], 0
+    out, s, before = [], 0, 0
     while n:
         e = max(x for x in ends if x <= s + most)
-        out.append((w[s][0], w[e - 1][1], not natural[e - 1]))
+        out.append((w[s][0], w[e - 1][1], not natural[e - 1], before - s, s == 0 or natural[s - 1]))
         if e == n:
             return out
-        nxt = min(x for x in [*ends, e] if x >= max(e - back, s + 1))
-        if nxt > e or max(x for x in ends if x <= nxt + most) <= e:
-            nxt = e
-        s = nxt
+        low = max(e - back, min(x for x in ends if x > e) - most, 0)
+        near = min([x for x in range(low, e) if x == 0 or natural[x - 1]], default=e)
+        s, before = near if near == low or (near < e and 2 * (e - near) >= back) else low, e
     return out
 
 
-@settings(max_examples=150, deadline=None)
-@given(hs.lists(hs.text(alphabet="ab.! \n ", max_size=200), min_size=1, max_size=6), hs.integers(4, 30), hs.integers(0, 12))
+@settings(max_examples=200, deadline=None)
+@given(hs.lists(hs.text(alphabet="ab.! \n ", max_size=200), min_size=1, max_size=6), hs.integers(4, 30), hs.integers(0, 12))
 def test_cuts_match_a_walk(texts, limit, overlap):
+    overlap = min(overlap, limit - 3)
     x = sp.cut(texts, limit, overlap)
     got = defaultdict(list)
-    for i, s, e, h, p, n in zip(x["item"], x["start"], x["end"], x["hard"], x["piece"], x["words"], strict=True):
+    for i, s, e, h, p, n, o, k in zip(x["item"], x["start"], x["end"], x["hard"], x["piece"], x["words"], x["shared"], x["natural"], strict=True):
         assert p == len(got[i]) and 4 * n // 3 <= limit
-        got[i].append((s, e, h))
+        got[i].append((s, e, h, o, k))
     for i, t in enumerate(texts):
         assert got[i] == (greedy(t, limit, overlap) if t.split() else []), t
 
 
+@pytest.mark.parametrize("length", [20, 40, 60, 100])
+def test_long_sentences_still_overlap(length):
+    text = " ".join("w" * 3 + ("." if i % length == length - 1 else "") for i in range(3000))
+    x = sp.cut([text], 512, 50)
+    assert (x["shared"][1:] >= 19).all() and (x["shared"][1:] <= 38).all() and not x["hard"].any()
+    assert (x["natural"] == [s == 0 or text[s - 2] == "." for s in x["start"]]).all()
+
+
+def test_overlap_gives_way_to_the_limit():
+    text = " ".join("w" + ("." if i % 380 == 379 else "") for i in range(3 * 380))
+    x = sp.cut([text], 512, 50)
+    assert x["words"].tolist() == [380, 384, 384] and x["shared"].tolist() == [0, 4, 4]
+    with pytest.raises(ValueError):
+        sp.cut([text], 50, 50)
+
+
 def test_split_edges(spark):
     words = " ".join(f"w{i}" for i in range(385))
     rows = [("a", None), ("b", ""), ("c", "word " * 384), ("d", words), ("e", "One sentence here. " * 200), (None, "x. " * 400), ("f", "word\n" * 50_000)]
