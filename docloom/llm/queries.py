@@ -88,7 +88,7 @@ def _furniture(spark: SparkSession, sf: str) -> rl.RepeatedLines:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _furniture(spark, sf).exact().select(F.col("k").alias("chunk_id"), "line_no")
+    return _furniture(spark, sf).found().select(F.col("k").alias("chunk_id"), "line_no")
 
 
 def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
