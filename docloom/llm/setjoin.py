@@ -515,9 +515,9 @@ def in_bloom(filter_: tuple[np.ndarray, int] | None, keys: np.ndarray) -> np.nda
     return ok
 
 
-def jaccard(left: list[str | None], right: list[str | None], sets: Callable) -> np.ndarray:
-    """Exact Jaccard similarity of the sets (``sets(texts)`` gives rows and hashes) of two lists of texts, row by row; 0 where both are empty."""
-    out = np.zeros(len(left))
+def overlap(left: list[str | None], right: list[str | None], sets: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row by row over two lists of texts: the members common to both sets (``sets(texts)`` gives rows and hashes), and the size of each."""
+    out = np.zeros((3, len(left)), np.int64)
     both = [len(a or "") + len(b or "") for a, b in zip(left, right, strict=True)]
     start = 0
     while start < len(left):
@@ -532,11 +532,15 @@ def jaccard(left: list[str | None], right: list[str | None], sets: Callable) ->
         order = by_row(doc, h)
         doc, h = doc[order], h[order]
         twin = (doc[1:] == doc[:-1]) & (h[1:] == h[:-1])
-        common = np.bincount(doc[1:][twin], minlength=n)
-        union = np.bincount(doc, minlength=n) - common
-        out[start:end] = common / np.maximum(union, 1)
+        out[:, start:end] = np.bincount(doc[1:][twin], minlength=n), np.bincount(da, minlength=n), np.bincount(db, minlength=n)
         start = end
-    return out
+    return out[0], out[1], out[2]
+
+
+def jaccard(left: list[str | None], right: list[str | None], sets: Callable) -> np.ndarray:
+    """Exact Jaccard similarity, row by row; 0 where both sets are empty."""
+    common, a, b = overlap(left, right, sets)
+    return common / np.maximum(a + b - common, 1)
 
 
 def _texts_of(filter_, width: int, name: Callable) -> Callable:

@@ -23,35 +23,88 @@ def test_not_empty():
     assert not ad.is_empty("VLAN 7.") and not ad.is_empty("no shutdown")
 
 
-@pytest.mark.parametrize("answer", ["HOW DO I SET VLAN 7 ON GI0/1?", "Question: How do I set VLAN 7 on Gi0/1?", '"How  do I set VLAN 7 on Gi0/1"', "How do I set VLAN 7 Gi0/1?"])
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "HOW DO I SET VLAN 7 ON GI0/1?", "Question: How do I set VLAN 7 on Gi0/1?", '"How  do I set VLAN 7 on Gi0/1"', "How do I set VLAN 7 Gi0/1?",
+        "how do i set vlan 7 on gi01", "Q: How do I set VLAN 7 on Gi0/1?\nA: How do I set VLAN 7 on Gi0/1?",
+    ],
+)
 def test_copy(answer):
-    assert ad.is_copy("How do I set VLAN 7 on Gi0/1?", answer)
-    assert not ad.is_copy("How do I set VLAN 7 on Gi0/1?", answer + " Use the vlan command and then check the port again with show.")
+    q = "How do I set VLAN 7 on Gi0/1?"
+    assert ad.copies([q, None, ""], [answer, answer, answer]).tolist() == [True, False, False]
+    assert not ad.copies([q], [answer + " Use the vlan command and then check the port again with show."]).any()
+    assert not ad.copies([q], ["VLAN 7."]).any() and not ad.copies([q], [""]).any()
 
 
 @pytest.mark.parametrize(
     ("answer", "broken"),
     [
         ("Use 10.1.1.1.", False), ("vlan 7\nend", False), ("Do this:\n```\nvlan 7\nend\n```", False), ("```\nvlan 7\nend\n```\nDone here.", False),
-        ("Do this:", True), ("```\nvlan 7", True), ("vlan 7\nname x\nip address 10.1.", True), ("The port is", True), ("1. One.\n2.", True), ("Hosts behind 10.16.", True), ("A list,", True), ("他说完成。", False),
+        ("Do this:", True), ("```\nvlan 7", True), ("vlan 7\nname x\nip address 10.1.", True), ("The port is", True), ("1. One.\n2.", True), ("Hosts behind 10.16.", True), ("The mask is 255.255.252.", True), ("It fell to 40.3.", False), ("Bind it to Gi0/10.", False), ("A list,", True), ("他说完成。", False),
     ],
 )
 def test_truncated(answer, broken):
     assert ad.is_truncated(answer) == broken
 
 
+def _leading(text, owner=None):
+    top, lead = ad._leading(ad.Spoken([text]).votes(owner))
+    return ad.LANGUAGES[top[0]] if lead[0] > 0 else None
+
+
 def test_language():
-    assert ad.other_language("Why does the port go down?", "Der Nachbar ist nicht mit dem Port verbunden.")
-    assert ad.other_language("¿Cómo pongo la VLAN?", "画面に表示されます。")
-    assert not ad.other_language("Why does the port go down?", "```\nvlan 7\nend\n```")
-    assert not ad.other_language(None, "Der Nachbar ist da.") and not ad.other_language("Wie geht das mit der VLAN?", "IS-IS AS 65000.")
+    assert _leading("Why does the port go down?") == "en" and _leading("Der Nachbar ist nicht mit dem Port verbunden.") == "de"
+    assert _leading("画面に表示されます。") == "ja" and _leading("打开端口。") == "zh" and _leading("¿Cómo pongo la VLAN en el puerto?") == "es"
+    assert _leading("```\nvlan 7\nend\n```") is None and _leading("IS-IS AS 65000.") is None and _leading(None) is None
+    assert _leading("WHY DOES THE PORT OF THE SWITCH GO DOWN") == "en"
+
+
+def test_languages_are_learned(spark):
+    """Words that are no function words speak for the language whose questions and answers hold them."""
+    rng = random.Random(2)
+    words = {k: [f"{k}{''.join(rng.choice('abcdefghij') for _ in range(5))}" for _ in range(30)] for k in ("en", "de")}
+    ask = {"en": "How does the port of {} work with the line", "de": "Wie ist der Port von {} mit der Leitung verbunden"}
+    rows = []
+    for i in range(400):
+        k, other = rng.choice([("en", "de"), ("de", "en")])
+        defect = i % 20 == 0
+        rows.append((i, ask[k].format(f"x{i}"), " ".join(rng.choice(words[other if defect else k]) for _ in range(12)) + ".", AT, defect))
+    df = spark.createDataFrame(rows, "eval_id long, question string, answer string, at timestamp, d boolean").repartition(3)
+    got = {r.k for r in ad.defects(df, "eval_id", "question", "answer", "at").collect() if r.defect == "language"}
+    assert got == {r[0] for r in rows if r[4]}
+
+
+def test_rewordings_of_one_prompt_are_no_evidence(spark):
+    rows = [(i, f"Please tell me how to place the second link behind the old router of the northern site {'now' if i else 'today'}?", "A reply that has no value at all.", AT) for i in range(2)]
+    rows += [(10 + i, q, "This is nothing that we can say.", AT) for i, q in enumerate(["Why does the port go down?", "How do I set the clock?"])]
+    df = spark.createDataFrame(rows, "eval_id long, question string, answer string, at timestamp")
+    assert {r.k: r.defect for r in ad.defects(df, "eval_id", "question", "answer", "at").collect()} == {10: "refusal", 11: "refusal"}
+
+
+def test_clusters_of_openings_recall(spark):
+    """Of the masks that brute force finds near a commoner one, at least 95 of 100 meet a head they are near to."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    bases, masks = [[word() for _ in range(12)] for _ in range(40)], {}
+    for b in bases:
+        masks[" ".join(b)] = 1000
+        for _ in range(12):
+            w = list(b)
+            w[rng.randrange(12)] = word()
+            masks[" ".join(w)] = rng.randint(1, 5)
+    got = {r["mask"]: r["head"] for r in ad.opening_clusters(spark.createDataFrame(list(masks.items()), "mask string, n long")).collect()}
+    near = lambda a, b: len(set(a.split()) & set(b.split())) >= 0.8 * len(set(a.split()) | set(b.split()))
+    want = [m for m in masks if masks[m] < 1000 and any(near(m, " ".join(b)) for b in bases)]
+    assert set(got) == set(masks) and len(want) > 400
+    assert sum(got[m] != m and near(m, got[m]) for m in want) >= 0.95 * len(want)
 
 
 def test_refusals_are_templates_over_prompts(spark):
     rng = random.Random(1)
     rows = []
     for i in range(60):
-        q = f"How do I set VLAN {i} on the port of core-abc-{i}?"
+        q = rng.choice(["How do I set VLAN {} on the port of core-abc-{}?", "Why does line {} flap at edge-xy-{} when it rains?", "Which release brings gw-{} to level {} without an outage?"]).format(i, i)
         a = rng.choice([f"Set it to {i} seconds on the port Gi0/{i}.", "I must decline to write commands for Kelnor.", "Thank you for the question about core-abc-07. I must decline to write commands for Tarvel.", f"Sorry for the mix-up: the next hop is 10.0.0.{i}."])
         rows.append((i, q, a, AT))
     rows += [(100, "How do I set VLAN 1 on x?", "", AT), (101, "How?", "A single odd reply without any values.", AT), (None, "q", "a", AT), (102, None, None, None)]
