@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -34,7 +35,7 @@ def test_words(texts):
 def test_index_counts_and_locates(seq, phrase):
     text = np.array([*seq, 0])
     index = cn.FMIndex(text, 6)
-    lo, hi = index.ranges(np.array([phrase]))
+    lo, hi = index.ranges(np.array([9, *phrase]), np.array([1]), len(phrase))
     want = [i for i in range(len(seq) - len(phrase) + 1) if seq[i : i + len(phrase)] == phrase]
     assert sorted(index.locate(np.arange(lo[0], hi[0]))) == want
 
@@ -72,11 +73,51 @@ def test_leaks_match_brute_force(spark, monkeypatch, shard):
     assert {k: set().union(*(range(*s) for s in v)) for k, v in spans.items()} == covered
 
 
-def test_item_blocks_make_no_difference(spark, monkeypatch):
+def test_item_blocks_make_no_difference(spark):
     items = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(20)], "i long, t string")
     docs = spark.createDataFrame([(i, f"x a{i} b{i} c{i} d{i} y") for i in range(20)], "d long, t string")
-    monkeypatch.setattr(cn, "BLOCK_CHARS", 60)
-    assert sorted((r.k, r.item) for r in cn.leaks(docs, "d", "t", items, "i", "t", 3).collect()) == [(i, i) for i in range(20)]
+    assert sorted((r.k, r.item) for r in cn.leaks(docs, "d", "t", items, "i", "t", 3, block_chars=60).collect()) == [(i, i) for i in range(20)]
+
+
+def test_several_blocks_search_one_index(monkeypatch):
+    class Here:
+        def __init__(self, value):
+            self.value, self.sent = value, None
+
+        unpersist_here = cn._Block.unpersist_here
+
+    built = []
+    monkeypatch.setattr(cn, "FMIndex", lambda *a, make=cn.FMIndex: built.append(1) or make(*a))
+    texts = [f"a{i} b{i} c{i}" for i in range(30)]
+    blocks = [cn.Phrases(texts[i : i + 10], pa.array(range(i, i + 10)), 3, 8) for i in (0, 10, 20)]
+    known = np.unique(np.concatenate([b.words for b in blocks]))
+    rows = pa.RecordBatch.from_pydict({"k": list(range(30)), "t": [f"x {t} y" for t in texts]})
+    out = [r for b in cn._search([Here(b) for b in blocks], Here(known), 3, 8)(iter([rows])) for r in b.to_pylist()]
+    assert sorted((r["k"], r["item"]) for r in out) == [(i, i) for i in range(30)] and len(built) == 1
+    every = [r for b in cn._search([Here(b) for b in blocks], Here(None), 3, 8)(iter([rows])) for r in b.to_pylist()]  # no word left out
+    assert sorted(map(str, every)) == sorted(map(str, out))
+
+
+def test_symbols_that_meet_by_chance_report_nothing():
+    """With two symbols in all, nearly every run of words looks like a phrase; whole hashes decide."""
+
+    class Here:
+        def __init__(self, value):
+            self.value = value
+
+    p = cn.Phrases(["one two three four"], pa.array([1]), 3, 1)
+    rows = pa.RecordBatch.from_pydict({"k": [1, 2], "t": ["four three two one four one two three", "one four two three one one"]})
+    out = [r for b in cn._search([Here(p)], Here(p.words), 3, 1)(iter([rows])) for r in b.to_pylist()]
+    assert [(r["k"], r["item"]) for r in out] == [(1, 1)]
+
+
+def test_long_items_in_pieces_keep_every_phrase(spark, monkeypatch):
+    monkeypatch.setattr(cn, "PIECE_CHARS", 50)
+    rng = random.Random(3)
+    w = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(w[i : i + 5])) for i in range(296)], "d long, t string")
+    items = spark.createDataFrame([(1, "  ".join(w)), (2, "x " * 100 + "y")], "i long, t string")
+    assert {r.k for r in cn.leaks(docs, "d", "t", items, "i", "t", 5, block_chars=400).collect()} == set(range(296))
 
 
 def test_a_foreign_stretch_parts_two_passages(spark):
