@@ -316,23 +316,23 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25(spark, sf).select("question_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def _topic_list(spark: SparkSession, sf: str) -> DataFrame:
-    """A second ranking of the same chunks: BM25 for the question's topic and its text."""
-    asked = _asked(spark, sf).select("question_id", F.concat_ws(" ", "topic", F.lower("question")).alias("question"))
-    return rt.bm25_topk(read(spark, sf, "chunks", "chunk_id", "text"), asked, "chunk_id", "text", "question_id", "question", k=30)
+def _lists(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Two rankings of the same chunks, from one scan: BM25 for the question's topic and its text, and for the question."""
+    asked = _asked(spark, sf)
+    broad = asked.select("question_id", F.concat_ws(" ", "topic", F.lower("question")).alias("question"))
+    return rt.bm25_lists(read(spark, sf, "chunks", "chunk_id", "text"), [(broad, "question_id", "question", 30), (asked, "question_id", "question", 50)], "chunk_id", "text")
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
     texts = read(spark, sf, "chunks").select("chunk_id", "text", F.col("metadata.source_file").alias("source_file"), F.col("metadata.page_num").alias("page_num"))
-    lists = [r.join(texts, "chunk_id") for r in (_topic_list(spark, sf), _bm25(spark, sf))]
+    lists = [r.join(texts, "chunk_id") for r in _lists(spark, sf)]
     key = rt.collision_key(F.col("text"), F.col("source_file"), F.col("page_num"))
     return rt.fuse(lists, "question_id", key, ["chunk_id", "text"])
 
 
 @query
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    lists = [_topic_list(spark, sf), _bm25(spark, sf)]
-    return rt.fuse(lists, "question_id", "chunk_id", ["chunk_id"]).select("question_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return rt.fuse(_lists(spark, sf), "question_id", "chunk_id", ["chunk_id"]).select("question_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query

@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from docloom.functions import kernels as kn
 from docloom.operators import context as cx
 from docloom.operators import models as md
 from docloom.operators import retrieval as rt
@@ -28,7 +30,7 @@ def test_query_blocks_make_no_difference(spark, monkeypatch):
     df = spark.createDataFrame([(i, rng.random(3).tolist()) for i in range(30)], "id int, v array<double>")
     q = df.withColumnRenamed("id", "q")
     whole = sorted(map(tuple, rt.dense_topk(df, q, "id", "q", "v", 3).collect()))
-    monkeypatch.setattr(rt, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(rt, "QUERY_BYTES", 200)
     assert sorted(map(tuple, rt.dense_topk(df, q, "id", "q", "v", 3).collect())) == whole
 
 
@@ -114,3 +116,46 @@ def test_stand_ins(spark):
     assert [r.x for r in df.limit(1).select(md.complete(F.col("t"), flaky).alias("x")).collect()] == ["A B"]
     failing = lambda: lambda texts: 1 / 0
     assert [r.x for r in df.limit(1).select(md.complete(F.col("t"), failing).alias("x")).collect()] == [None]
+
+
+def test_a_dense_task_holds_k_rows_a_query(monkeypatch):
+    """What a task holds after a batch does not grow with the number of batches, ties included."""
+
+    class Sent:
+        value = (pa.array([7, 8]), np.array([[1.0, 0.0], [0.0, 1.0]]))
+
+    held = []
+    monkeypatch.setattr(rt, "best_of", lambda *a, of=rt.best_of: held.append(len(of(*a)[0])) or of(*a))
+    rng = np.random.default_rng(1)
+    x = np.round(rng.random((200, 50, 2)), 1)  # many ties
+    batches = (pa.RecordBatch.from_pydict({"id": list(range(i * 50, i * 50 + 50)), "v": x[i].tolist()}) for i in range(200))
+    (out,) = rt.nearest(Sent, 5, "l2")(batches)
+    assert max(held) <= 10 and len(held) < 200
+    flat = x.reshape(-1, 2)
+    for q, v in zip((7, 8), Sent.value[1], strict=True):
+        want = sorted((round(float(((v - y) ** 2).sum()), 9), i) for i, y in enumerate(flat))[:5]
+        assert [(round(r["s"], 9), r["id"]) for r in out.to_pylist() if r["q"] == q] == want
+
+
+def test_query_blocks_make_no_difference(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.random((60, 4)))], "id int, v array<float>")
+    q = v.filter("id % 5 = 0").withColumnRenamed("id", "q")
+    whole = sorted(map(tuple, rt.dense_topk(v, q, "id", "q", "v", 3).collect()))
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 3} c") for i in range(50)] + [(99, None), (None, "a1")], "d int, t string")
+    asked = spark.createDataFrame([(i, f"a{i} b{i} b{i} zz") for i in range(7)] + [(8, None), (9, "")], "q int, t string")
+    lists = sorted(map(tuple, rt.bm25_topk(docs, asked, "d", "t", "q", "t", k=4).collect()))
+    monkeypatch.setattr(rt, "QUERY_BYTES", 64)
+    assert sorted(map(tuple, rt.dense_topk(v, q, "id", "q", "v", 3).collect())) == whole
+    assert sorted(map(tuple, rt.bm25_topk(docs, asked, "d", "t", "q", "t", k=4).collect())) == lists
+    monkeypatch.setattr(rt, "MOST_TERMS", 3)
+    assert sorted(map(tuple, rt.bm25_topk(docs, asked, "d", "t", "q", "t", k=4).collect())) == lists
+    assert rt.bm25_topk(docs.limit(0), asked, "d", "t", "q", "t").collect() == [] and rt.bm25_topk(docs, asked.limit(0), "d", "t", "q", "t").collect() == []
+
+
+def test_terms_are_white_space_runs(spark):
+    texts = ["a b  a\u00a0c\n", None, "", "x" * 700_000 + " a"]
+    row, h, n = kn.terms(texts)
+    assert row.tolist() == [0, 0, 0, 0, 3, 3] and n.tolist() == [4, 0, 0, 2] and h[0] == h[2] == h[5] and len(set(h.tolist())) == 4
+    row, h, n = kn.counted(row, h)
+    assert sorted(zip(row.tolist(), n.tolist())) == [(0, 1), (0, 1), (0, 2), (3, 1), (3, 1)]
