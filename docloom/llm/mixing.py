@@ -28,12 +28,13 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.session import materialise
 
-#: Where the public vocabularies lie, on every executor; a parameter of each operator.
+#: Where the public vocabularies lie, for the driver; a parameter of each operator.  The one used goes to the executors as a file of the job.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: The usual pre-tokeniser of byte-level BPE: contractions, words, numbers, other signs, spaces.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -56,10 +57,10 @@ def source_key(source: Column) -> Column:
 def count_tokens(df: DataFrame, text: Column, keep: list[str], tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep`` and ``n_tokens`` of every row; 0 for a null or empty text."""
     rows = df.select(*keep, text.alias("_text"))
-    path = f"{tokenizers}/{vocabulary}"
+    df.sparkSession.sparkContext.addFile(f"{tokenizers}/{vocabulary}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(SparkFiles.get(vocabulary)).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, "n_tokens"])
@@ -85,8 +86,8 @@ def rates(df: DataFrame, targets: DataFrame, text: str = "text", source: str = "
 
 
 def falling_short(plan: DataFrame) -> DataFrame:
-    """Sources that miss their share even with every document used ``max_repeats`` times."""
-    return plan.filter(F.col("max_repeats") * F.col("n_tokens") < F.col("target_share") * F.col("total") - 1e-6).select("source")
+    """Sources whose rate, bounded by ``max_repeats``, does not bring them to their share."""
+    return plan.filter(F.col("reachable") < F.col("target_share") - 1e-9).select("source")
 
 
 def emit(df: DataFrame, plan: DataFrame, key: str, source: str = "source", seed: int = 17) -> DataFrame:
