@@ -86,8 +86,8 @@ def rates(df: DataFrame, targets: DataFrame, text: str = "text", source: str = "
 
 
 def falling_short(plan: DataFrame) -> DataFrame:
-    """Sources whose rate, bounded by ``max_repeats``, does not bring them to their share."""
-    return plan.filter(F.col("reachable") < F.col("target_share") - 1e-9).select("source")
+    """Sources whose rate, bounded by ``max_repeats``, does not bring them to their share; none of an empty mix."""
+    return plan.filter((F.col("total") > 0) & (F.col("reachable") < F.col("target_share") - 1e-9)).select("source")
 
 
 def emit(df: DataFrame, plan: DataFrame, key: str, source: str = "source", seed: int = 17) -> DataFrame:
