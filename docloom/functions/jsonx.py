@@ -78,39 +78,48 @@ def parse_judge(c: Column) -> Column:
     return let(strip_thinking(c), whole)
 
 
-def _batch_items(text: str, expected: int) -> list | None:
-    for candidate in (text, (re.search(r"\[.*\]", text, re.S) or [None])[0]):
-        if candidate:
-            try:
-                found = json.loads(candidate)
-            except ValueError:
-                continue
-            if isinstance(found, list) and len(found) == expected:
-                return found
-    pieces = re.findall(r"\{[^{}]*\}", text)
-    out = []
-    for p in pieces:
-        try:
-            out.append(json.loads(p))
-        except ValueError:
-            out.append(None)
-    return out if len(out) == expected else None
-
-
-_BATCH = T.ArrayType(T.StructType([T.StructField("pair_index", T.IntegerType()), T.StructField("scores", SCORES), T.StructField("valid", T.BooleanType())]))
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
+def valid_item(d: object) -> bool:
+    return isinstance(d, dict) and all(isinstance(d.get(k), (int, float)) and not isinstance(d.get(k), bool) and 0 <= d[k] <= 10 for k in CRITERIA)
+
+
+def batch_items(text: str | None, expected: int) -> tuple[list, bool]:
+    """The items of a response for several pairs, and whether it could be read.
+
+    The whole text is read as an array, else its outermost brackets; where that
+    gives no array of the expected length, the valid objects are taken one by
+    one.  If they too are not as many as expected, nothing is taken.
+    """
+    body = re.sub(r"\A\s*```(?:json)?|```\s*\Z", "", text or "").strip()
+    array = _loads(body)
+    if not isinstance(array, list):
+        array = _loads((re.search(r"\[.*\]", body, re.S) or [""])[0])
+    if isinstance(array, list) and len(array) == expected:
+        return array, True
+    objects = [d for d in map(_loads, re.findall(r"\{(?:[^{}]|\{[^{}]*\})*\}", body)) if valid_item(d)]
+    return (objects, True) if len(objects) == expected else ([None] * expected, False)
+
+
+_BATCH = T.ArrayType(T.StructType([T.StructField("pair_index", T.IntegerType()), T.StructField("scores", SCORES), T.StructField("valid", T.BooleanType()), T.StructField("ok", T.BooleanType())]))
 
 
 @F.pandas_udf(_BATCH)
 def parse_judge_batch(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Several judgements in one response: an array, its outermost brackets, or object by object; strict JSON, so in Python."""
+    """Several judgements in one response; strict JSON, so in Python.
+
+    ``ok`` says that the response could be read; an invalid item of a readable
+    response keeps it and has zeros, which ``valid`` tells apart.
+    """
     zero = dict.fromkeys(CRITERIA, 0.0)
     for texts, expected in parts:
         out = []
         for t, n in zip(texts, expected, strict=True):
-            found = _batch_items(re.sub(r"\A\s*```(?:json)?|```\s*\Z", "", t or "").strip(), int(n)) or [None] * int(n)
-            row = []
-            for i, d in enumerate(found):
-                ok = isinstance(d, dict) and all(isinstance(d.get(k), (int, float)) and 0 <= d[k] <= 10 for k in CRITERIA)
-                row.append({"pair_index": i, "scores": {k: float(d[k]) for k in CRITERIA} if ok else zero, "valid": ok})
-            out.append(row)
+            found, ok = batch_items(t, int(n))
+            out.append([{"pair_index": i, "scores": {k: float(d[k]) for k in CRITERIA} if valid_item(d) else zero, "valid": valid_item(d), "ok": ok} for i, d in enumerate(found)])
         yield pd.Series(out)

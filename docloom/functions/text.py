@@ -159,3 +159,9 @@ def context_label(document: Column, chapter: Column, intro: Column) -> Column:
     plain = F.concat(F.lit("\nChapter: "), F.substring(title, 1, 100), F.when(F.length(title) > 100, F.lit("...")).otherwise(F.lit("")))
     named = F.when(blank_to_null(chapter).isNull(), F.lit("")).when(F.upper(title).startswith("CHAPTER") | F.upper(title).startswith("CHAPITRE"), numbered).otherwise(plain)
     return F.concat(F.lit("PDF: "), document, named, F.when((F.length(lead) > 0) & (F.length(lead) <= 150), F.concat(F.lit("\n"), lead)).otherwise(F.lit("")))
+
+
+def bounded_context(label: Column, max_tokens: int = 300) -> Column:
+    """The label, or as much of it as the limit of four-character tokens holds, without space at its end and with three dots."""
+    over = F.ceil((F.length(label) + 2) / 4) > max_tokens
+    return F.when(over, F.concat(F.regexp_replace(F.substring(label, 1, 4 * max_tokens), rf"{WS}+\z", ""), F.lit("..."))).otherwise(label)

@@ -9,10 +9,11 @@ from docloom.functions.text import LINE_ENDS, strip_u
 
 # First words of an accepted command line.
 COMMANDS = (
-    "interface router line ip ipv6 vlan spanning-tree hostname username aaa snmp logging clock ntp crypto banner mls lldp cdp switchport control-plane",
-    r"access-list ip\s+access-list ipv6\s+access-list class-map policy-map service-policy route-map object-group track ip\s+sla",
-    r"permit deny remark match set neighbor network area redistribute address-family passive-interface shutdown no\s+shutdown",
-)
+    "interface", "router", "line", "ip", "ipv6", "vlan", "spanning-tree", "hostname", "username", "aaa", "snmp", "logging", "clock", "ntp", "crypto",
+    "banner", "mls", "lldp", "cdp", "switchport", "control-plane", "access-list", r"ip\s+access-list", r"ipv6\s+access-list", "class-map", "policy-map",
+    "service-policy", "route-map", "object-group", "track", r"ip\s+sla", "permit", "deny", "remark", "match", "set", "neighbor", "network", "area",
+    "redistribute", "address-family", "passive-interface", "shutdown", r"no\s+shutdown",
+)
 # Any other word is accepted before an argument with a digit, a colon or a slash.
 ARGUMENT = r"[a-z][\w-]*\s+(?:[\w./:-]*\d[\w./:-]*|[\w./:-]*:[\w./:-]+|[\w./:-]+/\d+\S*)"
 # Lines that stand alone, accepted by the variant that drops repeats.
@@ -28,8 +29,7 @@ INSTRUCTIONS = "You configure network devices. Reply with one fenced block of co
 
 def command_pattern(alone: bool) -> str:
     """The accepting pattern of a line, in a form that Java and RE2 read alike."""
-    known = "|".join(word for group in COMMANDS for word in group.split(" "))
-    body = rf"(?:(?:no|default)\s+)?(?:(?:{known})\b|{ARGUMENT})(?:\s+\S+)*"
+    body = rf"(?:(?:no|default)\s+)?(?:(?:{'|'.join(COMMANDS)})\b|{ARGUMENT})(?:\s+\S+)*"
     return rf"(?i)^\s*(?:{'(?:' + '|'.join(ALONE) + ')|' if alone else ''}{body})\s*$"
 
 

@@ -196,7 +196,13 @@ def section_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_
 
 
 def block_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_tokens: int = 32, min_tokens: int = 20, max_tokens: int = 512, oversized: str = "keep") -> DataFrame:
-    """Blocks of commands and step tables stay whole; prose is split.  ``oversized`` blocks are kept or dropped."""
+    """Blocks of commands and step tables stay whole; prose is split.
+
+    ``oversized`` blocks are kept, kept for a warning (``oversized_blocks``
+    lists them for whoever writes the chunks) or dropped.
+    """
+    if oversized not in ("keep", "warn", "drop"):
+        raise ValueError(f"oversized must be keep, warn or drop, not {oversized}")
     spans = once(st.span_islands(lines, doc).withColumnRenamed("text", "_raw"), text=tx.clean_text(F.col("_raw"))).drop("_raw").filter(~tx.is_noise(F.col("text")))
     atomic = spans.filter(F.col("kind").isin(*st.ATOMIC) & (tx.approx_tokens(F.col("text")) >= min_tokens)).withColumn("oversized", tx.approx_tokens(F.col("text")) > max_tokens)
     if oversized == "drop":
@@ -209,6 +215,12 @@ def block_chunks(lines: DataFrame, doc: str, chunk_tokens: int = 256, overlap_to
     return headed.withColumn("chunk_index", F.row_number().over(order) - 1).select(doc, "sec_id", "chunk_index", F.col("kind").alias("block_type"), "oversized", "page_num", tx.approx_tokens(F.col("text")).alias("token_count"), "text")
 
 
+def oversized_blocks(chunks: DataFrame, doc: str) -> DataFrame:
+    """The blocks that stayed whole over the limit, with a line of warning for each."""
+    said = F.format_string("oversized %s of %d tokens in %s, section %d: kept whole", F.col("block_type"), F.col("token_count"), F.col(doc).cast("string"), F.col("sec_id"))
+    return chunks.filter("oversized").select(doc, "sec_id", "chunk_index", "block_type", "token_count", said.alias("warning"))
+
+
 #: Strategies by name: the first three read page texts, the others font lines.
 STRATEGIES = ("paragraph", "fixed", "semantic", "section", "block_preserve")
 

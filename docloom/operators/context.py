@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as tx
 
 SEPARATOR = "\n\n---\n\n"
+#: A budget that no context exceeds.
+UNBOUNDED = 1 << 60
 
 
 def used_chunks(ranked: DataFrame, query: str, text: str, rank: str = "rank", max_chars: int = 4000, prefix: int = 200) -> DataFrame:

@@ -85,9 +85,34 @@ def progress(rows: DataFrame, model: str, score: str) -> DataFrame:
     return rows.groupBy(model).agg(F.count(score).alias("scored"), F.count_if(F.col(score).isNull()).alias("open"), F.avg(score).alias("mean"))
 
 
-def judge_prompt(question: Column, answer: Column) -> Column:
-    """What a judge is asked: the pair, the criteria with their shares, and the JSON to return."""
+#: Columns that one judge gives a row of a table, after ``eval_<judge>_``.
+WIDE = (*WEIGHTS, "overall", "production_readiness", "risk", "deployment_confidence", "consensus_strength", "judges_ok", "judges_failed")
+
+
+def wide_scores(rows: DataFrame, key: str) -> DataFrame:
+    """key, model and the columns of WIDE: each judgement (ok, the criteria, overall) as a consensus of one; zeros and Unknown where it failed."""
+    ok, ready = F.coalesce("ok", F.lit(False)), weighted(READINESS)
+    score = lambda c, digits=3: F.when(ok, F.round(c, digits)).otherwise(0.0)
+    columns = {c: score(F.col(c)) for c in (*WEIGHTS, "overall")} | {"production_readiness": score(ready), "risk": F.when(ok, risk(ready)).otherwise("Unknown"), "deployment_confidence": score(F.least(F.lit(100.0), ready * 10), 1)}
+    columns |= {"consensus_strength": F.lit(0.5), "judges_ok": ok.cast("int"), "judges_failed": (~ok).cast("int")}
+    return rows.select(key, "model", *[columns[c].alias(c) for c in WIDE])
+
+
+def batch_prompt(pairs: list[tuple[str, str]]) -> str:
+    """What a judge is asked about several pairs at once: the pairs, the criteria, and the array to return."""
+    shares = "".join(f"\n- {k} ({v * 100:.0f}% of the score), 0 to 10" for k, v in WEIGHTS.items())
+    keys = ", ".join(f'"{k}": <0-10>, "{k}_justification": "<text>"' for k in WEIGHTS)
+    body = "".join(f"\n--- PAIR {i} ---\nQuestion: {q}\n\nConfiguration: {a}" for i, (q, a) in enumerate(pairs, 1))
+    return f'Judge {len(pairs)} pairs.{body}\n--- END ---\n\nCriteria:{shares}\n\nReply with one JSON array only, an object for each pair in order:\n[{{"pair_index": 1, {keys}, "overall_reasoning": "<text>", "detected_commands": [], "potential_issues": [], "missing_elements": [], "confidence": <0-100>}}]'
+
+
+def prompt_tail() -> str:
+    """What follows the pair: the criteria with their shares, and the JSON to return."""
     shares = "".join(f"\n- {k} ({v * 100:.0f}% of the score), 0 to 10" for k, v in WEIGHTS.items())
     keys = ", ".join(f'"{k}": <0-10>, "{k}_justification": "<text>"' for k in WEIGHTS)
-    tail = f"\n\nCriteria:{shares}\n\nReply with this JSON only:\n{{{keys}, \"overall_reasoning\": \"<text>\", \"detected_commands\": [], \"potential_issues\": [], \"missing_elements\": [], \"confidence\": <0-100>}}"
-    return F.concat(F.lit("Question: "), question, F.lit("\n\nConfiguration: "), answer, F.lit(tail))
+    return f"\n\nCriteria:{shares}\n\nReply with this JSON only:\n{{{keys}, \"overall_reasoning\": \"<text>\", \"detected_commands\": [], \"potential_issues\": [], \"missing_elements\": [], \"confidence\": <0-100>}}"
+
+
+def judge_prompt(question: Column, answer: Column) -> Column:
+    """What a judge is asked: the pair, then the tail."""
+    return F.concat(F.lit("Question: "), question, F.lit("\n\nConfiguration: "), answer, F.lit(prompt_tail()))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -37,14 +38,14 @@ class Judge(Protocol):
 
 
 def hashing_embedder(dim: int = 64) -> Embedder:
-    """Stand-in: signed counts of hashed words."""
+    """Stand-in: signed counts of words, placed by the first half of their MD5."""
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % dim] += 1 if h >> 63 else -1
+                h = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+                out[i, h % dim] += 1 if h >> 31 else -1
         return out
 
     return embed
@@ -59,11 +60,22 @@ def extractive_generator(lines: int = 10) -> Generator:
     return generate
 
 
-def rule_judge() -> Judge:
-    """Stand-in: scores by the length of the prompt, as the JSON that a judge returns."""
+def rule_judge(silent: int = 0) -> Judge:
+    """Stand-in: scores by the length of the prompt, as the JSON that a judge returns; no JSON where ``silent`` divides the length."""
 
     def judge(prompts: list[str]) -> list[str]:
-        return [json.dumps({c: float((len(p) + i) % 11) for i, c in enumerate(CRITERIA)} | {"potential_issues": [], "confidence": 50}) for p in prompts]
+        said = [json.dumps({c: float((len(p) + i) % 11) for i, c in enumerate(CRITERIA)} | {"potential_issues": [], "confidence": 50}) for p in prompts]
+        return ["I can not tell." if silent and len(p) % silent == 0 else x for p, x in zip(prompts, said, strict=True)]
+
+    return judge
+
+
+def batch_rule_judge() -> Judge:
+    """Stand-in: one array for a prompt of several pairs, each scored by the length of its part."""
+
+    def judge(prompts: list[str]) -> list[str]:
+        parts = [re.split(r"\n--- PAIR \d+ ---\n", p)[1:] for p in prompts]
+        return [json.dumps([{c: float((len(x.split("\n--- END ---")[0]) + i) % 11) for i, c in enumerate(CRITERIA)} | {"pair_index": n} for n, x in enumerate(own, 1)]) for own in parts]
 
     return judge
 
@@ -102,7 +114,10 @@ def complete(text: Column, make: Callable[[], Generator | Judge], batch: int = 3
                         time.sleep(max(0.0, last + 60 / per_minute - time.monotonic()))
                         last = time.monotonic()
                     try:
-                        out += model(texts[i : i + batch])
+                        said = list(model(texts[i : i + batch]))
+                        if len(said) != len(texts[i : i + batch]):  # else every later answer would be another's
+                            raise ValueError(f"{len(said)} outputs for {len(texts[i : i + batch])} prompts")
+                        out += said
                         break
                     except Exception:  # noqa: BLE001
                         time.sleep(pause * (attempt + 1))
@@ -113,12 +128,25 @@ def complete(text: Column, make: Callable[[], Generator | Judge], batch: int = 3
     return run(text)
 
 
+def count_tokens(text: Column, make: Callable[[], Callable[[list[str]], list[int]]]) -> Column:
+    """Tokens of a text column by a tokenizer that is plugged in: ``make`` builds, once per task, what turns texts into counts."""
+
+    @F.pandas_udf("int")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = make()
+        for s in parts:
+            yield pd.Series(count(s.fillna("").tolist()), index=s.index, dtype="int32")
+
+    return run(text)
+
+
 def cross_score(query: Column, text: Column, make: Callable[[], CrossScorer]) -> Column:
     @F.pandas_udf("double")
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = make()
         for q, t in parts:
-            yield pd.Series(model(list(zip(q.fillna(""), t.fillna(""), strict=True))), index=q.index, dtype=float)
+            pairs = list(zip(q.fillna(""), t.fillna(""), strict=True))
+            yield pd.Series(model(pairs), index=q.index, dtype=float)
 
     return run(query, text)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import text as tx
+
 
 def token_stats(df: DataFrame, group: str, tokens: Column) -> DataFrame:
     """group, n, lowest, p25, p50, p75, highest, mean: index quantiles, no value between two rows.
@@ -33,3 +35,19 @@ def chunking_totals(chunks: DataFrame) -> DataFrame:
     t = chunks.agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.sum("header_tokens").alias("header_tokens"))
     whole = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(1))
     return t.select("chunks", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("header_tokens", F.lit(0)).alias("header_tokens"), (F.coalesce("header_tokens", F.lit(0)) / F.greatest("chunks", F.lit(1))).alias("mean_header"), (F.coalesce("header_tokens", F.lit(0)) * 100 / whole).alias("header_percent"))
+
+
+def context_totals(chapters: DataFrame, document: str, chapter: str, intro: str, key: str, max_tokens: int = 300) -> DataFrame:
+    """One row: contexts, those made shorter than document, chapter and introduction in full, the tokens that saves, and those cut to the limit."""
+    label, first = tx.context_label(F.col(document), F.col(chapter), F.col(intro)), tx.strip_u(F.concat_ws("\n", F.concat(F.lit("Document: "), F.col(key)), F.coalesce(chapter, F.lit(""))))
+    full = F.when(F.coalesce(intro, F.lit("")) == "", first).otherwise(F.concat(first, F.lit("\n"), F.col(intro)))
+    saved = tx.token_count4(full) - tx.token_count4(label)
+    cut = tx.bounded_context(label, max_tokens) != label
+    return chapters.select(saved.alias("saved"), cut.alias("cut")).agg(F.count("*").alias("contexts"), F.count_if(F.col("saved") > 0).alias("contexts_optimized"), F.coalesce(F.sum(F.when(F.col("saved") > 0, F.col("saved"))), F.lit(0)).alias("tokens_saved"), F.count_if("cut").alias("contexts_cut"))
+
+
+def overlap_totals(bodies: DataFrame, tokens: str, budget: str, overlap: int = 50) -> DataFrame:
+    """One row: bodies over their budget, and those of them whose windows overlap less than asked."""
+    long = F.col(tokens) > F.col(budget)
+    less = tx.adaptive_overlap(F.col(tokens), F.col(budget), overlap) < overlap
+    return bodies.agg(F.count_if(long).alias("split"), F.count_if(long & less).alias("overlaps_reduced"))

@@ -35,7 +35,12 @@ def accuracy(df: DataFrame, pos: str, neg: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg((F.col(pos) > F.col(neg)).cast("double")), F.lit(0.0)).alias("accuracy"), F.count("*").alias("n"))
 
 
-def similarity_gap(df: DataFrame, batch: str, pos: str, neg: str) -> DataFrame:
-    """Mean of the batches' means: a short last batch weighs as much as a full one."""
-    means = df.groupBy(batch).agg(F.avg(pos).alias("p"), F.avg(neg).alias("n"))
-    return means.agg(F.avg("p").alias("pos"), F.avg("n").alias("neg"), F.avg(F.col("p") - F.col("n")).alias("gap"), F.count("*").alias("batches"))
+def similarity_gap(df: DataFrame, batch: str, pos: str, neg: str, loss: str | None = None) -> DataFrame:
+    """Mean of the batches' means: a short last batch weighs as much as a full one.  With a loss per row also the mean loss."""
+    means = df.groupBy(batch).agg(F.avg(pos).alias("p"), F.avg(neg).alias("n"), *([F.avg(loss).alias("l")] if loss else []))
+    return means.agg(F.avg("p").alias("pos"), F.avg("n").alias("neg"), F.avg(F.col("p") - F.col("n")).alias("gap"), F.count("*").alias("batches"), *([F.avg("l").alias("loss")] if loss else []))
+
+
+def contrastive_loss(pos: Column, neg: Column, temperature: float = 0.05) -> Column:
+    """The loss of one triplet: minus the logarithm of the positive's share between positive and negative."""
+    return F.log1p(F.exp((neg - pos) / temperature))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from docloom.operators import retrieval as rt
 from docloom.operators import stats as sx
 from docloom.operators import structure as st
 from docloom.operators import triplets as tp
-from docloom.plans import evaluation, oracles, rag
+from docloom.plans import evaluation, index, oracles, rag
 from docloom.session import spread
 from docloom.sources import sinks
 
@@ -450,7 +451,7 @@ def _responses(spark: SparkSession, sf: str) -> DataFrame:
         F.when(n == 0, body)
         .when(n == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(n == 2, F.concat(F.lit("<think>maybe\n10</think> Scores: "), body, F.lit(" as asked.")))
-        .when(n == 3, F.concat(F.lit("Result: "), F.substring(body, 2, 10_000)))
+        .when(n == 3, F.concat(F.lit("Result: "), F.substr(body, F.lit(2))))
         .when(n == 4, F.lit("no idea"))
         .when(n == 5, F.concat(body, F.lit("<thinking>never closed")))
         .otherwise(F.replace(body, F.lit('"accuracy": '), F.lit('"accuracy": "x", "was": ')))
@@ -471,9 +472,17 @@ def judge_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def judge_json_batch(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _responses(spark, sf).withColumn("batch", F.floor(F.col("result_id") / 5))
-    joined = rows.groupBy("batch").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("result_id", "response"))), lambda x: x["response"]), ","), F.lit("]")).alias("response"), F.count("*").cast("int").alias("n"))
-    return joined.select("batch", F.explode(jsonx.parse_judge_batch(F.col("response"), F.col("n"))).alias("p")).select("batch", "p.pair_index", "p.valid", "p.scores.accuracy")
+    """Five judgements a response: a bare array, a fenced one, one inside prose, and one short of an object; every seventh item has no accuracy."""
+    cols = [F.concat(F.lit(f'"{c}": '), F.format_string("%.1f", F.coalesce(F.col(c), F.lit(0.0)))) for c in jsonx.CRITERIA]
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *cols), F.lit("}"))
+    item = F.when(F.col("result_id") % 7 == 0, F.replace(body, F.lit('"accuracy": '), F.lit('"was": '))).otherwise(body)
+    rows = read(spark, sf, "judge_results", "result_id", *jsonx.CRITERIA).select("result_id", item.alias("item"), F.floor(F.col("result_id") / 5).alias("batch"))
+    made = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("result_id", "item"))).alias("x"))
+    listed = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x["item"]), ", "), F.lit("]"))
+    n = F.col("batch") % 4
+    text = F.when(n == 0, listed(F.col("x"))).when(n == 1, F.concat(F.lit("```json\n"), listed(F.col("x")), F.lit("\n```"))).when(n == 2, F.concat(F.lit("Scores: "), listed(F.col("x")), F.lit(" as asked."))).otherwise(listed(F.slice("x", 2, 100)))
+    found = made.select("x", F.explode(F.arrays_zip("x", jsonx.parse_judge_batch(text, F.size("x")).alias("p"))).alias("z"))
+    return found.select("z.x.result_id", "z.p.ok", "z.p.valid", "z.p.scores.accuracy", "z.p.scores.completeness")
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
@@ -518,15 +527,7 @@ def judges_until_enough(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def score_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    models = ["belmont_mini", "cassio_32b", "quorra_8b"]
-    rows = read(spark, sf, "judge_results").filter("parsing_success").withColumn("model", F.lower(F.trim("model")))
-    out = jd.score_columns(rows, ["question_id"], "model", ["overall_score"], models)
-    return out.select("question_id", *[F.round(m, 5).alias(m) for m in models])
-
-
-@query
-def score_pivot_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns as those of ``score_pivot`` for every judge of ``judge_models``, in any spelling, and every metric: ``<judge>_<metric>``."""
+    """A column for every judge of ``judge_models``, in any spelling, and every metric: ``<judge>_<metric>``."""
     results, models = read(spark, sf, "judge_results"), read(spark, sf, "judge_models")
     names = models.filter("model is not null").select(F.col("model").alias("judge"), jd.judge_key(F.col("model")).alias("judge_key")).dropDuplicates(["judge_key"])
     slugs = sorted(r.s for r in names.select(tx.slug(F.col("judge")).alias("s")).collect())
@@ -553,6 +554,52 @@ def judge_reports(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.report(evaluation.judge(answers, {"one": md.rule_judge, "two": md.rule_judge})).select("eval_id", "judges_ok", "judges_failed", F.round("overall", 5).alias("overall"), "risk", F.round("strength", 5).alias("strength"))
 
 
+def _latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Each evaluation as it was delivered last."""
+    return read(spark, sf, "evaluations").groupBy("eval_id").agg(F.max_by(F.struct("question", "answer"), "ingested_at").alias("r")).select("eval_id", "r.question", "r.answer")
+
+
+@query
+def judges_early_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """Three judges in order, each asked only about answers that none before could judge."""
+    judges = {"first": partial(md.rule_judge, 3), "second": partial(md.rule_judge, 2), "third": md.rule_judge}
+    return evaluation.judge(_latest(spark, sf), judges, enough=1).select("eval_id", "model", "ok", F.round("overall", 5).alias("overall"))
+
+
+@query
+def judge_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight pairs a call."""
+    return evaluation.judge(_latest(spark, sf), {"batched": md.batch_rule_judge}, batch=8).select("eval_id", "ok", "accuracy", "completeness", "confidence", F.round("overall", 5).alias("overall"))
+
+
+@query
+def evaluation_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The evaluations as a table with columns of scores; every fourth has been scored before and keeps its score."""
+    rows = _latest(spark, sf).withColumn("eval_rule_judge_overall", F.when(F.col("eval_id") % 4 == 0, F.lit(5.25)))
+    out = evaluation.evaluate_table(rows, "answer", {"rule judge": partial(md.rule_judge, 5)})
+    return out.select("eval_id", F.col("eval_rule_judge_overall").cast("double").alias("overall"), *[F.col(f"eval_rule_judge_{c}").cast("string" if c == "risk" else "double").alias(c) for c in jd.WIDE if c != "overall"])
+
+
+@query
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector index built over the chunks and asked the search set; the encoder is a stand-in."""
+    built = index.build(read(spark, sf, "chunks", "chunk_id", "text"))
+    return index.search(built, _asked(spark, sf).select("question_id", "question"), 10).select("question_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query
+def context_totals(spark: SparkSession, sf: str) -> DataFrame:
+    m = F.col("metadata")
+    rows = read(spark, sf, "chunks").select(F.coalesce(m["pdf_name"], F.lit("")).alias("document"), m["chapter"].alias("chapter"), F.col("text").alias("intro"), m["source_file"].alias("key"))
+    return sx.context_totals(rows, "document", "chapter", "intro", "key")
+
+
+@query
+def overlap_totals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read(spark, sf, "documents").filter("text is not null").select(F.ceil(F.length("text") / 4).cast("int").alias("n"), F.lit(300).alias("budget"))
+    return sx.overlap_totals(rows, "n", "budget")
+
+
 # -- triplets and checkpoints ------------------------------------------------------
 
 
@@ -579,7 +626,8 @@ def triplet_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def validation_gap(spark: SparkSession, sf: str) -> DataFrame:
-    return tp.similarity_gap(_sides(spark, sf), "batch", "sp", "sn").select(*[F.round(c, 6).alias(c) for c in ("pos", "neg", "gap")], "batches")
+    rows = _sides(spark, sf).withColumn("loss", tp.contrastive_loss(F.col("sp"), F.col("sn")))
+    return tp.similarity_gap(rows, "batch", "sp", "sn", "loss").select(*[F.round(c, 6).alias(c) for c in ("pos", "neg", "gap", "loss")], "batches")
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docloom.functions.text import BOILERPLATE_PHRASES, NOISE_PREFIXES, WS
 from docloom.operators import answers as an
+from docloom.operators import judging as jd
 from docloom.operators.judging import READINESS, WEIGHTS
 
 CRITERIA = tuple(WEIGHTS)
@@ -160,6 +161,38 @@ def share(text: str) -> str:
     return f"CASE WHEN len({w('query')}) = 0 THEN 0.0 ELSE len(list_intersect({w('query')}, {w(text)})) / len({w('query')}) END"
 
 
+def judge_key(x: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({x}), ':.*$', ''), '[^a-z0-9]+', '', 'g')"
+
+
+METRICS = (*CRITERIA, "overall_score", "confidence", "response_time")
+LATEST = f"latest AS (SELECT eval_id, r.question AS question, r.answer AS answer FROM (SELECT eval_id, arg_max(struct_pack(question := question, answer := answer), ingested_at) AS r FROM evaluations GROUP BY eval_id)), answered AS (SELECT * FROM latest WHERE {strip('coalesce(answer, chr(32))')} <> '')"
+
+
+def prompt_length(question: str, answer: str) -> str:
+    """Of what a judge is asked about one pair."""
+    return f"(length({question}) + length({answer}) + {len('Question: ') + len(chr(10) * 2 + 'Configuration: ') + len(jd.prompt_tail())})"
+
+
+def rule_scores(size: str) -> str:
+    """The criteria as the stand-in gives them, and what follows from them."""
+    scores = ", ".join(f"(({size} + {i}) % 11)::DOUBLE AS {c}" for i, c in enumerate(CRITERIA))
+    return scores
+
+
+def risk_of(x: str) -> str:
+    return f"CASE WHEN {x} >= 8 THEN 'Low' WHEN {x} >= 6 THEN 'Medium' WHEN {x} >= 4 THEN 'High' ELSE 'Critical' END"
+
+
+def encoded(name: str, source: str, key: str, text: str) -> str:
+    """Tables of the stand-in's unit vectors: <name>_u (key, d, x) and <name>_s (key, squared length)."""
+    return f"""{name}_w AS (SELECT {key}, unnest(regexp_extract_all(lower({text}), {q(NWS + '+')})) AS t FROM {source}),
+{name}_h AS (SELECT {key}, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h FROM {name}_w),
+{name}_d AS (SELECT {key}, h % 64 AS d, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM {name}_h GROUP BY ALL),
+{name}_u AS (SELECT {key}, d, (x / sqrt(sum(x * x) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS x FROM {name}_d),
+{name}_s AS (SELECT {key}, sum(x * x) AS s FROM {name}_u GROUP BY {key})"""
+
+
 SQL: dict[str, str] = {
     "clean_text_ascii": f"SELECT chunk_id, {clean('text')} AS text FROM chunks",
     "approx_tokens": f"SELECT chunk_id, {tokens('text')} AS n_tokens FROM chunks",
@@ -267,14 +300,17 @@ WITH j AS (SELECT l_orderkey, count(*) AS judges FROM lineitem GROUP BY 1), i AS
 c AS (SELECT l_orderkey, issue, count(*) AS n, min(l_linenumber * 10 + pos) AS first FROM i GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, first, issue) AS place FROM c)
 SELECT l_orderkey, issue, n, place FROM p JOIN j USING (l_orderkey) WHERE place <= 5 AND n > 0.3 * judges""",
     "judges_until_enough": "SELECT eval_id, result_id FROM (SELECT eval_id, result_id, coalesce(sum(coalesce(parsing_success, false)::INT) OVER (PARTITION BY eval_id ORDER BY result_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM judge_results WHERE eval_id IS NOT NULL) WHERE done < 3",
-    "score_pivot": "WITH r AS (SELECT question_id, lower(trim(model)) AS m, overall_score AS s FROM judge_results WHERE parsing_success) SELECT question_id, round(avg(s) FILTER (WHERE m = 'belmont-mini'), 5) AS belmont_mini, round(avg(s) FILTER (WHERE m = 'cassio-32b'), 5) AS cassio_32b, round(avg(s) FILTER (WHERE m = 'quorra-8b'), 5) AS quorra_8b FROM r GROUP BY question_id",
+    "score_pivot": f"""
+WITH m AS (SELECT min({slug("model")}) AS slug, {judge_key("model")} AS k FROM judge_models WHERE model IS NOT NULL GROUP BY k),
+r AS (SELECT question_id, slug, {", ".join(METRICS)} FROM judge_results LEFT JOIN m ON {judge_key("judge_results.model")} = k WHERE parsing_success)
+SELECT q.question_id, p.* EXCLUDE (question_id) FROM (SELECT DISTINCT question_id FROM r) q LEFT JOIN (PIVOT (SELECT * FROM r WHERE slug IS NOT NULL) ON slug USING {", ".join(f"round(avg({c}), 5) AS {c}" for c in METRICS)} GROUP BY question_id) p ON q.question_id IS NOT DISTINCT FROM p.question_id""",
     "judge_progress": "SELECT lower(trim(model)) AS model, count(correctness) AS scored, count(*) FILTER (WHERE correctness IS NULL) AS open, round(avg(correctness), 5) AS mean FROM judge_results GROUP BY 1",
     "triplet_filter": "SELECT triplet_id FROM triplets WHERE coalesce(_meta.eval_score, 3) >= 2 AND coalesce(_meta.eval_detail.A, 1) = 1",
     "topic_split": """
 WITH t AS (SELECT triplet_id, _meta.topic AS topic FROM triplets), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY sha1('42:' || triplet_id), triplet_id) AS rank, count(*) OVER (PARTITION BY topic) AS n FROM t)
 SELECT triplet_id, rank <= greatest(1, floor(n * 0.09999999999999998)) AS is_val FROM r""",
     "triplet_accuracy": f"WITH s AS (SELECT round({share('pos')}, 9) AS sp, round({share('neg')}, 9) AS sn FROM triplets WHERE query IS NOT NULL AND pos IS NOT NULL AND neg IS NOT NULL) SELECT round(avg((sp > sn)::INT), 6) AS accuracy, count(*) AS n FROM s",
-    "validation_gap": f"WITH s AS (SELECT triplet_id // 64 AS batch, round({share('pos')}, 9) AS sp, round({share('neg')}, 9) AS sn FROM triplets WHERE query IS NOT NULL AND pos IS NOT NULL AND neg IS NOT NULL), b AS (SELECT batch, avg(sp) AS p, avg(sn) AS n FROM s GROUP BY batch) SELECT round(avg(p), 6) AS pos, round(avg(n), 6) AS neg, round(avg(p - n), 6) AS gap, count(*) AS batches FROM b",
+    "validation_gap": f"WITH s AS (SELECT triplet_id // 64 AS batch, round({share('pos')}, 9) AS sp, round({share('neg')}, 9) AS sn FROM triplets WHERE query IS NOT NULL AND pos IS NOT NULL AND neg IS NOT NULL), b AS (SELECT batch, avg(sp) AS p, avg(sn) AS n, avg(ln(1 + exp((sn - sp) / 0.05))) AS l FROM s GROUP BY batch) SELECT round(avg(p), 6) AS pos, round(avg(n), 6) AS neg, round(avg(p - n), 6) AS gap, round(avg(l), 6) AS loss, count(*) AS batches FROM b",
     "best_checkpoint": """
 WITH r AS (SELECT s_name AS path, CASE s_nationkey % 3 WHEN 0 THEN 'best' WHEN 1 THEN 'step' ELSE 'final' END AS kind, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal END AS score FROM supplier),
 t AS (SELECT *, CASE WHEN kind = 'best' AND score IS NOT NULL THEN 2 WHEN score > -1 THEN 1 ELSE 0 END AS tier FROM r)
@@ -299,4 +335,44 @@ o AS (SELECT *, CASE WHEN w_ok THEN 'whole' WHEN i_ok THEN 'inner' WHEN greatest
 SELECT result_id, method, method <> 'none' AS ok, {", ".join(f"CASE method WHEN 'whole' THEN TRY_CAST(w->>'$.{c}' AS DOUBLE) WHEN 'inner' THEN TRY_CAST(i->>'$.{c}' AS DOUBLE) WHEN 'scores' THEN x_{c} ELSE 0.0 END AS {c}" for c in ("accuracy", "correctness"))},
   CASE method WHEN 'whole' THEN (w->>'$.confidence')::DOUBLE WHEN 'inner' THEN (i->>'$.confidence')::DOUBLE WHEN 'scores' THEN 50.0 ELSE 0.0 END AS confidence FROM o""",
     "prompts": f"SELECT question_id, length({q(INSTRUCTIONS)} || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || '```') AS n_bare, sha1({q(INSTRUCTIONS)} || chr(10) || chr(10) || 'Context (from docs):' || chr(10) || coalesce(topic, '') || chr(10) || chr(10) || 'Question:' || chr(10) || question || chr(10) || chr(10) || '```') AS sha1 FROM questions",
+    "judge_prompts": f"WITH a AS (SELECT DISTINCT eval_id, answer FROM evaluations WHERE answer IS NOT NULL), b AS (SELECT DISTINCT eval_id, question FROM evaluations) SELECT DISTINCT eval_id, {prompt_length('question', 'answer')} AS n_chars FROM a JOIN b USING (eval_id)",
+    "judge_reports": f"""
+WITH {LATEST}, s AS (SELECT eval_id, {rule_scores(f"coalesce({prompt_length('question', 'answer')}, 0)")} FROM answered), t AS (SELECT *, {weighted(WEIGHTS)} AS overall, {weighted(READINESS)} AS ready FROM s)
+SELECT eval_id, 2 AS judges_ok, 0 AS judges_failed, round(overall, 5) AS overall, {risk_of("ready")} AS risk, 1.0 AS strength FROM t""",
+    "judges_early_stop": f"""
+WITH {LATEST}, n AS (SELECT eval_id, coalesce({prompt_length('question', 'answer')}, 0) AS n FROM answered),
+a AS (SELECT *, unnest([1, 2, 3]) AS j FROM n), asked AS (SELECT *, CASE j WHEN 1 THEN n % 3 <> 0 WHEN 2 THEN n % 2 <> 0 ELSE true END AS ok FROM a WHERE j = 1 OR (n % 3 = 0 AND (j = 2 OR n % 2 = 0))),
+s AS (SELECT eval_id, j, ok, {rule_scores("n")} FROM asked)
+SELECT eval_id, CASE j WHEN 1 THEN 'first' WHEN 2 THEN 'second' ELSE 'third' END AS model, ok, CASE WHEN ok THEN round({weighted(WEIGHTS)}, 5) ELSE 0.0 END AS overall FROM s""",
+    "judge_batches": f"""
+WITH {LATEST}, s AS (SELECT eval_id, {rule_scores(f"(length(coalesce(question, '')) + length(answer) + {len('Question: ') + len(chr(10) * 2 + 'Configuration: ')})")} FROM answered)
+SELECT eval_id, true AS ok, accuracy, completeness, 50.0 AS confidence, round({weighted(WEIGHTS)}, 5) AS overall FROM s""",
+    "evaluation_wide": f"""
+WITH {LATEST}, n AS (SELECT eval_id, {strip("question")} AS question, {strip("answer")} AS answer FROM latest),
+l AS (SELECT eval_id, CASE WHEN eval_id % 4 <> 0 AND question <> '' AND answer <> '' THEN {prompt_length('question', 'answer')} END AS n FROM n),
+s AS (SELECT eval_id, n, n % 5 <> 0 AS good, {rule_scores("n")} FROM l), t AS (SELECT *, {weighted(WEIGHTS)} AS overall, {weighted(READINESS)} AS ready FROM s)
+SELECT eval_id, CASE WHEN eval_id % 4 = 0 THEN 5.25 WHEN good THEN round(overall, 3) WHEN n IS NOT NULL THEN 0.0 END AS overall,
+  {", ".join(f"CASE WHEN good THEN round({c}, 3) WHEN n IS NOT NULL THEN 0.0 END AS {c}" for c in CRITERIA)}, CASE WHEN good THEN round(ready, 3) WHEN n IS NOT NULL THEN 0.0 END AS production_readiness,
+  CASE WHEN good THEN {risk_of("ready")} WHEN n IS NOT NULL THEN 'Unknown' END AS risk, CASE WHEN good THEN round(least(100.0, ready * 10), 1) WHEN n IS NOT NULL THEN 0.0 END AS deployment_confidence,
+  CASE WHEN n IS NOT NULL THEN 0.5 END AS consensus_strength, good::INT::DOUBLE AS judges_ok, (NOT good)::INT::DOUBLE AS judges_failed FROM t""",
+    "judge_json_batch": f"""
+WITH b AS (SELECT result_id, (result_id // 5) % 4 <> 3 AS ok, result_id % 7 <> 0 AS whole, {", ".join(f"round(coalesce({c}, 0), 1) AS {c}" for c in CRITERIA)} FROM judge_results),
+v AS (SELECT *, ok AND whole AND {" AND ".join(f"{c} BETWEEN 0 AND 10" for c in CRITERIA)} AS valid FROM b)
+SELECT result_id, ok, valid, CASE WHEN valid THEN accuracy ELSE 0.0 END AS accuracy, CASE WHEN valid THEN completeness ELSE 0.0 END AS completeness FROM v""",
+    "index_search": f"""
+WITH c AS (SELECT chunk_id, CASE WHEN starts_with(text, 'query: ') OR starts_with(text, 'passage: ') THEN text ELSE 'passage: ' || text END AS t FROM chunks WHERE chunk_id IS NOT NULL AND {strip("coalesce(text, '')")} <> ''),
+a AS (SELECT question_id, 'query: ' || question AS t FROM questions WHERE question_id % 50 = 0),
+{encoded("c", "c", "chunk_id", "t")}, {encoded("a", "a", "question_id", "t")},
+p AS (SELECT question_id, chunk_id, sum(a_u.x * c_u.x) AS p FROM a_u JOIN c_u USING (d) GROUP BY ALL),
+s AS (SELECT question_id, chunk_id, a_s.s + c_s.s - 2 * coalesce(p, 0) AS s FROM a_s CROSS JOIN c_s LEFT JOIN p USING (question_id, chunk_id)),
+r AS (SELECT question_id, chunk_id, round(s, 6) + 0.0 AS score, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 9), chunk_id) AS rank FROM s)
+SELECT * FROM r WHERE rank <= 10""",
+    "context_totals": f"""
+WITH t AS (SELECT coalesce(metadata.pdf_name, '') AS d, metadata.chapter AS chapter, {strip("metadata.chapter")} AS title, text, {strip("text")} AS lead, metadata.source_file AS file FROM chunks),
+l AS (SELECT *, 'PDF: ' || d || CASE WHEN title IS NULL OR title = '' THEN '' WHEN starts_with(upper(title), 'CHAPTER') OR starts_with(upper(title), 'CHAPITRE') THEN chr(10) || array_to_string(string_split(title, ' ')[1:2], ' ') || ': ' || coalesce(string_split(title, ' ')[3], '')
+  ELSE chr(10) || 'Chapter: ' || substr(title, 1, 100) || CASE WHEN length(title) > 100 THEN '...' ELSE '' END END || CASE WHEN length(lead) > 0 AND length(lead) <= 150 THEN chr(10) || lead ELSE '' END AS label,
+  {strip("'Document: ' || file || chr(10) || coalesce(chapter, '')")} || CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || text END AS whole FROM t),
+s AS (SELECT greatest(1, length(whole) // 4) - greatest(1, length(label) // 4) AS saved, ceil((length(label) + 2) / 4.0) > 300 AS cut FROM l)
+SELECT count(*) AS contexts, count(*) FILTER (WHERE saved > 0) AS contexts_optimized, coalesce(sum(saved) FILTER (WHERE saved > 0), 0)::BIGINT AS tokens_saved, count(*) FILTER (WHERE cut) AS contexts_cut FROM s""",
+    "overlap_totals": "WITH n AS (SELECT ceil(length(text) / 4.0) AS n FROM documents WHERE text IS NOT NULL) SELECT count(*) FILTER (WHERE n > 300) AS split, count(*) FILTER (WHERE n > 300 AND n / 300 <= 2.0) AS overlaps_reduced FROM n",
 }

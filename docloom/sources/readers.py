@@ -82,9 +82,21 @@ def decoded_words(files: DataFrame, decode: Callable[[bytes], list[dict]]) -> Da
 
 
 def page_texts(blocks: DataFrame, keys: list[str], header: float = 0.10, footer: float = 0.10) -> DataFrame:
-    """Text of each page from positioned blocks inside the bands, in order."""
+    """Text of each page from positioned blocks inside the bands, in order; blank pages are left out."""
     inside = blocks.filter((F.col("y0") > F.col("page_height") * header) & (F.col("y1") < F.col("page_height") * (1 - footer)))
-    return inside.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    pages = inside.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return pages.filter(tx.strip_u(F.col("text")) != "")
+
+
+def plain_pages(words: DataFrame, keys: list[str], header: float = 0.08, footer: float = 0.08) -> DataFrame:
+    """keys, text: plain text of each page from positioned words, without the header and footer bands; blank pages are left out.  Fonts play no part."""
+    from docloom.operators.structure import in_page_body, y_bucket
+
+    inside = words.filter(in_page_body(F.col("top"), F.col("bottom"), F.col("page_height"), header, footer)).withColumn("_y", y_bucket(F.col("top")))
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ")
+    lines = inside.groupBy(*keys, "_y").agg(line.alias("line"))
+    pages = lines.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_y", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return pages.filter(tx.strip_u(F.col("text")) != "")
 
 
 def vector_index(spark: SparkSession, path: str) -> DataFrame:

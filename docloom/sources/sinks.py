@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +13,14 @@ def grouped_texts(df: DataFrame, file: str, place: str, order: list[str], text:
     """file, part, texts: each file's texts in order, in parts of ``size`` places.
 
     ``place`` is the row's number within its file.  A file of any length comes
-    as lists of bounded length, so no task holds a whole hot file.
+    as lists of bounded length, so no task holds a whole hot file.  Rows
+    without a place come in parts before the others (-1, -2, ...), as many as
+    their largest number in one file asks for, spread by hash.
     """
+    lost = df.filter(F.col(place).isNull()).groupBy(file).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    apart = -1 - F.pmod(F.xxhash64(*order, text), F.lit(max(1, -(-2 * lost // size))))
     parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
-    return df.groupBy(file, F.floor(F.coalesce(F.col(place), F.lit(0)) / size).alias("part")).agg(F.transform(parts, lambda x: x["_t"]).alias("texts"))
+    return df.groupBy(file, F.when(F.col(place).isNull(), apart).otherwise(F.floor(F.col(place) / size)).alias("part")).agg(F.transform(parts, lambda x: x["_t"]).alias("texts"))
 
 
 def write_chunks(df: DataFrame, path: str) -> None:
@@ -21,10 +28,29 @@ def write_chunks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_chunk_arrays(df: DataFrame, path: str) -> None:
+    """Chunks as JSON arrays, one array a partition and file, an object a line; ``readers.chunk_documents`` reads them."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            out = [("[" if first and i == 0 else ",") + x for i, x in enumerate(b.column(0).to_pylist())]
+            first = first and not out
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"], pa.string())], ["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def write_index(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table with a header, quotes doubled, as ``readers.questions`` reads it."""
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def payload_json(df: DataFrame, *columns: str) -> DataFrame:
     """One JSON text per row."""
     return df.select(F.to_json(F.struct(*columns)).alias("value"))

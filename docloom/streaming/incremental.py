@@ -1,8 +1,8 @@
 """Extension: the resumable batch as a stream of files.
 
 New answers are read as they arrive; each micro-batch judges those that have no
-score yet and appends them under an idempotent key, so a batch that is run
-again after a failure adds nothing.
+score yet and writes them under its own number, in place of what an attempt
+before may have left, so a batch that is run again after a failure adds nothing.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ def judge_stream(spark: SparkSession, answers: str, schema: str, scores: str, ch
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(answers)
 
     def step(batch: DataFrame, number: int) -> None:
-        try:
-            done = batch.sparkSession.read.parquet(scores).select(*key)
-        except Exception:  # noqa: BLE001  nothing written yet
-            done = batch.sparkSession.createDataFrame([], batch.select(*key).schema)
+        session = batch.sparkSession
+        at = session._jvm.org.apache.hadoop.fs.Path(scores)
+        if at.getFileSystem(session._jsc.hadoopConfiguration()).exists(at):  # any other fault of the read is an error
+            done = session.read.parquet(scores).filter(F.col("batch") != number).select(*key)
+        else:
+            done = batch.select(*key).limit(0)
         todo = pending_judgements(batch.dropDuplicates(key), done, key, "answer")
-        judge(todo).withColumn("batch", F.lit(number)).write.mode("append").parquet(scores)
+        judge(todo).write.mode("overwrite").parquet(f"{scores}/batch={number}")
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -107,7 +107,7 @@ def test_pivot_of_every_judge_and_metric(spark, tmp_path):
     spelled = [(1, "Quorra-8B "), (1, "quorra-8b:latest"), (1, "TARN-14B"), (2, "sallow_1b"), (3, "unknown-1b"), (4, "tarn-14b")]
     rows = [(q, m, q != 4, *[float(10 * i + k) for k in range(len(jd.METRICS))]) for i, (q, m) in enumerate(spelled)]
     spark.createDataFrame(rows, "question_id long, model string, parsing_success boolean, " + ", ".join(f"{m} double" for m in jd.METRICS)).write.parquet(str(tmp_path / "judge_results.parquet"))
-    got = {r.question_id: r.asDict() for r in catalogue.queries()["score_pivot_all"](spark, str(tmp_path)).collect()}
+    got = {r.question_id: r.asDict() for r in catalogue.queries()["score_pivot"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3} and len(got[1]) == 1 + len(judges) * len(jd.METRICS)
     for k, m in enumerate(jd.METRICS):
         assert (got[1][f"quorra_8b_{m}"], got[1][f"tarn_14b_{m}"], got[2][f"sallow_1b_{m}"]) == (5.0 + k, 20.0 + k, 30.0 + k)

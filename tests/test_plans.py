@@ -1,10 +1,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom import cli
+from docloom.functions import jsonx
 from docloom.operators import models as md
 from docloom.plans import evaluation, rag
+from docloom.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +17,7 @@ def corpus(spark):
     return chunks, questions
 
 
-@pytest.mark.parametrize("method", ["lexical", "dense", "hybrid"])
+@pytest.mark.parametrize("method", ["lexical", "dense", "hybrid", "flat"])
 def test_ask(spark, corpus, method):
     got = {r.question_id: r for r in rag.ask(*corpus, rag.Retrieval(method=method, k=2)).collect()}
     assert set(got) == {1, 2} and got[1].used_chunks[0].chunk_id == "b" and got[1].retrieval_config.method == method
@@ -55,3 +58,66 @@ def test_command_line(spark, tmp_path):
     answers.withColumnRenamed("question_id", "eval_id").write.parquet(str(tmp_path / "pairs"))
     cli.main(["evaluate", str(tmp_path / "pairs"), str(tmp_path / "report")])
     assert spark.read.parquet(str(tmp_path / "report")).count() == 1
+    cli.main(["index", str(tmp_path / "index"), str(tmp_path / "vectors")])
+    cli.main(["ask", str(tmp_path / "vectors"), str(tmp_path / "q.csv"), str(tmp_path / "flat"), "--method", "flat", "--max-chars", "50"])
+    assert len(spark.read.parquet(str(tmp_path / "flat")).collect()[0].context_used) == 50
+    cli.main(["ask", str(tmp_path / "vectors"), str(tmp_path / "q.csv"), str(tmp_path / "none"), "--method", "none"])
+    assert spark.read.parquet(str(tmp_path / "none")).collect()[0].context_used == ""
+    (tmp_path / "scored.csv").write_text('question,answer,eval_stand_in_overall\n"q, one","a ""b""\nc",\nq2,a2,7.5\nq3, ,\n')
+    cli.main(["score", str(tmp_path / "scored.csv"), str(tmp_path / "out"), "--answer", "answer"])
+    rows = readers.questions(spark, str(tmp_path / "out")).collect()
+    assert [r.question for r in rows] == ["q, one", "q2", "q3"] and rows[0].answer == 'a "b"\nc' and rows[0].eval_stand_in_judges_ok == "1"
+    assert rows[1].eval_stand_in_overall == "7.5" and rows[1].eval_stand_in_accuracy is None and rows[2].eval_stand_in_overall is None
+
+
+def test_lines_command(spark, tmp_path):
+    spark.createDataFrame([("m", 1, " ".join(f"w{i}" for i in range(40)))], "pdf_name string, page_num int, text string").write.parquet(str(tmp_path / "pages"))
+    cli.main(["lines", str(tmp_path / "pages"), str(tmp_path / "out"), "--strategy", "fixed"])
+    assert [r.chunk_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["m_chunk000001"]
+
+
+def test_judges_stop_when_enough_have_answered(spark, tmp_path):
+    """No judge is called about an answer that has enough successes; the calls themselves are counted."""
+    log = str(tmp_path / "calls")
+
+    def counting(name, ok):
+        def make():
+            def judge(prompts):
+                with open(f"{log}-{name}", "a") as f:
+                    f.write("x" * len(prompts))
+                good = md.rule_judge()(prompts)
+                return [g if ok(p) else "no json" for p, g in zip(prompts, good, strict=True)]
+
+            return judge
+
+        return make
+
+    answers = spark.createDataFrame([(i, "q", f"vlan {i}") for i in range(6)], "eval_id int, question string, answer string").coalesce(1)
+    odd = lambda p: "vlan 1" in p or "vlan 3" in p or "vlan 5" in p
+    judged = evaluation.judge(answers, {"a": counting("a", odd), "b": counting("b", lambda p: True), "c": counting("c", lambda p: True)}, enough=1)
+    assert judged.count() == 9 and {r.model for r in judged.collect()} == {"a", "b"}
+    assert [len(open(f"{log}-{n}").read()) for n in "ab"] == [6, 3]
+    again = evaluation.judge(answers, {"b": md.rule_judge}, scored=judged.filter("model = 'a'"), enough=1)
+    assert sorted(r.eval_id for r in again.collect()) == [0, 2, 4]
+
+
+def test_batches_keep_the_flag_of_a_readable_response(spark):
+    answers = spark.createDataFrame([(i, "q", f"vlan {i}") for i in range(5)], "eval_id int, question string, answer string").coalesce(1)
+    one = {c: 5 for c in jsonx.CRITERIA}
+    half = lambda: lambda prompts: [json.dumps([one | {"potential_issues": ["mtu"]}, {"accuracy": 99}]) if "Judge 2" in p else "[]" for p in prompts]
+    got = [(r.eval_id, r.ok, r.accuracy, r.issues) for r in evaluation.judge(answers, {"h": half}, batch=2).orderBy("eval_id").collect()]
+    assert got == [(0, True, 5.0, ["mtu"]), (1, True, 0.0, []), (2, True, 5.0, ["mtu"]), (3, True, 0.0, []), (4, False, 0.0, [])]
+    assert jsonx.batch_items('x [{"a": 1}] y', 1) == ([{"a": 1}], True) and jsonx.batch_items(None, 2) == ([None, None], False)
+    assert jsonx.batch_items(f"{json.dumps(one)} and {json.dumps(one)}", 2) == ([one, one], True)
+
+
+def test_outputs_that_do_not_match_the_prompts_are_failures(spark):
+    short = lambda: lambda prompts: prompts[:-1]
+    rows = spark.createDataFrame([("a",), ("b",)], "t string").coalesce(1)
+    assert [r.x for r in rows.select(md.complete(F.col("t"), short).alias("x")).collect()] == [None, None]
+
+
+def test_tokenizer_plug_in(spark):
+    count = lambda: lambda texts: [len(t.split("-")) for t in texts]
+    rows = spark.createDataFrame([("a-b-c",), (None,)], "t string")
+    assert [r.x for r in rows.select(md.count_tokens(F.col("t"), count).alias("x")).collect()] == [3, 1]

@@ -72,8 +72,44 @@ def test_stream_judges_each_answer_once(spark, tmp_path):
     spark.createDataFrame([(3, "c"), (4, "d")], schema).write.mode("append").parquet(answers)
     incremental.judge_stream(spark, answers, schema, scores, check, ["q"], judge).awaitTermination()
     assert sorted(r.q for r in spark.read.parquet(scores).collect()) == [1, 3, 4]
+    # a batch that is run again takes the place of what it left
+    spark.createDataFrame([(9, "i")], schema).write.mode("append").parquet(answers)
+    spark.createDataFrame([(9, "i", 1)], f"{schema}, score int").write.mode("append").parquet(f"{scores}/batch=2")
+    incremental.judge_stream(spark, answers, schema, scores, check, ["q"], judge).awaitTermination()
+    assert sorted(r.q for r in spark.read.parquet(scores).collect()) == [1, 3, 4, 9]
 
 
 def test_windowed_counts(spark):
     df = spark.sql("select timestamp'2024-01-01 00:10:00' as ts, 'a' as g union all select timestamp'2024-01-01 00:50:00', 'a' union all select timestamp'2024-01-01 01:10:00', 'a'")
     assert sorted(r.n for r in incremental.windowed_counts(df, "ts", "g").collect()) == [1, 2]
+
+
+def test_chunk_arrays_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), f'a "{i}"\nü', "m") for i in range(7)], "chunk_id string, text string, pdf_name string").repartition(3)
+    sinks.write_chunk_arrays(rows, str(tmp_path / "a"))
+    for f in (tmp_path / "a").glob("*.txt"):
+        assert isinstance(json.loads(f.read_text()), list)
+    got = readers.chunk_documents(spark, str(tmp_path / "a" / "*.txt")).select("chunk_id", "text", "pdf_name")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_rows_without_a_place_are_spread(spark):
+    rows = spark.createDataFrame([("f", i if i < 5 else None, f"t{i}") for i in range(45)], "file string, place int, t string")
+    parts = sinks.grouped_texts(rows, "file", "place", ["place"], "t", size=10).collect()
+    assert sorted(x for p in parts for x in p.texts) == sorted(f"t{i}" for i in range(45))
+    assert max(len(p.texts) for p in parts) <= 20 and [p.texts for p in parts if p.part == 0] == [[f"t{i}" for i in range(5)]]
+
+
+def test_plain_pages(spark):
+    word = lambda p, top, x, t: ("m", p, 100.0, top, top + 2, x, t)
+    words = spark.createDataFrame([word(1, 50.0, 9.0, "b"), word(1, 50.4, 1.0, "a"), word(1, 60.0, 1.0, "c"), word(1, 2.0, 1.0, "head"), word(2, 50.0, 1.0, " ")], "pdf string, page_num int, page_height double, top double, bottom double, x0 double, text string")
+    assert [(r.page_num, r.text) for r in readers.plain_pages(words, ["pdf", "page_num"]).collect()] == [(1, "a b\nc")]
+
+
+def test_stages_are_released(spark):
+    from docloom import session
+
+    session.release(spark)
+    df = session.materialise(spark.range(5), "released")
+    assert df.count() == 5 and session.release(spark) == 1
+    assert session.release(spark) == 0
