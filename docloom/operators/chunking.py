@@ -63,12 +63,17 @@ def numbered(df: DataFrame, file: str, order: list[str], name: str = "id") -> Da
     all rows spreads over many partitions, and only one number per partition
     passes through a single task.
     """
+    return _ranked(df, file, order).withColumn(name, F.format_string("chunk%06d", F.col("_rank"))).drop("_rank")
+
+
+def _ranked(df: DataFrame, file: str, order: list[str]) -> DataFrame:
+    """Adds _rank, the row's place from 0 in order of file and position."""
     ordered = df.repartitionByRange(file, *order).sortWithinPartitions(file, *order)
     at = F.monotonically_increasing_id()
     placed = materialise(ordered.withColumn("_part", F.shiftright(at, 33)).withColumn("_at", at.bitwiseAND(F.lit((1 << 33) - 1))), "numbered")
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    return placed.join(offsets, "_part").withColumn(name, F.format_string("chunk%06d", F.col("_offset") + F.col("_at"))).drop("_part", "_at", "_offset")
+    return placed.join(offsets, "_part").withColumn("_rank", F.col("_offset") + F.col("_at")).drop("_part", "_at", "_offset")
 
 
 def paragraph_chunks(df: DataFrame, keys: list[str], text: str, separator: str = "\n\n", min_tokens: int = 20, max_tokens: int = 512, ascii_only: bool = False) -> DataFrame:
@@ -244,5 +249,8 @@ def chunk(df: DataFrame, strategy: str, doc: str, text: str = "text", dedup: boo
     rows = rows.select(doc, F.col("chunk_index"), F.lit(strategy).alias("strategy"), tx.approx_tokens(F.col("text")).alias("token_count"), "_order", "text")
     if dedup:
         rows = first_wins(rows.withColumn("_h", tx.fingerprint(F.col("text"))), ["_h"], [doc, "_order"]).drop("_h")
-    number = F.row_number().over(Window.partitionBy(doc).orderBy("_order"))
-    return rows.withColumn("chunk_id", F.concat(tx.safe_id(F.col(doc).cast("string")), F.format_string("_chunk%06d", number))).drop("_order")
+    # numbered within the document by the place in the whole, so that no document is sorted in one task
+    ranked = _ranked(rows, doc, ["_order"])
+    first = ranked.groupBy(F.col(doc).alias("_doc")).agg(F.min("_rank").alias("_first"))
+    number = F.col("_rank") - F.col("_first") + 1
+    return ranked.join(first, F.col(doc).eqNullSafe(F.col("_doc"))).withColumn("chunk_id", F.concat(tx.safe_id(F.col(doc).cast("string")), F.format_string("_chunk%06d", number))).drop("_order", "_rank", "_first", "_doc")

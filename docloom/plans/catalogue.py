@@ -237,7 +237,7 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def chunk_strategies(spark: SparkSession, sf: str) -> DataFrame:
     """Every strategy by name, with its chunks' count and tokens."""
-    lines = st.font_lines(read(spark, sf, "sections", "section_id", "font_lines"))
+    lines = _font_lines(spark, sf)
     out = None
     for name in ck.STRATEGIES:
         made = ck.chunk(lines, name, "section_id") if name in ("section", "block_preserve") else ck.chunk(_pages(spark, sf), name, "doc_id")
@@ -270,14 +270,31 @@ def span_islands(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", F.col("sec_id").cast("bigint").alias("sec_id"), F.col("island").cast("bigint").alias("island"), "kind", F.col("n_lines").cast("bigint").alias("n_lines"))
 
 
+def _font_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The font lines of the manuals' sections."""
+    return st.font_lines(read(spark, sf, "sections", "section_id", "font_lines"))
+
+
+@query
+def manual_sections(spark: SparkSession, sf: str) -> DataFrame:
+    out = st.section_texts(_font_lines(spark, sf), "section_id")
+    return out.select("section_id", F.col("sec_id").cast("bigint").alias("sec_id"), "chapter", "section", F.col("page_num").cast("bigint").alias("page_num"), F.col("n_lines").cast("bigint").alias("n_lines"), F.sha1("text").alias("sha1"))
+
+
+@query
+def manual_spans(spark: SparkSession, sf: str) -> DataFrame:
+    out = st.span_islands(_font_lines(spark, sf), "section_id")
+    return out.select("section_id", F.col("sec_id").cast("bigint").alias("sec_id"), F.col("island").cast("bigint").alias("island"), "kind", F.col("n_lines").cast("bigint").alias("n_lines"))
+
+
 @query
 def section_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return ck.section_chunks(st.font_lines(read(spark, sf, "sections", "section_id", "font_lines")), "section_id")
+    return ck.section_chunks(_font_lines(spark, sf), "section_id")
 
 
 @query
 def block_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return ck.block_chunks(st.font_lines(read(spark, sf, "sections", "section_id", "font_lines")), "section_id")
+    return ck.block_chunks(_font_lines(spark, sf), "section_id")
 
 
 @query
@@ -520,6 +537,31 @@ def critical_issues(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("l_orderkey", "issue", F.col("n").cast("bigint").alias("n"), F.col("place").cast("bigint").alias("place"))
 
 
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The judgements that succeeded, a row each, with their overall score."""
+    rows = read(spark, sf, "judge_results").filter("parsing_success and eval_id is not null")
+    return rows.select("eval_id", "result_id", *jsonx.CRITERIA).withColumn("overall", F.round(jd.weighted(), 6))
+
+
+@query
+def judge_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    return jd.with_reliability(_scores(spark, sf), "eval_id").select("eval_id", "result_id", "reliable", F.round("strength", 5).alias("strength"))
+
+
+@query
+def judge_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    out = jd.consensus(_scores(spark, sf), "eval_id")
+    return out.select("eval_id", *[F.round(c, 5).alias(c) for c in ("accuracy", "correctness", "overall", "strength", "readiness")], "risk", F.col("judges_used").cast("bigint").alias("judges_used"), F.col("judges").cast("bigint").alias("judges"))
+
+
+@query
+def judge_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """What more than three in a hundred of a question's calls failed with."""
+    rows = read(spark, sf, "judge_results").filter("question_id is not null").select("question_id", "result_id", F.when(F.col("error_message").isNull(), F.array().cast("array<string>")).otherwise(F.array("error_message")).alias("issues"))
+    out = jd.critical_issues(rows, "question_id", "result_id", "issues", share=0.03)
+    return out.select("question_id", "issue", F.col("n").cast("bigint").alias("n"), F.col("place").cast("bigint").alias("place"))
+
+
 @query
 def judges_until_enough(spark: SparkSession, sf: str) -> DataFrame:
     return jd.until_enough(read(spark, sf, "judge_results").filter("eval_id is not null").withColumn("good", F.coalesce("parsing_success", F.lit(False))), "eval_id", "result_id", "good", 3).select("eval_id", "result_id")

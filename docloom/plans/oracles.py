@@ -108,24 +108,47 @@ used AS (SELECT * FROM u3 WHERE stop = 0)"""
 PACKED = "SELECT question_id, sha1(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS sha1, length(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place)) AS n_chars, count(*) AS n_used FROM used GROUP BY question_id"
 RANKED = f"WITH {bm25(CHUNK_TEXTS, 'chunk_id', ASKED, 50, 'lex')}, ranked AS (SELECT lex.*, text FROM lex JOIN chunks USING (chunk_id))"
 
-EVENT_LINES = """
-lines AS (SELECT user_id, ts, event_id, event_id % 7 AS page,
-  CASE event_type WHEN 'error' THEN 'heading' WHEN 'click' THEN 'cli' WHEN 'purchase' THEN 'step' WHEN 'signup' THEN 'label' ELSE 'prose' END AS role,
-  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'Chapter ' || event_id ELSE event_type || ' ' || event_id END AS text FROM events),
-sec AS (SELECT *, sum(CASE WHEN role = 'heading' THEN 1 ELSE 0 END) OVER w AS sec_id,
-  coalesce(last_value(CASE WHEN role = 'heading' AND text LIKE 'Chapter%' THEN text END IGNORE NULLS) OVER w, 'Preamble') AS chapter,
-  last_value(CASE WHEN role = 'heading' THEN text END IGNORE NULLS) OVER w AS head,
-  coalesce(last_value(CASE WHEN role = 'heading' THEN page END IGNORE NULLS) OVER w, 1) AS head_page
-  FROM lines WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-kinds AS (SELECT *, last_value(CASE WHEN role <> 'cli' THEN role END IGNORE NULLS) OVER (PARTITION BY user_id, sec_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before FROM sec WHERE role <> 'heading'),
-kinded AS (SELECT *, CASE WHEN role = 'cli' THEN CASE WHEN before IN ('step', 'label') THEN 'step_table' ELSE 'cli_code' END WHEN role IN ('step', 'label') THEN 'step_table' ELSE 'prose' END AS kind FROM kinds)"""
-
-JUDGED = f"""
-judged AS (SELECT *, round({weighted(WEIGHTS)}, 6) AS overall FROM (SELECT l_orderkey, l_linenumber, l_quantity / 5 AS accuracy, l_discount * 100 AS relevance, l_tax * 100 AS correctness, l_quantity / 5 AS hallucination, l_discount * 100 AS completeness FROM lineitem)),
-moments AS (SELECT l_orderkey, count(overall) AS n, avg(overall) AS mean, stddev_samp(overall) AS sd FROM judged GROUP BY l_orderkey),
+
+
+def outlined(source: str, doc: str, order: str) -> str:
+    """Tables sec, kinded and islands over a table ``lines`` (doc, order, page, role, text)."""
+    by, sec = f"PARTITION BY {doc} ORDER BY {order}", f"PARTITION BY {doc}, sec_id ORDER BY {order}"
+    return f"""
+lines AS ({source}),
+marked AS (SELECT *, role = 'heading' AND regexp_matches(coalesce(text, ''), '(?i)\\bchapter\\b') AS opens FROM lines),
+sec AS (SELECT *, sum(CASE WHEN role = 'heading' THEN 1 ELSE 0 END) OVER w AS sec_id, coalesce(last_value(CASE WHEN opens THEN text END IGNORE NULLS) OVER w, 'Preamble') AS chapter,
+  last_value(CASE WHEN role = 'heading' THEN struct_pack(t := text, p := page, c := opens) END IGNORE NULLS) OVER w AS head FROM marked WINDOW w AS ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+kinds AS (SELECT *, last_value(CASE WHEN role <> 'cli' THEN role END IGNORE NULLS) OVER ({sec} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before FROM sec WHERE role <> 'heading'),
+kinded AS (SELECT *, CASE WHEN role = 'cli' THEN CASE WHEN before IN ('step', 'label') THEN 'step_table' ELSE 'cli_code' END WHEN role IN ('step', 'label') THEN 'step_table' ELSE 'prose' END AS kind FROM kinds),
+turns AS (SELECT *, coalesce((kind <> lag(kind) OVER ({sec}))::INT, 0) AS new FROM kinded),
+islands AS (SELECT *, sum(new) OVER ({sec} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM turns)"""
+
+
+def sections_of(doc: str, order: str) -> str:
+    return f"SELECT {doc}, sec_id::BIGINT AS sec_id, first(chapter) AS chapter, first(CASE WHEN head IS NULL OR head.c THEN 'Overview' ELSE head.t END) AS section, first(coalesce(head.p, 1))::BIGINT AS page_num, count(*) AS n_lines, sha1(string_agg(text, chr(10) ORDER BY {order})) AS sha1 FROM sec WHERE role <> 'heading' AND text IS NOT NULL GROUP BY {doc}, sec_id"
+
+
+def spans_of(doc: str) -> str:
+    return f"SELECT {doc}, sec_id::BIGINT AS sec_id, island::BIGINT AS island, first(kind) AS kind, count(*) AS n_lines FROM islands GROUP BY {doc}, sec_id, island HAVING bool_or({strip("coalesce(text, '')")} <> '')"
+
+
+EVENT_LINES = outlined("""SELECT user_id, ts, event_id, event_id % 7 AS page, CASE event_type WHEN 'error' THEN 'heading' WHEN 'click' THEN 'cli' WHEN 'purchase' THEN 'step' WHEN 'signup' THEN 'label' ELSE 'prose' END AS role,
+  CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'Chapter ' || event_id ELSE event_type || ' ' || event_id END AS text FROM events""", "user_id", "ts, event_id")
+FONT_LINES = outlined("SELECT section_id, l.line_no AS line_no, l.page_num AS page, l.role AS role, l.text AS text FROM (SELECT section_id, unnest(font_lines) AS l FROM sections)", "section_id", "line_no")
+
+
+def judged(source: str, key: str) -> str:
+    """Tables marked and consensus over a table of judgements (key, the criteria)."""
+    return f"""
+judged AS (SELECT *, round({weighted(WEIGHTS)}, 6) AS overall FROM ({source})),
+moments AS (SELECT {key}, count(overall) AS n, avg(overall) AS mean, stddev_samp(overall) AS sd FROM judged GROUP BY {key}),
 marked AS (SELECT judged.*, (n < 2 OR sd = 0 OR abs(overall - mean) <= (CASE WHEN n >= 5 THEN 2.0 ELSE 2.5 END) * sd) AS reliable,
-  CASE WHEN n < 2 THEN 0.5 WHEN sd = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - sd / (mean + 0.1))) END AS strength FROM judged JOIN moments USING (l_orderkey)),
-consensus AS (SELECT l_orderkey, {", ".join(f"avg({c}) FILTER (WHERE reliable) AS {c}" for c in WEIGHTS)}, avg(overall) FILTER (WHERE reliable) AS overall, first(strength) AS strength, count(*) FILTER (WHERE reliable) AS judges_used, count(*) AS judges FROM marked GROUP BY l_orderkey)"""
+  CASE WHEN n < 2 THEN 0.5 WHEN sd = 0 THEN 1.0 ELSE least(1.0, greatest(0.0, 1 - sd / (mean + 0.1))) END AS strength FROM judged JOIN moments USING ({key})),
+consensus AS (SELECT {key}, {", ".join(f"avg({c}) FILTER (WHERE reliable) AS {c}" for c in WEIGHTS)}, avg(overall) FILTER (WHERE reliable) AS overall, first(strength) AS strength, count(*) FILTER (WHERE reliable) AS judges_used, count(*) AS judges FROM marked GROUP BY {key})"""
+
+
+JUDGED = judged("SELECT l_orderkey, l_linenumber, l_quantity / 5 AS accuracy, l_discount * 100 AS relevance, l_tax * 100 AS correctness, l_quantity / 5 AS hallucination, l_discount * 100 AS completeness FROM lineitem", "l_orderkey")
+SCORED = judged(f"SELECT eval_id, result_id, {', '.join(CRITERIA)} FROM judge_results WHERE parsing_success AND eval_id IS NOT NULL", "eval_id")
 
 RESPONSES = f"""
 bodies AS (SELECT result_id, '{{' || {" || ', ' || ".join(f"'" + f'"{c}": ' + f"' || printf('%.1f', coalesce({c}, 0.0))" for c in ("accuracy", "relevance", "correctness", "hallucination", "completeness"))} || ', "confidence": 80, "potential_issues": ["mtu", "acl"]}}' AS body FROM judge_results),
@@ -249,12 +272,17 @@ f AS (SELECT doc, page_num, y, font, count(*) AS n, min(x0) AS first FROM b GROU
 m AS (SELECT doc, page_num, y, font AS main FROM (SELECT *, row_number() OVER (PARTITION BY doc, page_num, y ORDER BY n DESC, first, font DESC) AS rn FROM f) WHERE rn = 1),
 l AS (SELECT doc, page_num, y, string_agg(text, ' ' ORDER BY x0, text) AS text, list_sort(list(size)) AS s FROM b GROUP BY ALL)
 SELECT doc, page_num, y, text FROM l JOIN m USING (doc, page_num, y) WHERE NOT (main = 'univers-condensedbold' AND s[len(s) // 2 + 1] <= 9)""",
-    "sections_from_headings": f"WITH {EVENT_LINES} SELECT user_id, sec_id::BIGINT AS sec_id, first(chapter) AS chapter, first(CASE WHEN head IS NULL OR head LIKE 'Chapter%' THEN 'Overview' ELSE head END) AS section, first(head_page)::BIGINT AS page_num, count(*) AS n_lines, sha1(string_agg(text, chr(10) ORDER BY ts, event_id)) AS sha1 FROM sec WHERE role <> 'heading' GROUP BY user_id, sec_id",
+    "sections_from_headings": f"WITH {EVENT_LINES} {sections_of('user_id', 'ts, event_id')}",
     "span_kinds": f"WITH {EVENT_LINES} SELECT user_id, kind, count(*) AS n FROM kinded GROUP BY ALL",
-    "span_islands": f"""
-WITH {EVENT_LINES}, n AS (SELECT *, coalesce((kind <> lag(kind) OVER (PARTITION BY user_id, sec_id ORDER BY ts, event_id))::INT, 0) AS new FROM kinded),
-i AS (SELECT *, sum(new) OVER (PARTITION BY user_id, sec_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM n)
-SELECT user_id, sec_id::BIGINT AS sec_id, island::BIGINT AS island, first(kind) AS kind, count(*) AS n_lines FROM i GROUP BY user_id, sec_id, island""",
+    "span_islands": f"WITH {EVENT_LINES} {spans_of('user_id')}",
+    "manual_sections": f"WITH {FONT_LINES} {sections_of('section_id', 'line_no')}",
+    "manual_spans": f"WITH {FONT_LINES} {spans_of('section_id')}",
+    "judge_outliers": f"WITH {SCORED} SELECT eval_id, result_id, reliable, round(strength, 5) AS strength FROM marked",
+    "judge_consensus": f"WITH {SCORED}, r AS (SELECT *, {weighted(READINESS)} AS ready FROM consensus) SELECT eval_id, {', '.join(f'round({c}, 5) AS {c}' for c in ('accuracy', 'correctness', 'overall', 'strength'))}, round(ready, 5) AS readiness, {risk_of('ready')} AS risk, judges_used, judges FROM r",
+    "judge_issues": """
+WITH j AS (SELECT question_id, count(*) AS judges FROM judge_results WHERE question_id IS NOT NULL GROUP BY 1), c AS (SELECT question_id, error_message AS issue, count(*) AS n, min(result_id) AS first FROM judge_results WHERE question_id IS NOT NULL AND error_message IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, first, issue) AS place FROM c)
+SELECT question_id, issue, n, place FROM p JOIN j USING (question_id) WHERE place <= 5 AND n > 0.03 * judges""",
     "command_blocks": r"""
 WITH l AS (SELECT DISTINCT eval_id, ingested_at, string_split(answer, chr(10)) AS x FROM evaluations WHERE answer IS NOT NULL), u AS (SELECT eval_id, ingested_at, unnest(x) AS line, unnest(range(len(x))) AS n FROM l)
 SELECT eval_id, max(c) AS n_blocks FROM (SELECT eval_id, 1 + count(*) FILTER (WHERE n > 0 AND regexp_matches(line, '(?i)^\s*(?:interface|router|ip access-list|line)\b')) AS c FROM u GROUP BY eval_id, ingested_at) GROUP BY eval_id""",

@@ -126,3 +126,24 @@ def test_strategies(spark):
     assert ck.chunk(pages, "paragraph", "doc").count() == 1 and ck.chunk(pages, "paragraph", "doc", dedup=False).count() == 3
     with pytest.raises(ValueError, match="unknown"):
         ck.chunk(pages, "magic", "doc")
+
+
+def test_one_long_document_over_several_stretches(spark, monkeypatch):
+    """Sections, kinds and islands carry over from stretch to stretch."""
+    rows = [r for seed in range(3) for r in random_lines(seed, 1, 900)]
+    rows = [(d, i, *r[2:]) for d, part in enumerate((rows, random_lines(9, 1, 30))) for i, r in enumerate(part)]
+    # long stretches of commands without a heading, so that a section spans stretches
+    rows = [(d, i, t, "cli" if 100 < i < 600 and role == "heading" else role, p, x) for d, i, t, role, p, x in rows]
+    monkeypatch.setattr(st, "LONG", 100)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+        ordered, long = st.in_order(df, "doc")
+        assert [r[0] for r in long.collect()] == [0] and ordered.filter("doc = 0").select("_part").distinct().count() > 1
+        sections, spans = spec(rows)
+        assert {(r.doc, r.sec_id): (r.chapter, r.section, r.page_num, r.text) for r in st.section_texts(df, "doc").collect()} == sections
+        assert {(r.doc, r.sec_id, r.island): (r.kind, r.text) for r in st.span_islands(df, "doc").collect()} == spans
+        made = ck.chunk(df, "section", "doc", min_tokens=1).collect()
+        assert sorted(r.chunk_id for r in made if r.doc == 0) == [f"0_chunk{i:06d}" for i in range(1, sum(r.doc == 0 for r in made) + 1)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
