@@ -5,6 +5,13 @@ classes of characters (terminators, closers, quotes, spaces, ...), its states
 remember an open quotation and what stands between the last terminator and
 here, and it marks each character that begins a unit.
 
+The class of a character comes from its code point and a bounded context: the
+24 characters before a full stop and the word after it (abbreviations, by a
+table of hashes), the head of its line (list items, commands), and whether the
+quotation marks of its block pair.  Each is an array pass over all texts at
+once, with running maxima and counts in place of loops, so it is as parallel as
+the transducer and no Python code runs per character, line or text.
+
 Texts are run through it in chunks.  A chunk of ``CHUNK`` characters is first
 read as a function from states to states, all chunks and all states at once;
 the functions are composed by a parallel prefix scan, which gives the state
@@ -18,8 +25,7 @@ once; offsets count code points from 0, the end is exclusive.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import setjoin as sj
-from docloom.llm.tokens import layout
+from docloom.llm.tokens import _tables, layout, run_hash
 
 #: Characters in a chunk.
 CHUNK = 512
@@ -134,40 +140,156 @@ def transducer() -> tuple[np.ndarray, np.ndarray, int]:
     return follow, mark, 0
 
 
-_DOT = re.compile(r"\.(?=\W|\Z)")
-_TAIL = re.compile(r"(?:(?<!\w)(?:[^\W\d_]\.)+)?[^\W\d_]+$|\d+$")
-_NUMBER = re.compile(r"\s*\d")
-_MONTH = re.compile(rf"\s+(?:{'|'.join(MONTHS)})\b")
-_P_BEFORE = re.compile(r"(?<!\w)p\.\s?$", re.IGNORECASE)
-_NEVER, _BEFORE_NUMBER, _MAY_END = frozenset(NEVER), frozenset(BEFORE_NUMBER), frozenset(MAY_END)
-
-
-def abbreviations(t: str) -> Iterator[tuple[int, int]]:
-    """(place, class) of the full stops that end an abbreviation, looking back from each stop before a non-word."""
-    for m in _DOT.finditer(t):
-        i = m.start()
-        tail = _TAIL.search(t, max(0, i - 24), i)
-        if not tail:
-            continue
-        w, s = tail.group(), tail.start()
-        before = t[s - 1] if s else ""
-        if before == "_" or before.isalnum():
-            continue
-        if before == "." and not (w[0].isupper() and w[1:2].islower() and s > 1 and t[s - 2].isalnum()):
-            continue  # the end of a dotted name, not a new sentence without space
-        low = w.lower()
-        if w[0].isdigit():
-            if len(w) <= 2 and _MONTH.match(t, i + 1):
-                yield i, PLAIN
-        elif low in _NEVER or (len(w) == 1 and before not in ("'", "’")) or (low in _BEFORE_NUMBER and _NUMBER.match(t, i + 1)) or (low in ("ex", "ej") and _P_BEFORE.search(t, max(0, s - 4), s)):
-            yield i, PLAIN
-        elif low in _MAY_END or "." in w:
-            yield i, WEAK
-
-
-_LINE = re.compile(r"^[^\S\n]*(?:(?P<command>[A-Za-z][\w.-]*(?:\([\w-]+\))?[#>](?=\s|\S))|(?P<bullet>[-*•‣–·◦▪]\s)|(?P<number>(?:\d{1,3}|[A-Za-z])[.)]\s)|(?P<mark>#{1,6}\s))[^\n]*", re.MULTILINE)
+#: How far an abbreviation may reach back from its full stop.
+BACK = 24
+_BULLETS = "-*•‣–·◦▪"
 #: What the line before a numbered one ends with where that one, inside a paragraph, is a list item.
-_LEADS_IN = frozenset(":：")
+_LEADS_IN = ":："
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, ...]:
+    """Tables by code point: word (letter, digit or underscore), letter, decimal digit, white space; and the lower case of each."""
+    alnum, lower, _ = _tables()
+    decimal, space = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for c in range(0x20000):
+        decimal[c], space[c] = chr(c).isdecimal(), chr(c).isspace()
+    word = alnum.copy()
+    word[ord("_")] = True
+    return word, alnum & ~decimal, decimal, space, lower
+
+
+def _hashes(words: Iterable[str]) -> np.ndarray:
+    words = list(words)
+    cps, offsets = layout(words)
+    return np.sort(run_hash(cps, offsets[:-1], offsets[1:] - 1))
+
+
+@lru_cache(maxsize=1)
+def _known() -> dict[str, np.ndarray]:
+    return {"never": _hashes(NEVER), "number": _hashes(BEFORE_NUMBER), "end": _hashes(MAY_END), "example": _hashes(["ex", "ej"]), "month": _hashes(MONTHS)}
+
+
+def _in(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h
+
+
+def _before(flag: np.ndarray) -> np.ndarray:
+    """For each place the last place up to it where the flag is set, or -1."""
+    return np.maximum.accumulate(np.where(flag, np.arange(len(flag), dtype=np.int32), np.int32(-1)))
+
+
+def _after(flag: np.ndarray) -> np.ndarray:
+    """For each place the first place from it on where the flag is set, or the length."""
+    n = len(flag)
+    return np.minimum.accumulate(np.where(flag, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
+
+
+def mark_abbreviations(cls: np.ndarray, cps: np.ndarray, offsets: np.ndarray) -> None:
+    """Full stops that end an abbreviation become PLAIN, or WEAK where they may also end a sentence."""
+    word, letter, decimal, space, lower = (t[cps] for t in _kinds())
+    n, known = len(cps), _known()
+    dot = np.flatnonzero(cps[:-1] == 46)
+    dot = dot[(dot > 0) & ~word[np.minimum(dot + 1, n - 1)]]
+    dot = dot[letter[dot - 1] | decimal[dot - 1]]
+    if not len(dot):
+        return
+    by_letter = letter[dot - 1]
+    at = lambda a, i: a[np.maximum(i, 0)]
+    start = np.where(by_letter, _before(~letter)[dot - 1], _before(~decimal)[dot - 1]).astype(np.int64) + 1
+    text = offsets[np.searchsorted(offsets, dot, "right") - 1]
+    start = np.maximum(start, dot - BACK)
+    # single letters with full stops before the word belong to it
+    first, cur, go = start.copy(), start.copy(), by_letter.copy()
+    for _ in range(BACK // 2):
+        cur = cur - 2
+        go &= (cur >= np.maximum(text, dot - BACK)) & (at(cps, cur + 1) == 46) & at(letter, cur)
+        if not go.any():
+            break
+        begins = go & ((cur == text) | ~at(word, cur - 1))
+        first = np.where(begins, cur, first)
+    dotted, start = first < start, first
+    head = start == text
+    before = np.where(head, 0, at(cps, start - 1))
+    ok = head | ~at(word, start - 1)
+    # the end of a dotted name is none, but the first word of a sentence may follow a full stop without space
+    capital = (lower[start] != cps[start]) & (dot - start > 1) & (at(cls, np.minimum(start + 1, n - 1)) == LOWER)
+    ok &= (before != 46) | (capital & (start - 1 > text) & at(_tables()[0][cps], start - 2))
+    dot, start, text, before, dotted, by_letter = (x[ok] for x in (dot, start, text, before, dotted, by_letter))
+    if not len(dot):
+        return
+    h, size = run_hash(cps, start, dot), dot - start
+    end = offsets[np.searchsorted(offsets, dot, "right")] - 1
+    solid = _after(~space)[np.minimum(dot + 1, n - 1)].astype(np.int64)
+    inside = solid < end
+    solid = np.where(inside, solid, 0)
+    number = inside & decimal[solid]
+    month = np.zeros(len(dot), bool)
+    day = np.flatnonzero(~by_letter & (size <= 2) & inside & (solid > dot + 1) & letter[solid])
+    if len(day):
+        m = solid[day]
+        stop = _after(~letter)[m].astype(np.int64)
+        month[day] = _in(known["month"], run_hash(cps, m, stop)) & ~word[np.minimum(stop, n - 1)] & (lower[m] != cps[m]) & (cls[np.minimum(m + 1, n - 1)] == LOWER)
+    k = np.where(at(space, start - 1), start - 1, start)
+    page = (k - 2 >= text) & (at(cps, k - 1) == 46) & (at(lower, k - 2) == ord("p")) & ((k - 2 == text) | ~at(word, k - 3))
+    plain = _in(known["never"], h) | ((size == 1) & ~np.isin(before, [ord("'"), ord("’")])) | (_in(known["number"], h) & number) | (_in(known["example"], h) & page)
+    weak = by_letter & ~plain & (_in(known["end"], h) | dotted)
+    cls[dot[np.where(by_letter, plain, month)]] = PLAIN
+    cls[dot[weak]] = WEAK
+
+
+def mark_lines(cls: np.ndarray, cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """List items, headings with signs and command lines become units: BREAK on either side; returns the places inside them.
+
+    A numbered line inside a paragraph is one only after a line that leads in
+    or that is one itself.
+    """
+    word, _, decimal, space, _ = (t[cps] for t in _kinds())
+    n = len(cps)
+    feed = np.flatnonzero(cps == 10)
+    start = np.concatenate([[0], feed[:-1] + 1])
+    f = _after(~space | (cps == 10))[start].astype(np.int64)
+    filled = f < feed
+    one = np.minimum(f + 1, n - 1)
+    ascii_letter = ((cps[f] | 32) >= 97) & ((cps[f] | 32) <= 122) & (cps[f] < 128)
+    bullet = np.isin(cps[f], list(map(ord, _BULLETS))) & space[one]
+    digits = _after(~decimal)[f].astype(np.int64)
+    stop = np.where(decimal[f] & (digits - f <= 3), digits, np.where(ascii_letter, f + 1, 0))
+    number = (stop > 0) & np.isin(cps[stop], [46, 41]) & space[np.minimum(stop + 1, n - 1)]
+    marks = _after(cps != 35)[f].astype(np.int64)
+    mark = (cps[f] == 35) & (marks - f <= 6) & space[np.minimum(marks, n - 1)]
+    # a device prompt: a name, perhaps a mode in brackets, and its sign
+    dash = cps == 45
+    name = np.minimum(_after(~(word | dash | (cps == 46)))[f], n - 1).astype(np.int64)
+    mode = np.minimum(_after(~(word | dash))[np.minimum(name + 1, n - 1)], n - 1).astype(np.int64)
+    sign = np.where((cps[name] == 40) & (mode > name + 1) & (cps[mode] == 41), np.minimum(mode + 1, n - 1), name)
+    text_end = offsets[np.searchsorted(offsets, start, "right")] - 1
+    prompt = ascii_letter & np.isin(cps[sign], [35, 62]) & (sign + 1 < text_end)
+    ends = np.where(bullet, one, np.where(number, np.minimum(stop + 1, n - 1), np.minimum(marks, n - 1)))
+    found = filled & (prompt | (bullet | number | mark) & (ends < text_end))
+    only_number = number & ~(bullet | mark | prompt)
+    # a marker alone on its line takes the next line of its text, which then is no line of its own
+    alone = found & ~prompt & (ends == feed)
+    order = np.arange(len(start))
+    row = order - 1 - np.concatenate([[-1], _before(~alone)[:-1]])
+    held = (row % 2 == 1) & (row > 0)
+    found &= ~held
+    alone &= ~held
+    # what stands before the line, up to the paragraph's or the text's beginning
+    begins = np.isin(start, offsets[:-1])
+    last = _before(~space)
+    lead = np.where(begins, -1, last[np.maximum(start - 1, 0)])
+    text = offsets[np.searchsorted(offsets, start, "right") - 1]
+    free = begins | (cls[np.maximum(start - 1, 0)] == BREAK) | (lead < text) | np.isin(cps[np.maximum(lead, 0)], list(map(ord, _LEADS_IN)))
+    sure = found & (~only_number | free)
+    taken = found & (_before(sure) > _before((~found & ~held) | begins & ~sure))
+    s, e = start[taken], feed[np.minimum(order + alone, len(feed) - 1)][taken]
+    cls[s[s > text[taken]] - 1] = BREAK
+    cls[e] = BREAK
+    inside = np.zeros(n + 1, np.int32)
+    np.add.at(inside, s, 1)
+    np.add.at(inside, e, -1)
+    return np.flatnonzero(np.cumsum(inside[:-1]) > 0)
 
 
 def classify(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,25 +306,8 @@ def classify(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         cls[nl[1:][blank]] = BREAK
         cls[nl[:-1][blank]] = BREAK
     cls[offsets[1:] - 1] = BREAK
-    fixed: list[np.ndarray] = []
-    for t, base in zip(texts, offsets[:-1], strict=True):
-        if not t:
-            continue
-        if "." in t:
-            for i, k in abbreviations(t):
-                cls[base + i] = k
-        last_end = -2
-        for m in _LINE.finditer(t):
-            s, e = m.span()
-            if m.group("number") and s > 0 and last_end != s - 1:
-                before = t[:s].rstrip(" \t\r\n")[-1:] if cls[base + s - 1] != BREAK else ""
-                if before and before not in _LEADS_IN:
-                    continue  # a wrapped line that begins with a number
-            fixed.append(np.arange(base + s, base + e))
-            if s > 0:
-                cls[base + s - 1] = BREAK
-            cls[base + e] = BREAK
-            last_end = e
+    mark_abbreviations(cls, cps, offsets)
+    inside = mark_lines(cls, cps, offsets)
     # a full stop that a capitalised word follows without space
     n = len(cps)
     dot = np.flatnonzero((cps[: n - 2] == 46) & (cls[: n - 2] == STRONG)) if n > 2 else np.empty(0, np.int64)
@@ -222,8 +327,7 @@ def classify(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         first, last = first[inner], last[inner]
         between = spaced[cps[first - 1]] & spaced[cps[last + 1]]
         cls[first[between]] = GAP
-    if fixed:
-        inside = np.concatenate(fixed)
+    if len(inside):
         cls[inside] = np.where(solid[inside], PLAIN, SPACE)
     # quotations that do not pair within their block quote nothing
     block = np.cumsum(cls == BREAK)

@@ -249,3 +249,48 @@ def test_sentence_edges(spark):
     got = se.sentence_units(df, "id", "text")
     assert {r.k: r.n for r in got.groupBy("k").agg(F.count("*").alias("n")).collect()} == {3: 4, 4: 50_000}
     assert se.sentence_units(df.limit(0), "id", "text").collect() == []
+
+
+def _plain_abbreviations(t):
+    """(place, class) of the full stops that end an abbreviation, by a walk over the text."""
+    never, number, end = set(se.NEVER), set(se.BEFORE_NUMBER), set(se.MAY_END)
+    for m in re.finditer(r"\.(?=\W|\Z)", t):
+        i = m.start()
+        tail = re.compile(r"(?:(?<!\w)(?:[^\W\d_]\.)+)?[^\W\d_]+$|\d+$").search(t, max(0, i - 24), i)
+        if not tail:
+            continue
+        w, s = tail.group(), tail.start()
+        before = t[s - 1] if s else ""
+        if before == "_" or before.isalnum() or (before == "." and not (w[0].isupper() and w[1:2].islower() and s > 1 and t[s - 2].isalnum())):
+            continue
+        low = w.lower()
+        if w[0].isdigit():
+            if len(w) <= 2 and re.match(rf"\s+(?:{'|'.join(se.MONTHS)})\b", t[i + 1 :]):
+                yield i, se.PLAIN
+        elif low in never or (len(w) == 1 and before not in ("'", "’")) or (low in number and re.match(r"\s*\d", t[i + 1 :])) or (low in ("ex", "ej") and re.search(r"(?i)(?<!\w)p\.\s?$", t[:s])):
+            yield i, se.PLAIN
+        elif low in end or "." in w:
+            yield i, se.WEAK
+
+
+_PIECES = ["z.B", "z.", "B.", "e.g.", "No.", "Nr.", "5", "12", "3.", "1.", "end", "\n", " ", "  ", "März", "März2", "Mai", "p. ex.", "p.ej.", "etc.", "Inc.", "Dr.", "x", "Foo", "_a.", "a_b.", ".", "..", "!", "'s.", "’s.", "ก", "漢字", "fig. 3", "i.d.R.", "U.S.", "a.b.c.d.e.f.g.h.i.j.k.l.m.n.", "x" * 30 + "."]
+
+
+@settings(max_examples=300, deadline=None)
+@given(hs.lists(hs.lists(hs.sampled_from(_PIECES), max_size=12).map("".join), min_size=1, max_size=4))
+def test_abbreviations_match_a_walk(texts):
+    cps, offsets = se.layout(texts)
+    cls = se._classes()[0][cps]
+    before = cls.copy()
+    se.mark_abbreviations(cls, cps, offsets)
+    got = {(int(i), int(cls[i])) for i in np.flatnonzero(cls != before)}
+    assert got == {(int(base) + i, k) for t, base in zip(texts, offsets[:-1], strict=True) for i, k in _plain_abbreviations(t)}
+
+
+def test_markers_and_prompts():
+    texts = ["Intro:\n1. one\n2. two\nwrapped\n3) no item", "Text goes on\n1) here.", "a)\nnext line\n- dot\n* star\n## Head\nsw(config)# vlan 7\nx> y", "- ", "B.", "Lead:\nB."]
+    got = [(texts[r][s:e], r) for r, s, e in zip(*se.units(texts), strict=True)]
+    assert [t for t, r in got if r == 0] == ["Intro:", "1. one", "2. two", "wrapped\n3) no item"]
+    assert [t for t, r in got if r == 1] == ["Text goes on\n1) here."]
+    assert [t for t, r in got if r == 2] == ["a)\nnext line", "- dot", "* star", "## Head", "sw(config)# vlan 7", "x> y"]
+    assert [t for t, r in got if r > 2] == ["-", "B.", "Lead:\nB."]
