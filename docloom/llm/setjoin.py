@@ -148,11 +148,18 @@ class Sets:
     """The sets of some rows in the global order: ``doc``, ``token``, ``pos``, and by row ``n``, ``cls`` (hash of the whole set)."""
 
     def __init__(self, texts: list[str | None], width: int, ranks: np.ndarray):
-        doc, h = shingle_sets(texts, width)
+        doc, h = Words(texts).shingles(width)
         rank = ranks[_slot(h, len(ranks).bit_length() - 1)].astype(np.uint64)
-        # (row, rank, hash) in one sortable number: the row's number is below STEP
-        order = np.argsort((doc.astype(np.uint64) << np.uint64(48)) | (rank << np.uint64(40)) | (h >> np.uint64(24)), kind="stable")
-        self.doc, self.token, self.rank = doc[order], h[order], rank[order]
+        # (row, rank, hash) in one sortable number: the row's number is below STEP; repeats become neighbours
+        key = (doc.astype(np.uint64) << np.uint64(48)) | (rank << np.uint64(40)) | (h >> np.uint64(24))
+        order = np.argsort(key)
+        twin, same = key[order[1:]] == key[order[:-1]], h[order[1:]] == h[order[:-1]]
+        if (twin & ~same).any():  # packed numbers collide
+            order = np.lexsort((h, key))
+            twin, same = key[order[1:]] == key[order[:-1]], h[order[1:]] == h[order[:-1]]
+        order = order[np.concatenate([[True], ~(twin & same)])] if len(order) else order
+        doc, h, rank = doc[order], h[order], rank[order]
+        self.doc, self.token, self.rank = doc, h, rank
         self.n = np.bincount(doc, minlength=len(texts)).astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64)
         self.pos = np.arange(len(doc)) - self.first[self.doc]
