@@ -54,15 +54,22 @@ def band(score: Column) -> Column:
 
 
 def valid_votes(results: DataFrame, models: DataFrame, score: str = "correctness") -> DataFrame:
-    """(eval_id, model, label): one vote per item and canonical judge."""
+    """(eval_id, model, label, s): one vote per item and canonical judge."""
+    return votes_of(results, models, [score]).select("eval_id", "model", "label", "s")
+
+
+def votes_of(results: DataFrame, models: DataFrame, scores: list[str]) -> DataFrame:
+    """(eval_id, model, score, label, s): the votes for each of several scores, from one scan and one shuffle of the judgements."""
     names = models.select(F.col("model").alias("canonical"), canonical_key(F.col("model")).alias("name_key")).filter("canonical is not null").dropDuplicates(["name_key"])
     scale = F.greatest(*[F.coalesce(F.col(c), F.lit(0.0)) for c in ("accuracy", "relevance", "correctness", "hallucination", "completeness", "overall_score") if c in results.columns])
-    rows = results.filter(F.col("parsing_success") & F.col("eval_id").isNotNull() & F.col(score).isNotNull()).select(
-        "eval_id", canonical_key(F.col("model")).alias("name_key"), F.when(scale > 10, F.col(score) / 10).otherwise(F.col(score)).alias("s"), "judged_at", "result_id"
-    )
-    rows = rows.filter("s >= 0 and s <= 10 and not isnan(s)")
-    latest = rows.groupBy("eval_id", "name_key").agg(F.max_by("s", F.struct("judged_at", "result_id")).alias("s"))
-    return latest.join(names, "name_key").select("eval_id", F.col("canonical").alias("model"), band(F.col("s")).alias("label"), "s")
+    wide = scale > 10
+    on_scale = lambda c: F.when(wide, F.col(c) / 10).otherwise(F.col(c))
+    rows = results.filter(F.col("parsing_success") & F.col("eval_id").isNotNull()).select("eval_id", canonical_key(F.col("model")).alias("name_key"), *[on_scale(c).alias(f"s{i}") for i, c in enumerate(scores)], F.struct("judged_at", "result_id").alias("at"))
+    valid = lambda i: (F.col(f"s{i}") >= 0) & (F.col(f"s{i}") <= 10) & ~F.isnan(f"s{i}")
+    latest = rows.groupBy("eval_id", "name_key").agg(*[F.max_by(f"s{i}", F.when(valid(i), F.col("at"))).alias(f"s{i}") for i in range(len(scores))])
+    each = F.array(*[F.struct(F.lit(c).alias("score"), F.col(f"s{i}").alias("s")) for i, c in enumerate(scores)])
+    votes = latest.join(names, "name_key").select("eval_id", F.col("canonical").alias("model"), F.inline(each)).filter("s is not null")
+    return votes.select("eval_id", "model", "score", band(F.col("s")).alias("label"), "s")
 
 
 def digamma(x: np.ndarray) -> np.ndarray:

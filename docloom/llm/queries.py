@@ -17,6 +17,7 @@ from docloom.llm import repeated_lines as rl
 from docloom.llm import sentences as se
 from docloom.llm import split_overlap as so
 from docloom.llm import splitting as sp
+from docloom.session import materialise
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -52,7 +53,8 @@ SCORES = ("correctness", "hallucination", "overall_score")
 
 
 def _each_score(spark: SparkSession, sf: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    each = [of(_votes(spark, sf, s)).withColumn("score", F.lit(s)) for s in SCORES]
+    votes = materialise(cs.votes_of(_read(spark, sf, "judge_results"), _read(spark, sf, "judge_models"), list(SCORES)), "votes-of-scores")
+    each = [of(votes.filter(F.col("score") == s).drop("score")).withColumn("score", F.lit(s)) for s in SCORES]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
