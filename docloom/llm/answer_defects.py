@@ -2,10 +2,11 @@
 
 Refusals are not found by a list of phrases.  The first sentences of every
 answer that hold no value are masked (names of hosts, models and places) and
-equal masks are counted; the distinct masks are clustered by MinHash bands over
-their words, and each member is compared with its bucket's commonest mask.  A
-cluster that recurs over unrelated prompts while its answers hold nothing
-technical is a template that evades the question: a refusal.  Templates of real
+equal masks are counted; each distinct mask goes to the commonest of all masks
+that share 0.8 of its words (exactly, by the prefix filter), and a cluster is
+such a mask with every mask near to it.  A cluster that recurs over unrelated
+prompts while its answers hold nothing technical is a template that evades the
+question: a refusal; so are the masks whose commonest near mask it is.  Templates of real
 answers recur as well, but with addresses, ports and values in the answer.
 Prompts are unrelated if those of a cluster share, on average, less than 0.8 of
 their words; rewordings of one prompt are therefore no evidence.
@@ -41,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import near_heads as nh
 from docloom.llm import setjoin as sj
 from docloom.llm.tokens import Words, _mixed_lower, _tables, distinct, layout, mix64, powers
 from docloom.session import materialise
@@ -334,43 +336,22 @@ def _features(owner):
     return run
 
 
-def _bands(rows: int = 2, bands: int = 4):
-    """For mapInArrow over (mask, n): each mask once for each of its MinHash bands."""
-    odd = mix64(np.arange(1, rows * bands + 1, dtype=np.uint64)) | np.uint64(1)
+#: What sets of words are compared by: the members of their prefixes.
+_bands = nh.prefixes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            if not texts:
-                continue
-            w = Words(texts)
-            d1, h1 = w.shingles(1)
-            d2, h2 = w.shingles(2)
-            doc, h = distinct(np.concatenate([d1, d2]), np.concatenate([h1, h2]))
-            head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
-            at, keys = [], []
-            for k in range(bands):
-                key = np.full(len(head), k + 1, np.uint64)
-                for r in range(rows):
-                    key = mix64(key * np.uint64(31) + np.minimum.reduceat(h * odd[k * rows + r], head)) if len(head) else key
-                at.append(doc[head])
-                keys.append(key)
-            at, keys = np.concatenate(at), np.concatenate(keys)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(keys.view(np.int64))], ["mask", "n", "band"])
 
-    return run
+def opening_links(openings_: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(heads, clusters), both (mask, head): every distinct mask of (mask, n) with the commonest of all masks to which its words are similar, itself included; and each head with every mask similar to it."""
+    masks = openings_.groupBy("mask").agg(F.sum("n").alias("n"))
+    words = F.array_distinct(F.split(F.lower("mask"), r"[^\p{L}\p{N}#@]+"))
+    sets = masks.select(F.lit(0).cast("long").alias("grp"), F.col("mask").alias("id"), "n", F.transform(words, lambda w: F.xxhash64(w)).alias("set"))
+    heads, clusters = nh.near_heads(sets, threshold)
+    return heads.select(F.col("id").alias("mask"), "head"), clusters.select(F.col("id").alias("mask"), "head")
 
 
 def opening_clusters(openings_: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(mask, head): every distinct mask of (mask, n) with its cluster's commonest mask, to which its words are similar; itself where no band has such a one."""
-    masks = openings_.groupBy("mask").agg(F.sum("n").alias("n"))
-    banded = masks.mapInArrow(_bands(), "mask string, n long, band long")
-    heads = banded.groupBy("band").agg(F.max(F.struct("n", "mask")).alias("h"))
-    words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}#@]+"))
-    a, b = words(F.col("mask")), words(F.col("h.mask"))
-    near = banded.join(heads, "band").filter((F.col("mask") == F.col("h.mask")) | (F.size(F.array_intersect(a, b)) >= threshold * F.size(F.array_union(a, b))))
-    best = near.groupBy("mask").agg(F.max("h").alias("h"))
-    return masks.join(best, "mask", "left").select("mask", F.coalesce("h.mask", "mask").alias("head"))
+    """(mask, head): every distinct mask of (mask, n) with the commonest of all masks to which its words are similar; itself where there is no commoner one."""
+    return opening_links(openings_, threshold)[0]
 
 
 def _unrelated(found: DataFrame, prompts: DataFrame, alike: float) -> DataFrame:
@@ -395,13 +376,13 @@ def defects(df: DataFrame, key: str, question: str, answer: str, at: str, prompt
     read = materialise(rows.mapInArrow(_features(owner), f"k {kinds['k']}, at {kinds['at']}, prompt long, kind string, bare boolean, masks array<string>"), "answer-features")
     # a mask or a prompt with a third of all rows becomes one row per pair before it meets a join
     opening = materialise(read.select("prompt", "bare", F.explode("masks").alias("mask")).groupBy("mask", "prompt").agg(F.count("*").alias("n"), F.count_if("bare").alias("bare")), "openings")
-    clusters = materialise(opening_clusters(opening.filter("bare > 0")), "opening-clusters")
-    met = opening.join(clusters, "mask")
+    heads, clusters = opening_links(opening.filter("bare > 0"))
+    met = opening.join(materialise(clusters, "opening-clusters"), "mask")
     stats = met.groupBy("head").agg(F.count_distinct(F.when(F.col("bare") > 0, F.col("prompt"))).alias("prompts"), (F.sum("bare") / F.sum("n")).alias("pure"))
     recurring = materialise(stats.filter((F.col("prompts") >= prompts) & (F.col("pure") >= purity)).select("head"), "recurring-openings")
     asked = rows.select("prompt", F.lower("q").alias("q")).filter("q is not null").groupBy("prompt").agg(F.min("q").alias("q"))
     apart = _unrelated(met.filter("bare > 0").join(recurring, "head").select("head", "prompt").distinct(), asked, alike)
-    templates = clusters.join(apart, "head").select("mask")
+    templates = heads.join(apart, "head").select("mask")
     bare = read.filter("bare").select("k", "at", F.explode("masks").alias("mask"))
     refusing = bare.join(templates, "mask", "left_semi").select(F.col("k").alias("rk"), F.col("at").alias("rat")).distinct().withColumn("refusing", F.lit(True))
     labelled = read.select("k", "at", "kind", "bare").join(refusing, (F.col("k") == F.col("rk")) & F.col("at").eqNullSafe(F.col("rat")), "left").select("k", "at", F.when(F.col("refusing") & F.col("bare"), "refusal").otherwise(F.col("kind")).alias("defect"))
