@@ -14,7 +14,7 @@ thousand variants of one line cost a thousand comparisons.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from docloom.llm.tokens import mix64
 from docloom.session import in_buckets, materialise, n_buckets
 
 #: Counters of the sketch (binary logarithm) and counters in one block of it; prefix members and pairs that a task holds at once.
-BITS, BLOCK, POSTINGS, PAIRS = 20, 1 << 16, 60_000, 100_000
+BITS, BLOCK, POSTINGS, PAIRS = 22, 1 << 16, 200_000, 100_000
 
 
 def _members(b: pa.RecordBatch, grp: int, sets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def _members(b: pa.RecordBatch, grp: int, sets: int) -> tuple[np.ndarray, np.nda
 
 
 def _counts(sets: DataFrame) -> np.ndarray:
-    """How many members fall on each counter; 4 MB reach the driver."""
+    """How many members fall on each counter; 16 MB reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.uint32)
@@ -62,23 +62,30 @@ def _counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(counts, t: float, buckets: int):
-    """For mapInArrow over (grp, id, n, set): each set once for each member of its prefix, with the bucket of that member."""
+def prefixes(counts, large, t: float, buckets: int, whole_sets: bool = True):
+    """For mapInArrow over (grp, id, n, set, k): each set once for each member of its prefix that another set may have, with the bucket of its group, or of the member where the group is ``large``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 2000):
-                b = whole.slice(s, 2000)
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2000):
+                b = batch.slice(s, 2000)
                 row, value, slot = _members(b, 0, 3)
                 order = np.lexsort((value, counts.value[slot], row))
                 row, value, slot = row[order], value[order], slot[order]
                 size = np.bincount(row, minlength=b.num_rows)
                 first = np.cumsum(size) - size
-                ok = np.arange(len(row)) - first[row] <= size[row] - sj.shortest(size[row], t)
-                at = pa.array(row[ok])
-                sets = pa.array([value[i : i + k].tobytes() for i, k in zip(first.tolist(), size.tolist(), strict=True)], pa.binary())
-                bucket = (mix64(slot[ok].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0).take(at), pa.array(value[ok].view(np.int64)), b.column(1).take(at), b.column(2).take(at), sets.take(at)], ["bucket", "grp", "w", "id", "n", "set"])
+                ok = (np.arange(len(row)) - first[row] <= size[row] - sj.shortest(size[row], t)) & (counts.value[slot] > 1)
+                group = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                spread = np.isin(group, large.value)[row[ok]]
+                bucket = (mix64(np.where(spread, slot[ok].astype(np.uint64), group.view(np.uint64)[row[ok]])) % np.uint64(buckets)).astype(np.int32)
+                row, w = row[ok], value[ok].view(np.int64)
+                order = np.lexsort((bucket, row))
+                row, bucket, w = row[order], bucket[order], w[order]
+                # a set and its name travel once to a bucket, however many of its members are there
+                once = np.concatenate([[True], (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])])[: len(row)]
+                sets = [(value[first[i] : first[i] + size[i]].tobytes() if whole_sets else b"") if o else None for i, o in zip(row.tolist(), once.tolist(), strict=True)]
+                at, named = pa.array(row), pa.array(row, mask=~once)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0).take(at), pa.array(w), b.column(4).take(at), b.column(1).take(named), b.column(2).take(named), pa.array(sets, pa.binary())], ["bucket", "grp", "w", "k", "id", "n", "set"])
 
     return run
 
@@ -86,21 +93,28 @@ def prefixes(counts, t: float, buckets: int):
 class _Bucket:
     """The postings of a bucket by (group, member), commonest set first: ``run`` (start of its member's postings), ``of`` (number of its set); a set's number is its rank, the commonest 0."""
 
-    def __init__(self, batches: list[pa.RecordBatch]):
+    def __init__(self, batches: list[pa.RecordBatch], sets_of: Callable | None):
         x = pa.Table.from_batches(batches)
-        grp, w, n = (x.column(c).to_numpy().astype(np.int64) for c in ("grp", "w", "n"))
-        name = x.column("id").combine_chunks().dictionary_encode()
+        grp, w, k = (x.column(c).to_numpy().astype(np.int64) for c in ("grp", "w", "k"))
+        sets = x.filter(x.column("set").is_valid())
+        name = sets.column("id").combine_chunks().dictionary_encode()
         code = np.empty(len(name.dictionary), np.int64)
         code[pc.sort_indices(name.dictionary).to_numpy()] = np.arange(len(code))
-        code = code[name.indices.to_numpy()]
-        order = np.lexsort((grp, -code, -n))
-        new = np.concatenate([[True], (grp[order][1:] != grp[order][:-1]) | (code[order][1:] != code[order][:-1])])
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        self.row = order[new]
-        self.table = x.take(pa.array(self.row))
-        members = [np.frombuffer(v, np.uint64) for v in self.table.column("set").to_pylist()]
-        self.size = np.array([len(m) for m in members], np.int64)
+        order = np.lexsort((-code[name.indices.to_numpy()], -sets.column("n").to_numpy().astype(np.int64)))
+        self.table = sets.take(pa.array(order))
+        own = self.table.column("k").to_numpy().astype(np.int64)
+        order = np.argsort(own)
+        of = order[np.searchsorted(own[order], k)]
+        if sets_of:
+            names, members, sizes = self.table.column("id").to_pylist(), [], []
+            for s, e in sj.steps(names):
+                row, h = sets_of(names[s:e])
+                members.append(h)
+                sizes.append(np.bincount(row, minlength=e - s))
+            self.size = np.concatenate(sizes)
+        else:
+            members = [np.frombuffer(v, np.uint64) for v in self.table.column("set").to_pylist()]
+            self.size = np.array([len(m) for m in members], np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.member = np.unique(np.concatenate(members), return_inverse=True)[1].astype(np.int64)
         self.width = int(self.member.max()) + 1
@@ -139,14 +153,14 @@ class _Bucket:
         return [x.combine_chunks() for x in (a.column("grp"), a.column("id"), b.column("n"), b.column("id"))]
 
 
-def _first(t: float):
+def _first(t: float, sets_of: Callable | None):
     """For mapInArrow over one bucket: for each set the commonest one before it that it is near to and shares a prefix member of the bucket with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        x = _Bucket(held)
+        x = _Bucket(held, sets_of)
         best = np.arange(len(x.size))
         open_, place = np.arange(len(x.of)), 0
         while True:
@@ -169,14 +183,14 @@ def _first(t: float):
     return run
 
 
-def _around(t: float):
+def _around(t: float, sets_of: Callable | None):
     """For mapInArrow over one bucket: the sets near to each set that ``leads``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        x = _Bucket(held)
+        x = _Bucket(held, sets_of)
         leads = x.table.column("leads").to_numpy().astype(bool)
         head = np.flatnonzero(leads[x.of])
         for i, j in sj.expand(x.run[head], x.end[head], PAIRS):
@@ -191,17 +205,24 @@ def _around(t: float):
     return run
 
 
-def near_heads(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
-    """(heads, clusters) of ``sets`` (grp long, id string, n long, set array<long>, members distinct): (grp, id, head) of every set, and of every set near a head, the head included."""
-    sets = materialise(sets.select("grp", "id", "n", "set"), "sets")
-    size = sets.agg(F.sum(F.ceil(F.size("set") * (1 - t)) + 1)).first()[0] or 0
-    buckets = max(n_buckets(sets), -(-int(size) // POSTINGS))
-    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets))
-    posted = materialise(sets.mapInArrow(prefixes(counts, t, buckets), "bucket int, grp long, w long, id string, n long, set binary"), "set-prefixes")
+def near_heads(sets: DataFrame, t: float, sets_of: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(heads, clusters) of ``sets`` (grp long, id string, n long, set array<long>, members distinct): (grp, id, head) of every set, and of every set near a head, the head included.
+
+    Where ``sets_of(names)`` gives (row, member) of the sets by their names, in order of the row, only names travel.
+    """
+    sets = materialise(sets.select("grp", "id", "n", "set", F.xxhash64("grp", "id").alias("k")), "sets")
+    sizes = sets.groupBy("grp").agg(F.sum(F.ceil(F.size("set") * (1 - t)) + 1).alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    buckets = max(n_buckets(sets), -(-int(total) // POSTINGS))
+    spark = sets.sparkSession
+    # groups past a quarter of a bucket; there are at most four for each bucket
+    large = spark.sparkContext.broadcast(np.array([r.grp for r in sizes.filter(F.col("size") > POSTINGS // 4).collect()], np.int64))
+    counts = spark.sparkContext.broadcast(_counts(sets))
+    posted = sets.mapInArrow(prefixes(counts, large, t, buckets, sets_of is None), "bucket int, grp long, w long, k long, id string, n long, set binary")
     link = "grp long, id string, hn long, head string"
-    first = in_buckets(posted, buckets, _first(t), link).groupBy("grp", "id").agg(F.max(F.struct("hn", "head")).alias("h"))
+    first = in_buckets(posted, buckets, _first(t, sets_of), link).groupBy("grp", "id").agg(F.max(F.struct("hn", "head")).alias("h"))
     heads = materialise(sets.select("grp", "id").join(first, ["grp", "id"], "left").select("grp", "id", F.coalesce("h.head", "id").alias("head")), "set-heads")
     leads = heads.select("grp", F.col("head").alias("id")).distinct().withColumn("leads", F.lit(True))
-    flagged = posted.join(leads, ["grp", "id"], "left").select("bucket", "grp", "w", "id", "n", "set", F.coalesce("leads", F.lit(False)).alias("leads"))
-    around = in_buckets(flagged, buckets, _around(t), link).select("grp", "id", "head").distinct()
+    flagged = posted.join(leads.select(F.xxhash64("grp", "id").alias("k"), "leads"), "k", "left").select("bucket", "grp", "w", "k", "id", "n", "set", F.coalesce("leads", F.lit(False)).alias("leads"))
+    around = in_buckets(flagged, buckets, _around(t, sets_of), link).select("grp", "id", "head").distinct()
     return heads, around.unionByName(leads.select("grp", "id", F.col("id").alias("head")))

@@ -5,9 +5,9 @@ in numbers, punctuation and spacing, with one sign for each name (a capitalised
 word inside a line that is half in small words, so months as well).  Masks get
 MinHash band keys over their five-letter runs, and the letters as they are one
 key more; within a source, a key that stands in many documents is a hot bucket.
-The distinct lines of hot buckets are compared with the commonest line of each
-of their buckets.  A line near one of these joins the cluster of the commonest
-such head, and every line has a cluster of its own; clusters that stand in many
+Each distinct line of the hot buckets joins the cluster of the commonest of all
+these lines of its source to which it is near (exactly, by the prefix filter),
+and every line has a cluster of its own; clusters that stand in many
 documents are removed.
 
 Band keys are counted per task in arrays and added up by bucket of the key, so
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm import near_heads as nh
 from docloom.llm import setjoin as sj
 from docloom.llm.tokens import _mixed_lower, _tables, by_bucket, distinct, layout, mix64, powers, together
 from docloom.session import in_buckets, materialise, n_buckets
@@ -220,7 +221,6 @@ def _pick(filter_):
                 first = np.zeros(len(at), bool)
                 d, k = doc[order], key[order]
                 first[order] = np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])])
-                inner = np.concatenate([[0], np.cumsum(hit[at].sum(axis=1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(s, e - s).take(pa.array(doc)),
@@ -229,29 +229,29 @@ def _pick(filter_):
                         pa.array(key.view(np.int64)),
                         pa.array(first.astype(np.int32)),
                         pa.array([x.mask(i) for i in at], pa.string()),
-                        pa.ListArray.from_arrays(pa.array(inner), pa.array(x.keys[at].view(np.int64)[hit[at]])),
                     ],
-                    ["k", "src", "line_no", "line_key", "first", "mask", "bands"],
+                    ["k", "src", "line_no", "line_key", "first", "mask"],
                 )
 
     return run
 
 
-def _close(threshold: float):
-    """For mapInArrow over (src, line_key, h, m, hm): the pairs whose masks are close."""
+def _gram_lists():
+    """For mapInArrow over (grp, id, n): each mask with the runs of its letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, h = b.column(3).to_pylist(), b.column(4).to_pylist()
-            ok = sj.jaccard(a, h, gram_sets) >= threshold - 1e-12
-            ok |= np.array([x == y for x, y in zip(a, h, strict=True)], bool)
-            yield b.select([0, 1, 2]).filter(pa.array(ok))
+            masks = b.column(1).to_pylist()
+            for s, e in sj.steps(masks):
+                row, h = gram_sets(masks[s:e])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=e - s))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.slice(s, e - s).columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], ["grp", "id", "n", "set"])
 
     return run
 
 
 class RepeatedLines:
-    """``lines`` (k, src, line_no, line_key, first, mask, bands): lines of hot buckets; ``nodes`` (src, line_key, df, mask, n, enough): the distinct ones with the documents they stand in."""
+    """``lines`` (k, src, line_no, line_key, first, mask): lines of hot buckets; ``nodes`` (src, line_key, df, n, enough): the distinct ones with the documents they stand in."""
 
     def __init__(self, df: DataFrame, key: Column, text: Column, source: Column, least: int = 5, share: float = 0.1, threshold: float = 0.8):
         spark = df.sparkSession
@@ -266,27 +266,22 @@ class RepeatedLines:
 
         filter_ = spark.sparkContext.broadcast(sj.bloom(self.hot.select(F.col("src").bitwiseXOR(F.col("band")).alias("h")), "h"))
         kind = dict(self.rows.dtypes)["k"]
-        self.lines = materialise(self.rows.filter("t is not null").mapInArrow(_pick(filter_), f"k {kind}, src long, line_no int, line_key long, first int, mask string, bands array<long>"), "hot-lines")
+        self.lines = materialise(self.rows.filter("t is not null").mapInArrow(_pick(filter_), f"k {kind}, src long, line_no int, line_key long, first int, mask string"), "hot-lines")
         # one row for each distinct line and mask of a source, however often it stands
-        spelled = materialise(self.lines.groupBy("src", "line_key", "mask").agg(F.sum("first").alias("df"), F.first("bands").alias("bands")), "line-spellings")
-        self.nodes = materialise(spelled.groupBy("src", "line_key").agg(F.sum("df").alias("df"), F.min("mask").alias("mask")).join(sizes, "src").withColumn("enough", self._enough(F.col("df"))), "line-nodes")
+        spelled = materialise(self.lines.groupBy("src", "line_key", "mask").agg(F.sum("first").alias("df")), "line-spellings")
+        self.nodes = materialise(spelled.groupBy("src", "line_key").agg(F.sum("df").alias("df")).join(sizes, "src").withColumn("enough", self._enough(F.col("df"))), "line-nodes")
         self.members = materialise(self._clusters(spelled, threshold), "line-clusters")
 
     def _enough(self, df: Column) -> Column:
         return (df >= self.least) & (df >= F.lit(self.share) * F.col("n") - 1e-9)
 
     def _clusters(self, spelled: DataFrame, threshold: float) -> DataFrame:
-        """(src, line_key, head) of every line: itself, and the commonest line of one of its buckets that it is near to."""
-        node = self.nodes.select("src", "line_key", "df", "mask")
-        # a line without letters of its own in common with others meets no head
-        placed = spelled.select("src", "line_key", F.explode("bands").alias("band")).distinct().join(node.select("src", "line_key", "df"), ["src", "line_key"])
-        heads = placed.groupBy("src", "band").agg(F.max(F.struct("df", "line_key")).alias("h")).select("src", "band", F.col("h.line_key").alias("head"))
-        pairs = placed.join(heads, ["src", "band"]).filter("line_key <> head").select("src", "line_key", "head").distinct()
-        head = node.select("src", F.col("line_key").alias("head"), F.col("df").alias("hdf"), F.col("mask").alias("hm"))
-        met = pairs.join(node.select("src", "line_key", F.col("mask").alias("m")), ["src", "line_key"]).join(head, ["src", "head"])
-        near = met.select("src", "line_key", F.struct("hdf", "head").alias("h"), "m", "hm").mapInArrow(_close(threshold), "src long, line_key long, h struct<hdf:bigint,head:bigint>")
-        best = near.groupBy("src", "line_key").agg(F.max("h").alias("h")).select("src", "line_key", F.col("h.head").alias("head"))
-        return best.unionByName(node.select("src", "line_key", F.col("line_key").alias("head")))
+        """(src, line_key, head) of every line: its letters, its masks, and the commonest of all masks of the source that one of its masks is near to."""
+        masks = spelled.groupBy(F.col("src").alias("grp"), F.col("mask").alias("id")).agg(F.sum("df").alias("n"))
+        heads = nh.near_heads(masks.mapInArrow(_gram_lists(), "grp long, id string, n long, set array<long>"), threshold, gram_sets)[0]
+        met = spelled.select("src", "line_key", "mask").join(heads.select(F.col("grp").alias("src"), F.col("id").alias("mask"), "head"), ["src", "mask"])
+        # masks are letters, so a key in digits is no head's name
+        return met.select("src", "line_key", F.explode(F.array("mask", "head", F.col("line_key").cast("string"))).alias("head")).distinct()
 
     def frequent_clusters(self) -> DataFrame:
         """(src, line_key) of every line in a cluster that stands in enough documents.

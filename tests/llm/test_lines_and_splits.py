@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
+from docloom.llm import near_heads as nh
 from docloom.llm import repeated_lines as rl
 from docloom.llm import splitting as sp
 
@@ -150,6 +151,46 @@ def test_clusters_recall_against_brute_force(spark):
     assert len(want) > 500 and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_a_line_meets_a_head_that_is_not_the_commonest_of_its_buckets(spark, monkeypatch):
+    """All lines in one bucket, under a commoner one that is near to none: variants of one line still come together."""
+
+    class OneBucket(rl.Lines):
+        def __init__(self, texts, bands=True):
+            super().__init__(texts, bands)
+            if bands:
+                self.keys[:, 1:] = 1
+
+    monkeypatch.setattr(rl, "Lines", OneBucket)
+    words = "contact the service desk for help with this manual and all of its parts before you call".split()
+    variants = [" ".join([*words[:i], w, *words[i:]]) for i, w in enumerate(["or", "an", "it", "we"])]
+    rows = [(f"c{i}", "\n".join(["A commoner line of another kind stands here"] * (i < 30) + [variants[i % 4]] + [f"body {'abcdefghijklmnopqrst'[i % 20] * 9} {'abcdefghijklmnopqrst'[i // 20] * 9}"]), "m") for i in range(40)]
+    x = rl.RepeatedLines(spark.createDataFrame(rows, "id string, text string, m string").repartition(3), F.col("id"), F.col("text"), F.col("m"), least=25, share=0.1)
+    assert {r.k: r.n_removed for r in x.cleaned().collect()} == {f"c{i}": 1 + (i < 30) for i in range(40)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_heads_of_lines_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 5)))
+    sets = {}
+    for g in (1, 2):
+        for _ in range(25):
+            base = [word() for _ in range(rng.randint(3, 40))]
+            for _ in range(6):
+                w = list(base)
+                for _ in range(rng.randint(0, 2)):
+                    w[rng.randrange(len(w))] = word()
+                sets[g, "".join(w)] = rng.randint(1, 30)
+    sets[1, "abc"] = 5  # too short for a run
+    grams = {m: {m[i : i + 5] for i in range(len(m) - 4)} for _, m in sets}
+    around = {(g, m): [o for h, o in sets if h == g and (o == m or 10 * len(grams[m] & grams[o]) >= 8 * len(grams[m] | grams[o]) > 0)] for g, m in sets}
+    want = {k: max(around[k], key=lambda o: (sets[k[0], o], o)) for k in sets}
+    rows = spark.createDataFrame([(g, m, n) for (g, m), n in sets.items()], "grp long, id string, n long")
+    heads, clusters = nh.near_heads(rows.mapInArrow(rl._gram_lists(), "grp long, id string, n long, set array<long>"), 0.8, rl.gram_sets)
+    assert {(r.grp, r.id): r.head for r in heads.collect()} == want
+    assert sorted((r.grp, r.id, r.head) for r in clusters.collect()) == sorted({(k[0], m, h) for k, h in want.items() for m in around[k[0], h]})
+
+
 def test_names_and_dates_are_masked():
     x = rl.Lines(["Ask Kelnor about it on 3 March 2024\nAsk Tarvel about it on 12 May 2023\nGetting Started With Routing\nASK KELNOR about it"])
     assert x.mask(0) == x.mask(1) == "askʘaboutitonʘ" and (x.keys[0, 1:] == x.keys[1, 1:]).all() and x.key[0] != x.key[1]
